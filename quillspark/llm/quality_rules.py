@@ -32,7 +32,7 @@ class Rules:
     min_words: int = 10
     max_repeat_pct: int = 20
     max_symbols_pct: int = 20
-    max_dup_lines_pct: int = 30
+    max_dup_lines_pct: int = 60
     max_word_chars: int = 15
     #: A host is blocked when its shrunk failure rate is above this.
     max_host_rate: float = 0.8
@@ -211,7 +211,7 @@ WITH words AS (
   FROM words a LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 15 * n_words AS failed
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 60 * n_lines OR word_chars > 15 * n_words AS failed
   FROM counts
 ), hosts AS (
   SELECT source, count(*) AS n, sum(failed::INT) AS fails FROM judged GROUP BY source
