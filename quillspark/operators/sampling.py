@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +65,21 @@ def sealed_as(df: DataFrame, digest: str, *columns: str) -> bool:
 def file_digests(files: DataFrame) -> DataFrame:
     """(path, sha256) of rows of Spark's binaryFile source."""
     return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def seal_file(df: DataFrame, path: str, *order: str, most: int = 100_000) -> str:
+    """A small test set as sorted, indented JSON beside its SHA-256, both on the driver. Larger sets than `most` rows are an error: seal() has no bound."""
+    rows = [r.asDict(recursive=True) for r in df.orderBy(*order).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use seal()")
+    content = json.dumps(rows, sort_keys=True, ensure_ascii=False, indent=2)
+    digest = hashlib.sha256(content.encode()).hexdigest()
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(content, encoding="utf-8")
+    Path(path).with_suffix(".sha256").write_text(digest + "\n", encoding="utf-8")
+    return digest
+
+
+def file_sealed_as(path: str, digest: str) -> bool:
+    """Whether the file still has that SHA-256."""
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest() == digest

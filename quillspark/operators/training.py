@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,3 +57,22 @@ def history(curve: DataFrame) -> dict:
     rows = curve.orderBy("epoch").collect()
     best = min(rows, key=lambda r: (r["cer"], r["epoch"]))
     return {"cer_par_epoch": [round(r["cer"], 4) for r in rows], "meilleur_cer": round(best["cer"], 4), "meilleure_epoch": best["epoch"]}
+
+
+def save_curve(found: dict, config: TrainingConfig, folder: str) -> str:
+    """The history with its configuration as JSON on the driver; a run of the same rank replaces it."""
+    path = Path(folder) / f"courbe_lora_r{config.lora_r}.json"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps({"config": config.to_dict(), **found}, indent=2, ensure_ascii=False), encoding="utf-8")
+    return str(path)
+
+
+def fine_tune(spark: SparkSession, n_train: int, folder: str, config: TrainingConfig = TrainingConfig(), journal_path: str | None = None, seed: int = 42) -> dict:
+    """A simulated run: its history, saved, and noted in the journal."""
+    from ..sources import journal
+
+    found = history(simulated_curve(spark, n_train, config, seed))
+    save_curve(found, config, folder)
+    if journal_path:
+        journal.append_entry(spark, journal_path, f"finetune_trocr_lora_r{config.lora_r}", config.to_dict(), {"meilleur_cer_val": found["meilleur_cer"]}, f"Fine-tuning sur {n_train} lignes")
+    return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import contract, engines, evaluation, raster
-from ..sources import journal
+from ..sources import corpus, images, journal, xml
 
 
 def pages_to_documents(pages: DataFrame, engine_name: str = "trocr") -> DataFrame:
@@ -23,6 +23,18 @@ def pages_to_documents(pages: DataFrame, engine_name: str = "trocr") -> DataFram
     return contract.validated(contract.make_documents(read.withColumn("line", line)))
 
 
+def folder_to_documents(spark: SparkSession, folder: str, century: int, document_type: str, language: str, source: str, engine_name: str = "trocr", preprocess: bool = True) -> DataFrame:
+    """Contract documents of all readable images directly in a folder; a document is named after its file. Its PAGE text is in page_xml."""
+    pictures = images.read_images(spark, folder, recursive=False).where("error IS NULL")
+    named = pictures.withColumn("page_id", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).select("page_id", "height", "width", "content")
+    prepared = raster.preprocessed(named) if preprocess else named
+    meta = named.select("page_id", F.lit(century).alias("century"), F.lit(document_type).alias("document_type"), F.lit(language).alias("language"), F.lit(source).alias("source"), F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    documents = pages_to_documents(raster.pixel_rows(prepared).join(meta, "page_id"), engine_name)
+    lines = F.transform("lines", lambda x: F.struct(x["reading_order"].alias("reading_order"), x["polygon"].alias("polygon"), x["text"].alias("text")))
+    size = F.col("coordinate_system")
+    return documents.withColumn("page_xml", xml.page_xml(F.concat("document_id", F.lit(".png")), size["image_width"], size["image_height"], lines, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
+
+
 def normalise_documents(documents: DataFrame, correction: bool = True) -> DataFrame:
     """Lines of contract documents with text_normalise beside the raw text."""
     lines = contract.flatten(documents)
@@ -49,6 +61,13 @@ def evaluate_engine(spark: SparkSession, lines: DataFrame, engine_name: str, jou
     return found
 
 
+def evaluate_corpus(spark: SparkSession, folder: str, engine_name: str, metadata: dict[str, str] | None = None, limit: int | None = None, journal_path: str | None = None, iterations: int = 1000) -> dict:
+    """evaluate_engine() over a corpus on disk, named after its folder."""
+    examples, _ = corpus.load_corpus(spark, folder, metadata, limit)
+    lines = examples.select(F.concat_ws("#", "path", "line_idx").alias("line_id"), "width", F.col("text").alias("reference"))
+    return evaluate_engine(spark, lines, engine_name, journal_path, iterations) | {"corpus": folder.rstrip("/").rpartition("/")[2]}
+
+
 def compare_engines(lines: DataFrame, a: str = "trocr", b: str = "kraken") -> dict:
     """Both engines over the same lines (line_id, width, reference)."""
     read = lines.withColumn(a, engines.engine(a)(F.col("width"), F.col("line_id"))["text"]).withColumn(b, engines.engine(b)(F.col("width"), F.col("line_id"))["text"])
