@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END_TOKEN, d
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        coder = ChunkCoder(path)
+        coder = ChunkCoder.of_worker(path)
         for b in batches:
             parent, rows = [], []
             for n, ids in enumerate(encode_blocks(coder, [t or "" for t in b.column(1).to_pylist()])):

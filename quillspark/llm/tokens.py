@@ -1,20 +1,56 @@
 """Token ids of whole texts by a public tokenizer whose pre-tokenizer never joins over white space.
 
-A text is cut at spaces and newlines; each distinct chunk is encoded once for as long as a task's vocabulary holds it, and
-a text's ids are gathered from its chunks' ids. The result equals encoding the text whole.
+A text is cut at spaces and newlines; each distinct chunk is encoded once for as long as the vocabulary holds it, and a
+text's ids are gathered from its chunks' ids. The result equals encoding the text whole.
 """
 
 from __future__ import annotations
 
-import itertools
+import sys
+import types
+import unicodedata
 
 import numpy as np
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, so that tasks of one worker share what they have learnt."""
+    return sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker")).__dict__
+
+
+class Places(dict):
+    """Numbers chunks as they come; fresh holds those that came since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of the runs that begin at starts and have those lengths."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _parted(chunk: str) -> tuple[str, str]:
+    """A lower-cased word and the one sign behind it, where that gives the same ids as the chunk: for composed letters whose lower case doesn't depend on their place."""
+    core, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
+    if core.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
+        low = core.lower()
+        if len(low) == len(core):
+            return low, tail
+    return chunk, ""
+
+
 class ChunkCoder:
-    """Encodes texts; keeps the ids of at most max_chunks distinct chunks."""
+    """Encodes texts; keeps the ids of some max_chunks distinct chunks and starts anew beyond."""
 
-    def __init__(self, path: str, max_chunks: int = 300_000):
+    def __init__(self, path: str, max_chunks: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,40 +59,72 @@ class ChunkCoder:
         self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
         self._clear()
 
+    @classmethod
+    def of_worker(cls, path: str) -> "ChunkCoder":
+        """The worker's own coder for that vocabulary."""
+        cache = worker_cache()
+        if ("coder", path) not in cache:
+            cache["coder", path] = cls(path)
+        return cache["coder", path]
+
     def _clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.ids, self.lengths, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.places = Places()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.lengths, self.starts, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append runs of ids; their starts."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        return starts
 
-    def _learn(self, fresh: list[str]) -> None:
-        ids, lengths = [], []
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and the numbers of ids."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(coded.ids, np.uint32))
             lengths.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.lengths = np.concatenate([self.lengths, *lengths])
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self) -> None:
+        fresh, self.places.fresh = self.places.fresh, []
+        if not fresh:
+            return
+        parted = [_parted(c) for c in fresh]
+        words: dict[str, int] = {}
+        rows = np.fromiter((words.setdefault(w, len(words)) for w, _ in parted), np.int64, len(parted))
+        tails = {t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in (".", ",")}
+        ids, lengths = self._encoded(list(words))
+        starts = np.cumsum(lengths) - lengths
+        signs = np.array([{"": 0, ".": 1, ",": 2}[t] for _, t in parted])
+        # Behind the words' ids stand those of the two signs; a chunk is a word's run and maybe a sign's.
+        tail_ids = [tails["."], tails[","]]
+        pool = np.concatenate([ids, *tail_ids])
+        tail_starts, tail_lengths = np.array([0, len(ids), len(ids) + len(tail_ids[0])]), np.array([0, *map(len, tail_ids)])
+        runs = np.stack([starts[rows], tail_starts[signs]], axis=1).ravel()
+        sizes = np.stack([lengths[rows], tail_lengths[signs]], axis=1).ravel()
+        both = sizes[0::2] + sizes[1::2]
+        placed = self._store(pool[ragged(runs, sizes)], both)
+        n = self.known + len(fresh)
+        while n > len(self.lengths):
+            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+        self.lengths[self.known : n], self.starts[self.known : n] = both, placed
+        self.known = n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.place) > self.max_chunks:
+        if len(self.places) > self.max_chunks:
             self._clear()
-        place = self.place
-        fresh = [c for c in set(itertools.chain.from_iterable(chunks)) if c not in place]
-        if fresh:
-            fresh.sort()
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
-            self._learn(fresh)
-        out = []
-        for c in chunks:
-            rows = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
-            n = self.lengths[rows]
-            ends = np.cumsum(n)
-            at = np.arange(int(ends[-1])) + np.repeat(self.starts[rows] - (ends - n), n)
-            out.append(self.ids[at])
-        return out
+        place = self.places.__getitem__
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        rows = [np.fromiter(map(place, c), np.int64, len(c)) for c in chunks]
+        self._learn()
+        return [self.ids[ragged(self.starts[r], self.lengths[r])] for r in rows]
 
 
 def encode_blocks(coder: ChunkCoder, texts: list[str], block_chars: int = 4_000_000):
