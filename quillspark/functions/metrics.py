@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import tokens
@@ -16,14 +16,37 @@ def char_distance(reference: Column, prediction: Column) -> Column:
     return F.when(reference == prediction, F.lit(0)).otherwise(F.levenshtein(reference, prediction)).cast("long")
 
 
+def vocabulary(a: Column, b: Column) -> Column:
+    """The distinct words of a pair of word arrays; too many for the block of code points fail the row."""
+    found = F.array_distinct(F.concat(a, b))
+    return F.when(F.size(found) <= CODES, found).otherwise(F.raise_error(F.lit(f"more than {CODES} distinct words in a pair")).cast("array<string>"))
+
+
+def encoded(words: Column, known: Column) -> Column:
+    """Each word as the code point of its place in the vocabulary."""
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(words, code), "")
+
+
+def with_word_distance(df: DataFrame, reference: str, prediction: str, distance: str = "word_dist", length: str = "words") -> DataFrame:
+    """df with the edit distance in words and the reference's words.
+
+    Each distinct word of a pair becomes one code point, so that the built-in distance counts words. Word arrays and the
+    vocabulary are columns of their own, else every use of them would split the texts again.
+    """
+    a, b, known = "__reference_words", "__prediction_words", "__vocabulary"
+    split = df.withColumn(a, tokens(F.col(reference))).withColumn(b, tokens(F.col(prediction)))
+    named = split.withColumn(known, vocabulary(F.col(a), F.col(b)))
+    far = F.levenshtein(encoded(F.col(a), F.col(known)), encoded(F.col(b), F.col(known)))
+    out = named.withColumn(distance, F.when(F.col(reference) == F.col(prediction), F.lit(0)).otherwise(far).cast("long"))
+    return out.withColumn(length, F.size(a).cast("long")).drop(a, b, known)
+
+
 def word_distance(reference: Column, prediction: Column) -> Column:
-    """Edit distance in words: each distinct word of the pair becomes one code point, so that the built-in distance counts words."""
+    """The same for a single expression; with_word_distance() is the form for many rows."""
     a, b = tokens(reference), tokens(prediction)
-    vocabulary = F.array_distinct(F.concat(a, b))
-    limit = F.when(F.size(vocabulary) <= CODES, vocabulary).otherwise(F.raise_error(F.lit(f"more than {CODES} distinct words in a pair")).cast("array<string>"))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(limit, w) + F.lit(FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
-    coded = lambda words: F.array_join(F.transform(words, code), "")
-    return F.when(reference == prediction, F.lit(0)).otherwise(F.levenshtein(coded(a), coded(b))).cast("long")
+    known = vocabulary(a, b)
+    return F.when(reference == prediction, F.lit(0)).otherwise(F.levenshtein(encoded(a, known), encoded(b, known))).cast("long")
 
 
 def rate(distance: Column, length: Column, predicted: Column) -> Column:

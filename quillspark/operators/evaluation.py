@@ -23,7 +23,7 @@ def with_errors(df: DataFrame, reference: str = "reference", prediction: str = "
     """df with dist and chars, and word_dist and words, of each row."""
     out = df.withColumn("dist", metrics.char_distance(F.col(reference), F.col(prediction))).withColumn("chars", F.length(reference).cast("long"))
     if words:
-        out = out.withColumn("word_dist", metrics.word_distance(F.col(reference), F.col(prediction))).withColumn("words", F.size(text.tokens(F.col(reference))).cast("long"))
+        out = metrics.with_word_distance(out, reference, prediction)
     return out
 
 
@@ -171,7 +171,8 @@ def stage_transitions(versions: DataFrame, line_id: str = "line_id", order: str
     """From (line, stage order, stage, text): for each pair of consecutive stages the mean of the lines' distances (each relative to the earlier text), lines changed and lines."""
     by_line = Window.partitionBy(line_id).orderBy(order)
     pairs = versions.select(order, stage, content, F.lead(stage).over(by_line).alias("next_stage"), F.lead(content).over(by_line).alias("next_text")).where("next_stage IS NOT NULL")
-    d = pairs.select(F.concat_ws("→", stage, "next_stage").alias("transition"), metrics.char_distance(F.col(content), F.col("next_text")).alias("dist"), metrics.cer(F.col(content), F.col("next_text")).alias("d"))
+    far = pairs.select(F.concat_ws("→", stage, "next_stage").alias("transition"), F.length(content).alias("n"), F.length("next_text").alias("m"), metrics.char_distance(F.col(content), F.col("next_text")).alias("dist"))
+    d = far.withColumn("d", metrics.rate(F.col("dist"), F.col("n"), F.col("m")))
     return d.groupBy("transition").agg(F.avg("d").alias("mean_distance"), F.sum("dist").alias("dist"), F.count_if(F.col("d") > 0).alias("n_changed"), F.count(F.lit(1)).alias("n_lines"))
 
 

@@ -152,12 +152,13 @@ def xml_escape(text: Column) -> Column:
 def tei_paragraph(words: Column, labels: Column) -> Column:
     """Text and tagged entities, each word or entity followed by a space; an I- without an open entity drops its word."""
     tags = _literal_map(TEI_TAGS)
-    spans = _spans(labels)
 
-    def piece(x: Column, i: Column) -> Column:
-        s = F.get(F.filter(spans, lambda s: s["start"] == i), F.lit(0))
+    def entity(s: Column) -> Column:
         tag = F.coalesce(F.element_at(tags, s["type"]), F.lit("name"))
         inside = xml_escape(F.array_join(F.slice(words, s["start"] + 1, s["end"] - s["start"]), " "))
-        return F.when(x == "O", F.concat(xml_escape(F.get(words, i)), F.lit(" "))).when(s["start"].isNotNull(), F.concat(F.lit("<"), tag, F.lit(">"), inside, F.lit("</"), tag, F.lit("> "))).otherwise("")
+        return F.struct(s["start"].alias("at"), F.concat(F.lit("<"), tag, F.lit(">"), inside, F.lit("</"), tag, F.lit("> ")).alias("piece"))
 
-    return F.array_join(F.transform(labels, piece), "")
+    word = lambda x, i: F.when(x == "O", F.struct(i.alias("at"), F.concat(xml_escape(F.get(words, i)), F.lit(" ")).alias("piece")))
+    plain = F.filter(F.transform(labels, word), lambda p: p.isNotNull())
+    pieces = F.sort_array(F.concat(plain, F.transform(_spans(labels), entity)))
+    return F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
