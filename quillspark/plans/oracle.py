@@ -288,7 +288,7 @@ SELECT vec_id, CAST(step AS BIGINT) AS step, round(1 / list_sum(list_transform(x
     "split_distribution": with_(SPLIT, "SELECT split, coalesce(lang, 'inconnu') AS stratum, count(*) AS n FROM parts GROUP BY 1, 2"),
     "split_overlap": with_(SPLIT, "SELECT a.doc_id FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND a.split < b.split"),
     "seal_digest": """
-WITH r AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS d FROM documents), g AS (SELECT substr(d, 1, 3) AS g, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY 1)
+WITH r AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS d FROM documents), f AS (SELECT substr(d, 1, 6) AS g, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY 1), g AS (SELECT substr(g, 1, 3) AS g, sha256(string_agg(d, '' ORDER BY f.g)) AS d, sum(n) AS n FROM f GROUP BY 1)
 SELECT sha256(string_agg(d, '' ORDER BY g)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM g""",
     "row_islands": """
 WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT event_type, hour, hour - row_number() OVER (PARTITION BY event_type ORDER BY hour) AS run FROM h WHERE n >= 3)
