@@ -137,13 +137,14 @@ def simhash_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns; rows with a null doc_id stay.
 
-    Of rows that repeat the kept doc_id one stays as well.
+    Of rows that repeat the kept doc_id one stays as well. The join is a sort-merge join at every size: what it shuffles
+    is the texts, once.
     """
     ws = Workspace(spark, "simhash-filter")
     found = ws.keep(simhash_components(spark, docs, doc_id, text).select("doc_id", "component_id"), "found")
     kept = ws.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     (key,) = private(docs, "__kept")
-    first = docs.join(kept.select(F.col("doc_id").alias(key)), docs[doc_id] == F.col(key), "left_semi")
+    first = docs.join(kept.select(F.col("doc_id").alias(key)).hint("merge"), docs[doc_id] == F.col(key), "left_semi")
     if not kept.where("n > 1").isEmpty():
         first = first.dropDuplicates([doc_id])
     return first.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
