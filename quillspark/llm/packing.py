@@ -88,79 +88,90 @@ class LocalSearch:
     """Exchanges among underfull bins. Every step moves tokens from a bin to one at least as full, so squared fill grows."""
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, room: int):
-        self.size, self.room = lengths, room
-        self.bins = [list(b) for b in bins]
-        self.fill = [int(sum(lengths[r] for r in b)) for b in self.bins]
-        self.open = {n for n, f in enumerate(self.fill) if f < room}
-        self.least = -(-int(sum(self.fill)) // room)
+        self.size, self.room = np.asarray(lengths, np.int64), room
+        self.bin = np.zeros(len(self.size), np.int64)
+        for n, b in enumerate(bins):
+            self.bin[b] = n
+        self.fill = np.bincount(self.bin, self.size, len(bins)).astype(np.int64)
+        self.least = -(-int(self.fill.sum()) // room)
 
     def run(self) -> list[list[int]]:
-        used, failed = sum(bool(b) for b in self.bins), 0
-        # No search can go below the number of sequences that the tokens need.
-        for victim in sorted(self.open, key=lambda n: (self.fill[n], n)):
+        used, failed = int((self.fill > 0).sum()), 0
+        for victim in np.argsort(self.fill, kind="stable").tolist():
+            # No search can go below the number of sequences that the tokens need.
             if used <= self.least or failed == PATIENCE:
                 break
-            if victim not in self.open or not self.bins[victim]:
+            if not 0 < self.fill[victim] < self.room:
                 continue
-            while self.bins[victim] and self._step(victim):
+            while self.fill[victim] and self._step(victim):
                 pass
-            used -= not self.bins[victim]
-            failed = failed + 1 if self.bins[victim] else 0
-        return [b for b in self.bins if b]
-
-    def _others(self, victim: int) -> list[int]:
-        """Fullest first: small gaps are closed before large ones."""
-        return sorted((n for n in self.open if n != victim and self.bins[n] and self.fill[n] >= self.fill[victim]), key=lambda n: (-self.fill[n], n))
-
-    def _shift(self, victim: int, out: list[int], other: int, back: list[int]) -> None:
-        for r in out:
-            self.bins[victim].remove(r)
-        for r in back:
-            self.bins[other].remove(r)
-        self.bins[victim] += back
-        self.bins[other] += out
-        gained = int(sum(self.size[r] for r in out) - sum(self.size[r] for r in back))
+            used -= not self.fill[victim]
+            failed = failed + 1 if self.fill[victim] else 0
+        order = np.argsort(self.bin, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.bin[order])) + 1
+        return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
+
+    def _shift(self, out: list[int], victim: int, back: list[int], other: int) -> None:
+        self.bin[out], self.bin[back] = other, victim
+        gained = int(self.size[out].sum() - self.size[back].sum())
         self.fill[victim] -= gained
         self.fill[other] += gained
-        if self.fill[other] == self.room:
-            self.open.discard(other)
 
     def _step(self, victim: int) -> bool:
-        """One improving move or exchange; False if there is none."""
-        others = self._others(victim)
-        mine = sorted(self.bins[victim], key=lambda r: (-self.size[r], r))
-        size = self.size
-        for a in mine:  # a move
-            for other in others:
-                if size[a] <= self.room - self.fill[other]:
-                    self._shift(victim, [a], other, [])
-                    return True
-        best: tuple[int, list[int], int, list[int]] | None = None
-        pairs = [(a, c) for k, a in enumerate(mine) for c in mine[k + 1 :]]
-        for other in others:
-            gap = self.room - self.fill[other]
-            theirs = self.bins[other]
-            for b in theirs:  # one for one, two for one
-                for out in [*([a] for a in mine), *([a, c] for a, c in pairs)]:
-                    gain = int(sum(size[r] for r in out) - size[b])
-                    if 0 < gain <= gap and (best is None or gain > best[0]):
-                        best = (gain, out, other, [b])
-            for k, b in enumerate(theirs):  # one for two
-                for d in theirs[k + 1 :]:
-                    for a in mine:
-                        gain = int(size[a] - size[b] - size[d])
-                        if 0 < gain <= gap and (best is None or gain > best[0]):
-                            best = (gain, [a], other, [b, d])
-            if best is not None:
-                break
-        if best is None:
+        """The first move, else the exchange that moves the most tokens, one or two for one before one for two; False if there is none."""
+        mine = np.flatnonzero(self.bin == victim)
+        mine = mine[np.argsort(-self.size[mine], kind="stable")]
+        eligible = (self.fill < self.room) & (self.fill >= self.fill[victim])
+        eligible[victim] = False
+        others = np.flatnonzero(eligible)
+        others = others[np.argsort(-self.fill[others], kind="stable")]  # small gaps are closed before large ones
+        for a in mine.tolist():
+            fits = np.flatnonzero(self.fill[others] + self.size[a] <= self.room)
+            if len(fits):
+                self._shift([a], victim, [], int(others[fits[0]]))
+                return True
+        theirs = np.flatnonzero(eligible[self.bin])
+        if not len(theirs):
             return False
-        self._shift(victim, best[1], best[2], best[3])
-        return True
+        gaps = (self.room - self.fill)[self.bin[theirs]]
+        outs = [[a] for a in mine.tolist()] + [[a, c] for k, a in enumerate(mine.tolist()) for c in mine[k + 1 :].tolist()]
+        found = self._best(outs, self.size[theirs], gaps)
+        if found is not None:
+            out, k = found
+            self._shift(out, victim, [int(theirs[k])], int(self.bin[theirs[k]]))
+            return True
+        # Pairs of neighbours in a bin, at any distance there.
+        theirs = theirs[np.argsort(self.bin[theirs], kind="stable")]
+        step = 1
+        while True:
+            first, second = theirs[:-step], theirs[step:]
+            same = self.bin[first] == self.bin[second] if step < len(theirs) else np.zeros(0, bool)
+            if not same.any():
+                return False
+            first, second = first[same], second[same]
+            found = self._best(outs[: len(mine)], self.size[first] + self.size[second], (self.room - self.fill)[self.bin[first]])
+            if found is not None:
+                out, k = found
+                self._shift(out, victim, [int(first[k]), int(second[k])], int(self.bin[first[k]]))
+                return True
+            step += 1
+
+    def _best(self, outs: list[list[int]], sizes: np.ndarray, gaps: np.ndarray) -> tuple[list[int], int] | None:
+        """Which of outs against which of the rows with those sizes and gaps gains the most."""
+        best, found = 0, None
+        for out in outs:
+            gain = int(self.size[out].sum()) - sizes
+            gain[gain > gaps] = 0
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, found = int(gain[k]), (out, k)
+        return found
 
 
 def pack(lengths: np.ndarray, room: int = ROOM) -> list[list[int]]:
     """Bins of row numbers."""
+    if not len(lengths):
+        return []
     return LocalSearch(best_fit(lengths, room), lengths, room).run()
 
 
