@@ -49,6 +49,8 @@ class Settings:
     window: int = 8
     min_words: int = 5
     min_cover: float = 0.3
+    #: Six windows of eight words are 13 words in a row.
+    min_run: int = 6
 
 
 def _hash(word: str) -> int:
@@ -251,14 +253,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     distinct = lambda f: F.size(F.array_distinct(F.transform("map", f)))
     one_to_one = (distinct(lambda p: F.struct(p["kind"], p["a"])) == F.size("map")) & (distinct(lambda p: F.struct(p["kind"], p["b"])) == F.size("map"))
     same = F.forall("map", lambda p: p["a"] == p["b"])
-    steady = diagonal.where(one_to_one).withColumn("same", same)
+    steady = diagonal.where(one_to_one).withColumn("same", same).withColumn("run", F.size("places"))
     # Only the item's own places are gathered: at most its windows, however often a document repeats it.
-    counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", F.explode("places").alias("place"))
-    by_place = counted.groupBy("doc_id", "item_id", "place").agg(F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.bool_and("same").alias("same"))
-    by_item = by_place.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.bool_and("same").alias("verbatim"))
+    counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", "run", F.explode("places").alias("place"))
+    by_place = counted.groupBy("doc_id", "item_id", "place").agg(F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))
+    by_item = by_place.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.max("run").alias("run"), F.bool_and("same").alias("verbatim"))
     whole = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
     cover = F.col("windows") / F.col("of")
-    return by_item.join(whole, "item_id").where(cover >= settings.min_cover).select("doc_id", "item_id", "first_word", "occurrences", "windows", cover.alias("cover"), "verbatim")
+    return by_item.join(whole, "item_id").where((cover >= settings.min_cover) | (F.col("run") >= settings.min_run)).select("doc_id", "item_id", "first_word", "occurrences", "windows", cover.alias("cover"), "verbatim")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", broadcast_docs: int = 1_000_000) -> DataFrame:
