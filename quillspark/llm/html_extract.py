@@ -45,9 +45,13 @@ CONTAINERS = frozenset("body article main section div td li blockquote center dd
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|navbar|nav|navigation|menu|breadcrumbs?|foot(?:er)?|header|masthead|"
     r"comments?|commentlist|disqus|replies|respond|reply|notices?|cookies?|consent|gdpr|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
-    r"related|recommended|widget|toolbar|pagination|pager|skip-link|disclaimer|copyright|paywall|toc)(?:$|[\s_-])",
+    r"related|recommended|widget|toolbar|pagination|pager|skip-link|disclaimer|copyright|paywall|toc|contentinfo|complementary|search)\d*(?:$|[\s_-])",
     re.I,
 )
+#: What says that a page has such parts, rather than being one.
+LAYOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][\w-]+", re.I)
+#: An article element of these classes isn't the page's article.
+OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert|sponsored|promo|comments?|reply|replies|related|teaser)\d*(?:$|[\s_-])", re.I)
 MAIN_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 DECAY = 0.6
@@ -148,8 +152,8 @@ def parse(raw: str) -> Page:
         named = f"{classes} {found.get('id', '')} {found.get('role', '')}"
         top = stack[-1]
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        special = tag in ("html", "body", "article", "main")
-        skip = top.skip or tag in SKIPPED or hidden or bool(named.strip() and not special and BOILERPLATE.search(named))
+        marks = None if tag in ("html", "body", "main", "h1") else OTHER_ARTICLE if tag == "article" else BOILERPLATE
+        skip = top.skip or tag in SKIPPED or hidden or bool(marks and named.strip() and marks.search(LAYOUT.sub(" ", named)))
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
         path, container = top.path, top.container

@@ -38,6 +38,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(_remove_at_exit, spark, self.root)
 
     def path(self, label: str) -> str:
         """A path of its own below this workspace."""
@@ -58,6 +59,12 @@ class Workspace:
             remove(self.spark, t._workspace_path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are lazy and may read a workspace until the application ends; a session that was stopped before can't be asked any more."""
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
