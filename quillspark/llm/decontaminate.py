@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, private, table
+from .tokens import Growing, Places, ragged, worker_cache
 
 #: Units that follow a number.
 UNITS = frozenset(
@@ -60,72 +61,78 @@ def _hash(word: str) -> int:
 
 
 class Canonical:
-    """Turns texts into arrays of canonical words; keeps what it found for at most max_chunks distinct chunks."""
+    """Turns texts into arrays of canonical words; keeps what it found for some max_chunks distinct chunks and starts anew beyond."""
 
-    HASH, KIND, CAPITAL = np.uint64, np.int8, np.bool_
-
-    def __init__(self, max_chunks: int = 300_000):
+    def __init__(self, max_chunks: int = 400_000):
         self.max_chunks = max_chunks
         self.marks = np.array([0, *(_hash(f"<{k}>") for k in ("number", "unit", "name"))], np.uint64)
         self._clear()
 
+    @classmethod
+    def of_worker(cls) -> "Canonical":
+        """The Python worker's own."""
+        cache = worker_cache()
+        if "canonical" not in cache:
+            cache["canonical"] = cls()
+        return cache["canonical"]
+
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: list[str] = []
-        self.rows: list[tuple[int, int, bool, bool]] = []  # hash, kind, capitalised, ends a sentence
-        self.first: list[int] = []
-        self.count: list[int] = []
-        self.tables = None
-
-    def _learn(self, chunk: str) -> int:
-        self.place[chunk] = at = len(self.first)
-        found = WORD.findall(chunk)
-        self.first.append(len(self.rows))
-        self.count.append(len(found))
-        ends = bool(ENDS.search(chunk))
-        for n, w in enumerate(found):
-            low = w.lower()
-            kind = NUMBER if w[-1].isdigit() else UNIT if low in UNITS else LITERAL
-            self.rows.append((_hash(low), kind, w[0].isupper() and not (len(w) > 1 and w.isupper()), ends and n == len(found) - 1))
-            self.words.append(w)
-        self.tables = None
-        return at
-
-    def _arrays(self):
-        if self.tables is None:
-            columns = list(zip(*self.rows)) or [()] * 4
-            self.tables = (np.array(self.first, np.int64), np.array(self.count, np.int64), *(np.array(c, t) for c, t in zip(columns, (np.uint64, np.int8, bool, bool))))
-        return self.tables
+        self.places, self.chunks = Places(), []
+        # Of chunks: the first of their words and how many. Of words: hash, kind, whether capitalised or ending a sentence.
+        self.first, self.count = Growing(np.int64), Growing(np.int64)
+        self.hashes, self.kinds, self.capital, self.ends = Growing(np.uint64), Growing(np.int8), Growing(bool), Growing(bool)
+
+    def _learn(self) -> None:
+        fresh, self.places.fresh = self.places.fresh, []
+        if not fresh:
+            return
+        counts, rows = [], []
+        for chunk in fresh:
+            found = WORD.findall(chunk)
+            counts.append(len(found))
+            last = len(found) - 1 if ENDS.search(chunk) else -1
+            for n, w in enumerate(found):
+                low = w.lower()
+                kind = NUMBER if w[-1].isdigit() else UNIT if low in UNITS else LITERAL
+                rows.append((_hash(low), kind, w[0].isupper() and not (len(w) > 1 and w.isupper()), n == last))
+        n = np.array(counts, np.int64)
+        self.first.add(len(self.hashes) + np.cumsum(n) - n)
+        self.count.add(n)
+        self.chunks += fresh
+        for table, column in zip((self.hashes, self.kinds, self.capital, self.ends), zip(*rows)):
+            table.add(column)
 
     def encode(self, texts: list[str]):
-        """For all texts in a row: their word counts, canonical hashes, kinds, and the words' rows in self.words."""
-        if len(self.place) > self.max_chunks:
+        """For all texts in a row: where each begins, canonical hashes, kinds, and for word_of() the words' chunks and places there."""
+        if len(self.places) > self.max_chunks:
             self._clear()
-        place, learn = self.place, self._learn
-        rows, sizes = [], []
-        for t in texts:
-            chunks = t.replace("\n", " ").split(" ")
-            rows += [place[c] if c in place else learn(c) for c in chunks]
-            sizes.append(len(chunks))
-        first, count, hashes, kinds, capital, ends = self._arrays()
-        at = np.array(rows, np.int64)
-        n = count[at]
-        stop = np.cumsum(n)
-        word = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first[at] - (stop - n), n)
-        chunk_ends = np.cumsum(sizes)
-        totals = np.concatenate([[0], stop])[np.concatenate([[0], chunk_ends])]
+        place = self.places.__getitem__
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        at = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(place, c), np.int64, len(c)) for c in split)])
+        self._learn()
+        n = self.count.values[at]
+        word = ragged(self.first.values[at], n)
+        totals = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(c) for c in split])]).astype(np.int64)]
+        starts = totals[:-1][totals[:-1] < len(word)]
         begins = np.zeros(len(word), bool)  # the first word of a text or sentence
-        begins[1:] = ends[word[:-1]]
-        begins[totals[:-1][totals[:-1] < len(word)]] = True
-        kind = kinds[word].copy()
-        behind = np.zeros(len(word), bool)
+        begins[1:] = self.ends.values[word[:-1]]
+        begins[starts] = True
+        kind = self.kinds.values[word]
+        behind = np.zeros(len(word), bool)  # right behind a number
         behind[1:] = kind[:-1] == NUMBER
-        behind[totals[:-1][totals[:-1] < len(word)]] = False
+        behind[starts] = False
         kind[(kind == UNIT) & ~behind] = LITERAL
-        kind[(kind == LITERAL) & capital[word] & ~begins] = NAME
-        canonical = np.where(kind == LITERAL, hashes[word], self.marks[kind])
+        kind[(kind == LITERAL) & self.capital.values[word] & ~begins] = NAME
+        canonical = np.where(kind == LITERAL, self.hashes.values[word], self.marks[kind])
         return totals, canonical, kind, word
 
+    def word_of(self, row: int) -> str:
+        """The word in a row of the words' tables."""
+        chunk = int(np.searchsorted(self.first.values, row, side="right")) - 1
+        while not self.count.values[chunk]:  # chunks without a word begin where the one before them does
+            chunk -= 1
+        return WORD.findall(self.chunks[chunk])[row - int(self.first.values[chunk])]
+
 
 def window_hashes(canonical: np.ndarray, size: int) -> np.ndarray:
     """A hash for each window of size words."""
@@ -164,7 +171,7 @@ def _windows(coder: Canonical, texts: list[str], sizes: tuple[int, ...], short_o
 
 def _slots(coder: Canonical, kind: np.ndarray, word: np.ndarray, at: int, size: int) -> list[str]:
     """The words under a window's placeholders: place, kind and lower-cased word."""
-    return [f"{k}:{kind[at + k]}:{coder.words[word[at + k]].lower()}" for k in range(size) if kind[at + k] != LITERAL]
+    return [f"{k}:{kind[at + k]}:{coder.word_of(int(word[at + k])).lower()}" for k in range(size) if kind[at + k] != LITERAL]
 
 
 SCHEMA = "hash long, pos int, size int, slots array<string>"
@@ -177,7 +184,7 @@ def item_windows(benchmark: DataFrame, settings: Settings, item_id: str = "item_
     sizes = tuple(range(settings.min_words, settings.window + 1))
 
     def run(batches):
-        coder = Canonical()
+        coder = Canonical.of_worker()
         for b in batches:
             ids, out = b.column(0), []
             for size, h, start, row, good, totals, kind, word in _windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, settings.window):
@@ -212,14 +219,14 @@ def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...],
         at, chars = 0, 0
         for n, t in enumerate(values):
             chars += len(t)
-            if chars >= 4_000_000:
+            if chars >= 1_000_000:
                 yield at, values[at : n + 1]
                 at, chars = n + 1, 0
         if at < len(values):
             yield at, values[at:]
 
     def run(batches):
-        coder, bits = Canonical(), held.value
+        coder, bits = Canonical.of_worker(), held.value
         for b in batches:
             ids, out = b.column(0), []
             for first, part in blocks([t or "" for t in b.column(1).to_pylist()]):

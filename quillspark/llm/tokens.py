@@ -31,6 +31,26 @@ class Places(dict):
         return n
 
 
+class Growing:
+    """An array that rows are appended to."""
+
+    def __init__(self, kind, room: int = 1 << 14):
+        self.buffer, self.used = np.zeros(room, kind), 0
+
+    def __len__(self) -> int:
+        return self.used
+
+    def add(self, rows) -> None:
+        while self.used + len(rows) > len(self.buffer):
+            self.buffer = np.concatenate([self.buffer, np.zeros_like(self.buffer)])
+        self.buffer[self.used : self.used + len(rows)] = rows
+        self.used += len(rows)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.buffer[: self.used]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of the runs that begin at starts and have those lengths."""
     ends = np.cumsum(lengths)
@@ -69,17 +89,7 @@ class ChunkCoder:
 
     def _clear(self) -> None:
         self.places = Places()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.lengths, self.starts, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Append runs of ids; their starts."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        return starts
+        self.ids, self.lengths, self.starts = Growing(np.uint32), Growing(np.int32), Growing(np.int64)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after another, and the numbers of ids."""
@@ -109,12 +119,9 @@ class ChunkCoder:
         runs = np.stack([starts[rows], tail_starts[signs]], axis=1).ravel()
         sizes = np.stack([lengths[rows], tail_lengths[signs]], axis=1).ravel()
         both = sizes[0::2] + sizes[1::2]
-        placed = self._store(pool[ragged(runs, sizes)], both)
-        n = self.known + len(fresh)
-        while n > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
-        self.lengths[self.known : n], self.starts[self.known : n] = both, placed
-        self.known = n
+        self.starts.add(len(self.ids) + np.cumsum(both) - both)
+        self.lengths.add(both)
+        self.ids.add(pool[ragged(runs, sizes)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -124,10 +131,11 @@ class ChunkCoder:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         rows = [np.fromiter(map(place, c), np.int64, len(c)) for c in chunks]
         self._learn()
-        return [self.ids[ragged(self.starts[r], self.lengths[r])] for r in rows]
+        ids, starts, lengths = self.ids.values, self.starts.values, self.lengths.values
+        return [ids[ragged(starts[r], lengths[r])] for r in rows]
 
 
-def encode_blocks(coder: ChunkCoder, texts: list[str], block_chars: int = 4_000_000):
+def encode_blocks(coder: ChunkCoder, texts: list[str], block_chars: int = 1_000_000):
     """The ids of each text in order, encoded in blocks of bounded size."""
     block: list[str] = []
     held = 0
