@@ -159,7 +159,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, out: str, min_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), b.column(5), b.column(1), pa.array(digest), pa.array(size, pa.int64()), b.column(4), pa.array(member, pa.binary())], names=["shard", "page_id", "kind", "url", "digest", "size", "first", "member"])
 
     built = rows.unionByName(told).mapInArrow(build, "shard int, page_id long, kind int, url string, digest string, size long, first long, member binary")
-    ordered = built.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    ordered = built.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches):
         files, now, first, repeat = _Files(out, roll_bytes), None, None, 0
