@@ -27,8 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, private, table
-from .tokens import Growing, Places, ragged, worker_cache
+from .shared import Workspace, private, table, values
+from .tokens import Growing, Places, of_worker, ragged
 
 #: Units that follow a number.
 UNITS = frozenset(
@@ -63,7 +63,7 @@ def _hash(word: str) -> int:
 class Canonical:
     """Turns texts into arrays of canonical words; keeps what it found for some max_chunks distinct chunks and starts anew beyond."""
 
-    def __init__(self, max_chunks: int = 400_000):
+    def __init__(self, max_chunks: int = 300_000):
         self.max_chunks = max_chunks
         self.marks = np.array([0, *(_hash(f"<{k}>") for k in ("number", "unit", "name"))], np.uint64)
         self._clear()
@@ -71,10 +71,7 @@ class Canonical:
     @classmethod
     def of_worker(cls) -> "Canonical":
         """The Python worker's own."""
-        cache = worker_cache()
-        if "canonical" not in cache:
-            cache["canonical"] = cls()
-        return cache["canonical"]
+        return of_worker(("canonical",), cls)
 
     def _clear(self) -> None:
         self.places, self.chunks = Places(), []
@@ -215,21 +212,22 @@ def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...],
 
     held = docs.sparkSession.sparkContext.broadcast(mask)  # 2 MB
 
-    def blocks(values: list[str]):
-        at, chars = 0, 0
-        for n, t in enumerate(values):
-            chars += len(t)
+    def blocks(column):
+        part, at, chars = [], 0, 0
+        for t in values(column):
+            part.append(t or "")
+            chars += len(part[-1])
             if chars >= 1_000_000:
-                yield at, values[at : n + 1]
-                at, chars = n + 1, 0
-        if at < len(values):
-            yield at, values[at:]
+                yield at, part
+                part, at, chars = [], at + len(part), 0
+        if part:
+            yield at, part
 
     def run(batches):
         coder, bits = Canonical.of_worker(), held.value
         for b in batches:
             ids, out = b.column(0), []
-            for first, part in blocks([t or "" for t in b.column(1).to_pylist()]):
+            for first, part in blocks(b.column(1)):
                 for size, h, start, row, good, totals, kind, word in _windows(coder, part, sizes, None):
                     place, want = _bits(h)
                     for k in np.flatnonzero(good & (bits[place] & want == want)):

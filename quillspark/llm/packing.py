@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, table, values
 from .tokens import ChunkCoder, encode_blocks
 
 ROOM, END_TOKEN = 4096, 1
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END_TOKEN, d
         coder = ChunkCoder.of_worker(path)
         for b in batches:
             parent, rows = [], []
-            for n, ids in enumerate(encode_blocks(coder, [t or "" for t in b.column(1).to_pylist()])):
+            for n, ids in enumerate(encode_blocks(coder, (t or "" for t in values(b.column(1))))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), room)):
                     part = ids[at : at + room]

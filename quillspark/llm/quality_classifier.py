@@ -186,10 +186,10 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
 
 
 def _features(batch, text: int, lang: int, source: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = texts(batch.column(text))
-    meta = zip(batch.column(lang).to_pylist(), batch.column(source).to_pylist(), raw)
-    x = np.array([text_features(r) for r in raw]).reshape(len(raw), TEXT_FEATURES)
-    return x, np.array([metadata_features(a, b, len(r)) for a, b, r in meta]).reshape(len(raw), META_FEATURES)
+    found = [(text_features(r), len(r)) for r in texts(batch.column(text))]
+    meta = zip(batch.column(lang).to_pylist(), batch.column(source).to_pylist(), found)
+    x = np.array([f for f, _ in found]).reshape(len(found), TEXT_FEATURES)
+    return x, np.array([metadata_features(a, b, n) for a, b, (_, n) in meta]).reshape(len(found), META_FEATURES)
 
 
 def _views(rows: list) -> list[np.ndarray]:
@@ -212,9 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
 
     def run(batches):
         for b in batches:
-            raw = texts(b.column(1))
-            x = pa.array([text_features(r) for r in raw], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), x, b.column(2), b.column(3), pa.array(map(len, raw), pa.int64())], names=["id", "quality", "x", "lang", "source", "size"])
+            found = [(text_features(r), len(r)) for r in texts(b.column(1))]
+            x, sizes = pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), x, b.column(2), b.column(3), sizes], names=["id", "quality", "x", "lang", "source", "size"])
 
     kinds = rows.dtypes
     found = sorted(rows.mapInArrow(run, f"id {kinds[0][1]}, quality int, x array<double>, lang string, source string, size long").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["x"]))

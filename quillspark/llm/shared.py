@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,12 +83,18 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def texts(column) -> list[bytes]:
+def values(column, step: int = 500) -> Iterator:
+    """The Python values of an Arrow column; few are held at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def texts(column) -> Iterator[bytes]:
     """An Arrow string column as UTF-8 bytes, nulls as empty."""
     import pyarrow as pa
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [x or b"" for x in column.cast(kind).to_pylist()]
+    return (x or b"" for x in values(column.cast(kind)))
 
 
 def long_column(values: Iterable[int]):

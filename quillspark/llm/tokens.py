@@ -9,13 +9,19 @@ from __future__ import annotations
 import sys
 import types
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks of one worker share what they have learnt."""
-    return sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker")).__dict__
+def of_worker(key: tuple, make):
+    """What the tasks of a Python worker share under key, made by the first of them. A worker keeps one such thing at a time, to bound its memory."""
+    cache = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker"))
+    if getattr(cache, "key", None) != key:
+        cache.key = cache.held = None
+        cache.held = make()
+        cache.key = key
+    return cache.held
 
 
 class Places(dict):
@@ -31,6 +37,10 @@ class Places(dict):
         return n
 
 
+#: Letters before this one are in every version of Unicode that a tokenizer may follow.
+LATIN_END = "\u0250"
+
+
 class Growing:
     """An array that rows are appended to."""
 
@@ -70,22 +80,22 @@ def _parted(chunk: str) -> tuple[str, str]:
 class ChunkCoder:
     """Encodes texts; keeps the ids of some max_chunks distinct chunks and starts anew beyond."""
 
-    def __init__(self, path: str, max_chunks: int = 800_000):
+    def __init__(self, path: str, max_chunks: int = 650_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkCoder":
         """The worker's own coder for that vocabulary."""
-        cache = worker_cache()
-        if ("coder", path) not in cache:
-            cache["coder", path] = cls(path)
-        return cache["coder", path]
+        return of_worker(("coder", path), lambda: cls(path))
 
     def _clear(self) -> None:
         self.places = Places()
@@ -93,6 +103,28 @@ class ChunkCoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after another, and the numbers of ids."""
+        plain = [w.isalpha() and max(w) < LATIN_END for w in words]
+        done = self._plain([w for w, p in zip(words, plain) if p])
+        other = self._any([w for w, p in zip(words, plain) if not p])
+        lengths = np.zeros(len(words), np.int64)
+        is_plain = np.array(plain, bool)
+        lengths[is_plain], lengths[~is_plain] = done[1], other[1]
+        starts = np.zeros(len(words), np.int64)
+        starts[is_plain] = np.cumsum(done[1]) - done[1]
+        starts[~is_plain] = len(done[0]) + np.cumsum(other[1]) - other[1]
+        return np.concatenate([done[0], other[0]])[ragged(starts, lengths)], lengths
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of Latin letters only: each word is one pre-token, whose last id is one that ends a word, so a run of words is encoded as one text."""
+        texts = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        ids = np.array([x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(words):
+            return self._any(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of whatever has no space."""
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
@@ -135,7 +167,7 @@ class ChunkCoder:
         return [ids[ragged(starts[r], lengths[r])] for r in rows]
 
 
-def encode_blocks(coder: ChunkCoder, texts: list[str], block_chars: int = 1_000_000):
+def encode_blocks(coder: ChunkCoder, texts: Iterable[str], block_chars: int = 1_000_000):
     """The ids of each text in order, encoded in blocks of bounded size."""
     block: list[str] = []
     held = 0
