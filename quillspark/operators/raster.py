@@ -29,17 +29,23 @@ def segment_lines(rows: DataFrame, min_height: int = 10, margin: int = 3) -> Dat
 
     Text rows have ink over 1 % of the width; runs lower than min_height go, margins are added within the page; the width
     runs from the first to the last ink column, the last one excluded. Pages without rows or with uneven rows are errors.
+
+    Pixels become three numbers a row, and only these are shuffled, once, by page: a band's first and last ink columns are
+    the least and greatest, over its text rows, of what a window of the margin finds around each row.
     """
-    n = F.size("pixels")
-    inked = F.filter(F.transform("pixels", lambda p, i: F.when(p < 255, i)), lambda i: i.isNotNull())
-    measured = rows.select("page_id", "row_idx", n.alias("width"), (ink(F.col("pixels")) > n * 0.01).alias("active"), F.array_min(inked).alias("left"), F.array_max(inked).alias("right"))
-    pages = measured.groupBy("page_id").agg(F.max("width").alias("page_width"), F.min("width").alias("least"), (F.max("row_idx") + 1).alias("height"))
-    even = F.when((F.col("least") == F.col("page_width")) & (F.col("page_width") > 0), F.col("height")).otherwise(F.raise_error(F.lit("a page's rows are uneven or empty")).cast("int"))
-    bands = islands(measured, "page_id", order="row_idx", active=F.col("active")).where(F.col("end") - F.col("start") >= min_height).join(pages.select("page_id", even.alias("height")), "page_id")
-    bands = bands.select("page_id", F.greatest(F.col("start") - margin, F.lit(0)).alias("y0"), F.least(F.col("end") + margin, F.col("height")).alias("y1"))
-    # Equi-join on (page, row): each band names its rows.
-    inside = bands.withColumn("row_idx", F.explode(F.sequence("y0", F.col("y1") - 1))).join(measured.select("page_id", "row_idx", "left", "right"), ["page_id", "row_idx"])
-    boxes = inside.groupBy("page_id", "y0", "y1").agg(F.min("left").alias("x0"), F.max("right").alias("x1")).where("x0 IS NOT NULL")
+    at = rows.select("page_id", "row_idx", F.size("pixels").alias("width"), ink(F.col("pixels")).alias("ink"), F.transform("pixels", lambda p, i: F.when(p < 255, i)).alias("at"))
+    measured = at.select("page_id", "row_idx", "width", (F.col("ink") > F.col("width") * 0.01).alias("active"), F.array_min("at").alias("left"), F.array_max("at").alias("right"))
+    page, down = Window.partitionBy("page_id"), Window.partitionBy("page_id").orderBy("row_idx")
+    near = down.rangeBetween(-margin, margin)
+    even = (F.min("width").over(page) == F.max("width").over(page)) & (F.min("width").over(page) > 0)
+    height = F.when(even, F.max("row_idx").over(page) + 1).otherwise(F.raise_error(F.lit("a page's rows are uneven or empty")).cast("int"))
+    begins = F.col("active") & ~F.coalesce(F.lag("active").over(down), F.lit(False))
+    seen = measured.select("page_id", "row_idx", "active", height.alias("height"), begins.cast("int").alias("begins"), F.min("left").over(near).alias("left"), F.max("right").over(near).alias("right"))
+    runs = seen.withColumn("run", F.sum("begins").over(down)).where("active").groupBy("page_id", "run").agg(
+        F.min("row_idx").alias("start"), (F.max("row_idx") + 1).alias("end"), F.min("left").alias("x0"), F.max("right").alias("x1"), F.max("height").alias("height")
+    )
+    boxes = runs.where((F.col("end") - F.col("start") >= min_height) & F.col("x0").isNotNull())
+    boxes = boxes.withColumn("y0", F.greatest(F.col("start") - margin, F.lit(0))).withColumn("y1", F.least(F.col("end") + margin, F.col("height")))
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("y0", "y1")) - 1
     x, y, w, h = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     corner = lambda a, b: F.array(a.cast("double"), b.cast("double"))

@@ -24,9 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than that, as one small file does. Larger inputs stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, pos, line) of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ln", "x"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = texts.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ln", "x"))
     words = docs.select("doc_id", "lang", "source", "ln", F.split("x", " ").alias("w"))
     step = F.lit(WORDS_A_LINE)
     parts = F.transform(F.sequence(F.lit(0), F.size("w") - 1, step), lambda s: F.array_join(F.slice("w", s + 1, step), " "))
@@ -66,10 +73,12 @@ def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, row_idx, pixels): a page for each document, 18 rows a text line, of which 12 (8 in every seventh line) have ink; 48 pixels wide."""
     numbered = lines(spark, sf_dir).withColumn("pos", F.floor(F.col("pos") / LINE_STEP))
     one = numbered.groupBy("doc_id", "pos").agg(F.max(F.length("line")).alias("n"))
-    pages = one.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    # Few bytes that become many rows: adaptive execution would join them in one partition.
+    pages = one.groupBy("doc_id").agg(F.max("pos").alias("last")).repartition(spark.sparkContext.defaultParallelism, "doc_id")
     rows = pages.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("last") + 1) * 18 - 1)).alias("row_idx")).withColumn("pos", F.floor(F.col("row_idx") / 18))
     tall = F.when(F.col("pos") % 7 == 6, 8).otherwise(12)
     inked = F.col("n").isNotNull() & (F.col("row_idx") % 18 >= 4) & (F.col("row_idx") % 18 < tall + 4)
-    left, right = F.col("pos") % 5, F.least(F.lit(47), 10 + F.col("n") % 40)
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda x: F.when(inked & (x >= left) & (x <= right), 0).otherwise(255))
+    left, right = (F.col("pos") % 5).cast("int"), F.least(F.lit(47), 10 + F.col("n") % 40).cast("int")
+    run = lambda value, n: F.array_repeat(F.lit(value), n)
+    pixels = F.when(inked, F.concat(run(255, left), run(0, right - left + 1), run(255, 47 - right))).otherwise(run(255, F.lit(48)))
     return rows.join(one, ["doc_id", "pos"], "left").select(F.col("doc_id").alias("page_id"), F.col("row_idx").cast("int").alias("row_idx"), pixels.alias("pixels"))

@@ -231,16 +231,16 @@ def candidate_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def confidence_resize(spark: SparkSession, sf: str) -> DataFrame:
-    v = derive.lines(spark, sf)
-    sized = sequences.resized(derive.percents(F.length("line")), F.lit(100))
+    v = derive.lines(spark, sf).withColumn("percent", derive.percents(F.length("line")))
+    sized = sequences.resized(F.col("percent"), F.lit(100))
     return v.select("doc_id", "pos", F.array_join(F.transform(sized, lambda x: x.cast("int").cast("string")), ",").alias("percents"))
 
 
 @query
 def token_to_char(spark: SparkSession, sf: str) -> DataFrame:
     v = derive.lines(spark, sf).withColumn("pieces", F.concat(F.array(F.lit("")), F.split("line", " ")))
-    percent = derive.percents(F.size("pieces") - 2)
-    spread = sequences.spread_confidences(F.col("pieces"), percent, F.col("line"))
+    v = v.withColumn("percent", derive.percents(F.size("pieces") - 2))
+    spread = sequences.spread_confidences(F.col("pieces"), F.col("percent"), F.col("line"))
     return v.select("doc_id", "pos", F.array_join(F.transform(spread, lambda x: x.cast("int").cast("string")), ",").alias("percents"))
 
 
@@ -255,7 +255,7 @@ def softmax_confidence(spark: SparkSession, sf: str) -> DataFrame:
 def subtoken_labels(spark: SparkSession, sf: str) -> DataFrame:
     v = tokens.with_labels(derive.lines(spark, sf), derive.CORPUS_LEXICON, "line").where(F.size("words") > 0)
     ids = F.transform(F.sequence(F.lit(0), 2 * F.size("words")), lambda i: F.when(i % 7 != 0, F.floor((i - 1) / 2).cast("int")))
-    found = v.select("doc_id", "pos", sequences.subtoken_labels(F.col("labels"), ids).alias("x"))
+    found = v.withColumn("ids", ids).select("doc_id", "pos", sequences.subtoken_labels(F.col("labels"), F.col("ids")).alias("x"))
     return found.select("doc_id", "pos", F.array_join(F.col("x").cast("array<string>"), ",").alias("label_ids"))
 
 

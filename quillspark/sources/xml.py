@@ -80,17 +80,21 @@ def _parsed(files: DataFrame, namespaces: tuple[str, ...]) -> DataFrame:
 def corpus_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From files(path, content): (path, line_idx, text, polygon) of lines with both a text and a polygon, and (path, error) of files that can't be read.
 
-    Texts are stripped. A PAGE token without a comma is skipped; any number that isn't one quarantines its page.
+    Texts are stripped. A PAGE token without a comma is skipped; any number that isn't one quarantines its page. A page is
+    judged by its own array of lines, so neither result needs a shuffle.
     """
-    parsed = _parsed(files, (PAGE_NAMESPACE, PAGE_NAMESPACE_2013))
-    lines = parsed.select("path", "error", F.posexplode_outer("lines").alias("line_idx", "line")).select("path", "error", "line_idx", "line.*")
-    page_tokens = F.filter(F.split(F.coalesce("points", F.lit("")), r"\s+"), lambda t: F.contains(t, F.lit(",")))
-    alto_tokens = F.filter(F.split(F.coalesce("points", F.lit("")), r"\s+"), lambda t: t != "")
     number = lambda t: t.try_cast("double").isNotNull()
-    good = F.when(F.col("kind") == "page", F.forall(page_tokens, lambda t: (F.size(F.split(t, ",", -1)) == 2) & F.forall(F.split(t, ",", -1), number))).when(F.col("kind") == "alto", F.forall(alto_tokens, number)).otherwise(F.lit(True))
-    marked = lines.withColumn("good", good)
-    bad = marked.where("NOT good OR error IS NOT NULL").groupBy("path").agg(F.first(F.coalesce("error", F.lit("not a number in a polygon"))).alias("error"))
-    fine = marked.where("good AND error IS NULL").join(bad.select("path"), "path", "left_anti")
+
+    def good(x: Column) -> Column:
+        found = F.filter(F.split(F.coalesce(x["points"], F.lit("")), r"\s+"), lambda t: t != "")
+        pair = lambda t: ~F.contains(t, F.lit(",")) | ((F.size(F.split(t, ",", -1)) == 2) & F.forall(F.split(t, ",", -1), number))
+        return F.when(x["kind"] == "page", F.forall(found, pair)).otherwise(F.forall(found, number))
+
+    parsed = _parsed(files, (PAGE_NAMESPACE, PAGE_NAMESPACE_2013))
+    wrong = F.when(F.exists("lines", lambda x: ~good(x)), F.lit("not a number in a polygon"))
+    judged = parsed.select("path", "lines", F.coalesce("error", wrong).alias("error"))
+    bad = judged.where("error IS NOT NULL").select("path", "error")
+    fine = judged.where("error IS NULL").select("path", F.posexplode("lines").alias("line_idx", "line")).select("path", "line_idx", "line.*")
     size = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
     polygon = F.when(F.col("kind") == "page", geometry.parse_points(F.col("points"))).otherwise(geometry.alto_polygon(F.col("points"), size("hpos"), size("vpos"), size("width"), size("height")))
     out = fine.select("path", "line_idx", F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("text"), polygon.alias("polygon"))
