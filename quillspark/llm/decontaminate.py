@@ -1,13 +1,14 @@
 """Benchmark decontamination (operator 3): canonical templates of windows, hash join, slot consistency.
 
 Words become canonical: numbers, names and units turn into typed placeholders, all else into its lower-cased letters. A
-window is `window` canonical words in a row of which at least half are literal. All windows of the benchmark's items and
+window is `window` words in a row. Each is hashed twice: by its plain lower-cased words, whatever they are (verbatim), and,
+if at least half of its canonical words are literal, by these (template). All windows of the benchmark's items and
 of every document are hashed; a fixed-size Bloom filter of the items' hashes spares the documents' other windows, and what
 passes is hash-joined with the items' windows in Spark, so false positives of the filter cost time but change nothing.
 Matches of a document and an item on one diagonal (document position minus item position) are one occurrence. There, the
 words under the placeholders must map one to one between item and document, kind by kind: a question with other numbers,
 names or units is caught, unrelated text that happens to share a pattern isn't. A pair counts when consistent occurrences
-hold at least `min_cover` of the item's windows.
+hold at least `min_cover` of the item's windows, or of those that have a template.
 
 A name is a capitalised (not all-capital) word that doesn't begin a sentence, a number is digits with signs, a unit is one
 of a fixed list right behind a number. Items with fewer words than a window but at least `min_words` give one window of
@@ -41,6 +42,9 @@ ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 #: Words of the Bloom filter, 64 bits each: 2 MB whatever the benchmark's size.
 BLOOM_WORDS = 1 << 18
 MIX = 0x9E3779B97F4A7C15
+#: Forms of a window.
+TEMPLATE, VERBATIM = 0, 1
+SEEDS = (0x51, 0x6D)
 
 
 @dataclass(frozen=True)
@@ -100,7 +104,7 @@ class Canonical:
             table.add(column)
 
     def encode(self, texts: list[str]):
-        """For all texts in a row: where each begins, canonical hashes, kinds, and for word_of() the words' chunks and places there."""
+        """For all texts in a row: where each begins, canonical and plain hashes, kinds, and for word_of() the words' chunks and places there."""
         if len(self.places) > self.max_chunks:
             self._clear()
         place = self.places.__getitem__
@@ -120,8 +124,9 @@ class Canonical:
         behind[starts] = False
         kind[(kind == UNIT) & ~behind] = LITERAL
         kind[(kind == LITERAL) & self.capital.values[word] & ~begins] = NAME
-        canonical = np.where(kind == LITERAL, self.hashes.values[word], self.marks[kind])
-        return totals, canonical, kind, word
+        plain = self.hashes.values[word]
+        canonical = np.where(kind == LITERAL, plain, self.marks[kind])
+        return totals, canonical, plain, kind, word
 
     def word_of(self, row: int) -> str:
         """The word in a row of the words' tables."""
@@ -131,17 +136,14 @@ class Canonical:
         return WORD.findall(self.chunks[chunk])[row - int(self.first.values[chunk])]
 
 
-def window_hashes(canonical: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each window of size words."""
-    n = len(canonical) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, size * 0x51, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            h = h * np.uint64(MIX) + canonical[k : k + n]
-            h ^= h >> np.uint64(29)
-    return h
+def window_hashes(words: np.ndarray, sizes: tuple[int, ...], seed: int):
+    """Of each size in ascending order, a hash for each window of so many words."""
+    h = np.full(len(words), seed, np.uint64)
+    for k in range(min(max(sizes, default=0), len(words))):
+        h = h[: len(words) - k] * np.uint64(MIX) + words[k:]
+        h ^= h >> np.uint64(29)
+        if k + 1 in sizes:
+            yield k + 1, h
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,42 +154,51 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(coder: Canonical, texts: list[str], sizes: tuple[int, ...], short_only: int | None):
-    """(row, start, size, hash, kinds slice) of windows with enough literal words, per window size, over all texts at once."""
-    totals, canonical, kind, word = coder.encode(texts)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    """Per form and window size, over all texts at once: form, size, hashes, which of them count, which have a template, and the words' rows, places, kinds and chunks."""
+    totals, canonical, plain, kind, word = coder.encode(texts)
     lengths = np.diff(totals)
-    for size in sizes:
-        h = window_hashes(canonical, size)
-        start = np.arange(len(h))
-        row = np.searchsorted(totals, start, side="right") - 1
-        good = (start + size <= totals[row + 1]) & (2 * (literal[size : size + len(h)] - literal[: len(h)]) >= size)
-        if short_only is not None and size < short_only:
-            good &= lengths[row] == size
-        yield size, h, start, row, good, totals, kind, word
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pos = np.arange(len(row)) - totals[row]
+    left = lengths[row] - pos
+    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    for form, words in ((TEMPLATE, canonical), (VERBATIM, plain)):
+        for size, h in window_hashes(words, sizes, SEEDS[form]):
+            n = len(h)
+            good = left[:n] >= size
+            if short_only is not None and size < short_only:
+                good &= lengths[row[:n]] == size
+            templated = 2 * (literal[size : size + n] - literal[:n]) >= size
+            yield form, size, h, good if form == VERBATIM else good & templated, templated, row, pos, kind, word
 
 
 def _slots(coder: Canonical, kind: np.ndarray, word: np.ndarray, at: int, size: int) -> list[str]:
-    """The words under a window's placeholders: place, kind and lower-cased word."""
+    """The words under a template's placeholders: place, kind and lower-cased word."""
     return [f"{k}:{kind[at + k]}:{coder.word_of(int(word[at + k])).lower()}" for k in range(size) if kind[at + k] != LITERAL]
 
 
-SCHEMA = "hash long, pos int, size int, slots array<string>"
+SCHEMA = "form int, hash long, pos int, size int, slots array<string>, templated boolean"
 
 
-def item_windows(benchmark: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, hash, pos, size, slots) of all windows of the items."""
+def _found(rows: list[tuple], ids, name: str):
+    """An Arrow batch of rows (place in ids, form, hash, pos, size, slots, templated)."""
     import pyarrow as pa
 
+    c = list(zip(*rows)) or [()] * 7
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), *map(pa.array, c[1:], kinds)], names=[name, "form", "hash", "pos", "size", "slots", "templated"])
+
+
+def item_windows(benchmark: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, form, hash, pos, size, slots, templated) of all windows of the items."""
     sizes = tuple(range(settings.min_words, settings.window + 1))
 
     def run(batches):
         coder = Canonical.of_worker()
         for b in batches:
-            ids, out = b.column(0), []
-            for size, h, start, row, good, totals, kind, word in _windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, settings.window):
-                out += [(int(row[k]), int(h[k].view(np.int64)), int(start[k] - totals[row[k]]), size, _slots(coder, kind, word, int(start[k]), size)) for k in np.flatnonzero(good)]
-            c = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.string()))], names=["item_id", "hash", "pos", "size", "slots"])
+            out = []
+            for form, size, h, good, templated, row, pos, kind, word in _windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, settings.window):
+                out += [(int(row[k]), form, int(h[k].view(np.int64)), int(pos[k]), size, [] if form == VERBATIM else _slots(coder, kind, word, int(k), size), bool(templated[k])) for k in np.flatnonzero(good)]
+            yield _found(out, b.column(0), "item_id")
 
     kind = benchmark.schema[item_id].dataType.simpleString()
     return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).mapInArrow(run, f"item_id {kind}, {SCHEMA}")
@@ -207,9 +218,7 @@ def bloom(windows: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...], doc_id: str, text: str) -> DataFrame:
-    """(doc_id, hash, pos, size, slots) of the documents' windows that pass the filter."""
-    import pyarrow as pa
-
+    """(doc_id, form, hash, pos, size, slots, templated) of the documents' windows that pass the filter."""
     held = docs.sparkSession.sparkContext.broadcast(mask)  # 2 MB
 
     def blocks(column):
@@ -226,14 +235,13 @@ def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...],
     def run(batches):
         coder, bits = Canonical.of_worker(), held.value
         for b in batches:
-            ids, out = b.column(0), []
+            out = []
             for first, part in blocks(b.column(1)):
-                for size, h, start, row, good, totals, kind, word in _windows(coder, part, sizes, None):
+                for form, size, h, good, templated, row, pos, kind, word in _windows(coder, part, sizes, None):
                     place, want = _bits(h)
                     for k in np.flatnonzero(good & (bits[place] & want == want)):
-                        out.append((first + int(row[k]), int(h[k].view(np.int64)), int(start[k] - totals[row[k]]), size, _slots(coder, kind, word, int(start[k]), size)))
-            c = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.string()))], names=["doc_id", "hash", "pos", "size", "slots"])
+                        out.append((first + int(row[k]), form, int(h[k].view(np.int64)), int(pos[k]), size, [] if form == VERBATIM else _slots(coder, kind, word, int(k), size), bool(templated[k])))
+            yield _found(out, b.column(0), "doc_id")
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
@@ -246,25 +254,26 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     mask = bloom(items)
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
     found = ws.keep(document_windows(docs, mask, sizes, doc_id, text), "windows")
-    item = items.select("hash", F.col("size").alias("item_size"), "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = ws.keep(found.join(item, "hash").where("size = item_size AND size(slots) = size(item_slots)").drop("hash", "item_size"), "met")
+    item = items.select("form", "hash", F.col("size").alias("item_size"), "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "templated")
+    met = ws.keep(found.drop("templated").join(item, ["form", "hash"]).where("size = item_size AND size(slots) = size(item_slots)").drop("form", "hash", "item_size"), "met")
     # A slot as (kind, item's word, document's word); both arrays have the same places and kinds, as the hashes agree.
     cut = lambda s, n: F.split(s, ":", 3)[n]
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(cut(z["item_slots"], 1).alias("kind"), cut(z["item_slots"], 2).alias("a"), cut(z["slots"], 2).alias("b")))
-    # On one diagonal there are at most as many matches as the item has windows.
+    # On one diagonal there are at most as many matches of a form as the item has windows. Verbatim ones have no slots, so what they add never makes a diagonal inconsistent.
     diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map"), F.min("pos").alias("first_word")
+        F.collect_set(F.struct("item_pos", "templated")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map"), F.min("pos").alias("first_word")
     )
     distinct = lambda f: F.size(F.array_distinct(F.transform("map", f)))
     one_to_one = (distinct(lambda p: F.struct(p["kind"], p["a"])) == F.size("map")) & (distinct(lambda p: F.struct(p["kind"], p["b"])) == F.size("map"))
     same = F.forall("map", lambda p: p["a"] == p["b"])
     steady = diagonal.where(one_to_one).withColumn("same", same).withColumn("run", F.size("places"))
     # Only the item's own places are gathered: at most its windows, however often a document repeats it.
-    counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", "run", F.explode("places").alias("place"))
-    by_place = counted.groupBy("doc_id", "item_id", "place").agg(F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))
-    by_item = by_place.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.max("run").alias("run"), F.bool_and("same").alias("verbatim"))
-    whole = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
-    cover = F.col("windows") / F.col("of")
+    counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", "run", F.explode("places").alias("at"))
+    by_place = counted.groupBy("doc_id", "item_id", "at.item_pos").agg(F.bool_or("at.templated").alias("templated"), F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))
+    # What has a template is counted apart too: in a copy with other numbers only templates can be met.
+    by_item = by_place.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("templated").alias("templates"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.max("run").alias("run"), F.bool_and("same").alias("verbatim"))
+    whole = items.groupBy("item_id").agg(F.count_if(F.col("form") == VERBATIM).alias("of"), F.count_if(F.col("form") == TEMPLATE).alias("of_templates"))
+    cover = F.greatest(F.col("windows") / F.col("of"), F.when(F.col("of_templates") > 0, F.col("templates") / F.col("of_templates")))
     return by_item.join(whole, "item_id").where((cover >= settings.min_cover) | (F.col("run") >= settings.min_run)).select("doc_id", "item_id", "first_word", "occurrences", "windows", cover.alias("cover"), "verbatim")
 
 

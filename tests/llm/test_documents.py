@@ -127,6 +127,21 @@ def test_parts_of_long_items(spark):
     assert set(found) == {(0, 0)}
 
 
+def test_items_of_few_literal_words(spark):
+    items = ["What is 12 + 45 - 7 * 3 / 2 ?", "1981 3.5 17 Rome 2,004 88 Paris 41 12 Oslo 6 1999 Bonn 73", "Who met Anna Berg, Tom Hill, Eva Lund, Max Stein and Ida Holm there?"]
+    texts = [f"Some words stand before it. {x} And some behind." for x in items] + ["What is 13 + 46 - 8 * 4 / 3 ?", "They met Paul Berg, Tom Hall and others there, in 1981 and 1999."]
+    found = contaminated(spark, texts, items)
+    assert set(found) == {(0, 0), (1, 1), (2, 2)} and all(r["verbatim"] for r in found.values())
+
+
+def test_templates_count_apart(spark):
+    # Two of the item's 12 windows have a template, and a copy with other numbers can meet no others.
+    item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 boil the old water then"
+    other = " ".join(str(int(w) + 50) if w.isdigit() else w for w in item.split())
+    r = contaminated(spark, [other], [item])[0, 0]
+    assert r["cover"] == 1 and r["windows"] < 4 and not r["verbatim"]
+
+
 def test_decontamination_equals_brute_force(spark, small):
     docs, items = table(spark, small, "documents"), table(spark, small, "benchmark")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark, docs, items).collect()}
