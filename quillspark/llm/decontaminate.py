@@ -2,7 +2,9 @@
 
 Words become canonical: numbers, names and units turn into typed placeholders, all else into its lower-cased letters. A
 window is `window` words in a row. Each is hashed twice: by its plain lower-cased words, whatever they are (verbatim), and,
-if at least half of its canonical words are literal, by these (template). All windows of the benchmark's items and
+if at least half of its canonical words are literal, by these (template). Where a document's window begins with a name or
+unit, it is also hashed with that word as literal (opening): an item's first word always is, whatever stands before its
+copy, be it a heading line, a comma, a quotation or a number. All windows of the benchmark's items and
 of every document are hashed; a fixed-size Bloom filter of the items' hashes spares the documents' other windows, and what
 passes is hash-joined with the items' windows in Spark, so false positives of the filter cost time but change nothing.
 Matches of a document and an item on one diagonal (document position minus item position) are one occurrence. There, the
@@ -43,8 +45,9 @@ ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 BLOOM_WORDS = 1 << 18
 MIX = 0x9E3779B97F4A7C15
 #: Forms of a window.
-TEMPLATE, VERBATIM = 0, 1
-SEEDS = (0x51, 0x6D)
+TEMPLATE, VERBATIM, OPENING = 0, 1, 2
+#: Openings meet templates.
+SEEDS = (0x51, 0x6D, 0x51)
 
 
 @dataclass(frozen=True)
@@ -136,11 +139,12 @@ class Canonical:
         return WORD.findall(self.chunks[chunk])[row - int(self.first.values[chunk])]
 
 
-def window_hashes(words: np.ndarray, sizes: tuple[int, ...], seed: int):
-    """Of each size in ascending order, a hash for each window of so many words."""
-    h = np.full(len(words), seed, np.uint64)
+def window_hashes(words: np.ndarray, sizes: tuple[int, ...], seed: int, at: np.ndarray | None = None, first: np.ndarray | None = None):
+    """Of each size in ascending order, a hash for each window of so many words; or only for those that begin at (ascending) at, with first instead of their first words."""
+    h = np.full(len(words) if at is None else len(at), seed, np.uint64)
     for k in range(min(max(sizes, default=0), len(words))):
-        h = h[: len(words) - k] * np.uint64(MIX) + words[k:]
+        column = words[k:] if at is None else words[at[: np.searchsorted(at, len(words) - k)] + k] if k else first
+        h = h[: len(column)] * np.uint64(MIX) + column
         h ^= h >> np.uint64(29)
         if k + 1 in sizes:
             yield k + 1, h
@@ -153,27 +157,34 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
 
 
-def _windows(coder: Canonical, texts: list[str], sizes: tuple[int, ...], short_only: int | None):
-    """Per form and window size, over all texts at once: form, size, hashes, which of them count, which have a template, and the words' rows, places, kinds and chunks."""
+def _windows(coder: Canonical, texts: list[str], sizes: tuple[int, ...], openings: bool, whole_below: int, passes=None):
+    """(text's place, form, hash, pos, size, slots, templated) of the windows whose hash passes; below a size only of whole texts."""
     totals, canonical, plain, kind, word = coder.encode(texts)
     lengths = np.diff(totals)
     row = np.repeat(np.arange(len(lengths)), lengths)
     pos = np.arange(len(row)) - totals[row]
     left = lengths[row] - pos
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    for form, words in ((TEMPLATE, canonical), (VERBATIM, plain)):
-        for size, h in window_hashes(words, sizes, SEEDS[form]):
-            n = len(h)
-            good = left[:n] >= size
-            if short_only is not None and size < short_only:
-                good &= lengths[row[:n]] == size
-            templated = 2 * (literal[size : size + n] - literal[:n]) >= size
-            yield form, size, h, good if form == VERBATIM else good & templated, templated, row, pos, kind, word
-
-
-def _slots(coder: Canonical, kind: np.ndarray, word: np.ndarray, at: int, size: int) -> list[str]:
-    """The words under a template's placeholders: place, kind and lower-cased word."""
-    return [f"{k}:{kind[at + k]}:{coder.word_of(int(word[at + k])).lower()}" for k in range(size) if kind[at + k] != LITERAL]
+    for form, words in ((TEMPLATE, canonical), (VERBATIM, plain), *([(OPENING, canonical)] if openings else [])):
+        begin = np.flatnonzero((kind == NAME) | (kind == UNIT)) if form == OPENING else None
+        for size, h in window_hashes(words, sizes, SEEDS[form], begin, None if begin is None else plain[begin]):
+            at = slice(len(h)) if begin is None else begin[: len(h)]
+            good = left[at] >= size
+            if size < whole_below:
+                good &= lengths[row[at]] == size
+            templated = 2 * (literal[size:][at] - literal[at] + (form == OPENING)) >= size
+            if form != VERBATIM:
+                good &= templated
+            if passes is not None:
+                good &= passes(h)
+            for k in np.flatnonzero(good):
+                w = int(k if begin is None else begin[k])
+                yield int(row[w]), form, int(h[k].view(np.int64)), int(pos[w]), size, [] if form == VERBATIM else _slots(coder, kind, word, w, size, form == OPENING), bool(templated[k])
+
+
+def _slots(coder: Canonical, kind: np.ndarray, word: np.ndarray, at: int, size: int, opening: bool) -> list[str]:
+    """The words under a template's placeholders: place, kind and lower-cased word. An opening's first word has none."""
+    return [f"{k}:{kind[at + k]}:{coder.word_of(int(word[at + k])).lower()}" for k in range(int(opening), size) if kind[at + k] != LITERAL]
 
 
 SCHEMA = "form int, hash long, pos int, size int, slots array<string>, templated boolean"
@@ -195,9 +206,7 @@ def item_windows(benchmark: DataFrame, settings: Settings, item_id: str = "item_
     def run(batches):
         coder = Canonical.of_worker()
         for b in batches:
-            out = []
-            for form, size, h, good, templated, row, pos, kind, word in _windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, settings.window):
-                out += [(int(row[k]), form, int(h[k].view(np.int64)), int(pos[k]), size, [] if form == VERBATIM else _slots(coder, kind, word, int(k), size), bool(templated[k])) for k in np.flatnonzero(good)]
+            out = list(_windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, False, settings.window))
             yield _found(out, b.column(0), "item_id")
 
     kind = benchmark.schema[item_id].dataType.simpleString()
@@ -234,13 +243,15 @@ def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...],
 
     def run(batches):
         coder, bits = Canonical.of_worker(), held.value
+
+        def passes(h):
+            place, want = _bits(h)
+            return bits[place] & want == want
+
         for b in batches:
             out = []
             for first, part in blocks(b.column(1)):
-                for form, size, h, good, templated, row, pos, kind, word in _windows(coder, part, sizes, None):
-                    place, want = _bits(h)
-                    for k in np.flatnonzero(good & (bits[place] & want == want)):
-                        out.append((first + int(row[k]), form, int(h[k].view(np.int64)), int(pos[k]), size, [] if form == VERBATIM else _slots(coder, kind, word, int(k), size), bool(templated[k])))
+                out += [(first + r[0], *r[1:]) for r in _windows(coder, part, sizes, True, 0, passes)]
             yield _found(out, b.column(0), "doc_id")
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -254,19 +265,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     mask = bloom(items)
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
     found = ws.keep(document_windows(docs, mask, sizes, doc_id, text), "windows")
-    item = items.select("form", "hash", F.col("size").alias("item_size"), "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "templated")
-    met = ws.keep(found.drop("templated").join(item, ["form", "hash"]).where("size = item_size AND size(slots) = size(item_slots)").drop("form", "hash", "item_size"), "met")
+    item = items.select(F.col("form").alias("meets"), "hash", F.col("size").alias("item_size"), "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "templated")
+    met = F.when(F.col("form") == OPENING, TEMPLATE).otherwise(F.col("form"))
+    met = ws.keep(found.drop("templated").withColumn("meets", met).join(item, ["meets", "hash"]).where("size = item_size AND size(slots) = size(item_slots)").drop("meets", "hash", "item_size"), "met")
     # A slot as (kind, item's word, document's word); both arrays have the same places and kinds, as the hashes agree.
     cut = lambda s, n: F.split(s, ":", 3)[n]
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(cut(z["item_slots"], 1).alias("kind"), cut(z["item_slots"], 2).alias("a"), cut(z["slots"], 2).alias("b")))
     # On one diagonal there are at most as many matches of a form as the item has windows. Verbatim ones have no slots, so what they add never makes a diagonal inconsistent.
+    # What openings add counts where it agrees with the rest of the diagonal, and else leaves the rest as it is.
+    opening, place, every = F.col("form") == OPENING, F.struct("item_pos", "templated"), lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set(F.struct("item_pos", "templated")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map"), F.min("pos").alias("first_word")
-    )
-    distinct = lambda f: F.size(F.array_distinct(F.transform("map", f)))
-    one_to_one = (distinct(lambda p: F.struct(p["kind"], p["a"])) == F.size("map")) & (distinct(lambda p: F.struct(p["kind"], p["b"])) == F.size("map"))
+        F.collect_set(F.when(~opening, place)).alias("places"), every(F.when(~opening, pairs)).alias("map"), F.min(F.when(~opening, F.col("pos"))).alias("first_word"),
+        F.collect_set(place).alias("all_places"), every(pairs).alias("all_map"), F.min("pos").alias("all_first_word"),
+    )
+    distinct = lambda m, f: F.size(F.array_distinct(F.transform(m, f)))
+    one_to_one = lambda m: (distinct(m, lambda p: F.struct(p["kind"], p["a"])) == F.size(m)) & (distinct(m, lambda p: F.struct(p["kind"], p["b"])) == F.size(m))
+    used = [F.when(one_to_one("all_map"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("places", "map", "first_word")]
     same = F.forall("map", lambda p: p["a"] == p["b"])
-    steady = diagonal.where(one_to_one).withColumn("same", same).withColumn("run", F.size("places"))
+    steady = diagonal.select("doc_id", "item_id", "shift", *used).where(one_to_one("map")).withColumn("same", same).withColumn("run", F.size("places"))
     # Only the item's own places are gathered: at most its windows, however often a document repeats it.
     counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", "run", F.explode("places").alias("at"))
     by_place = counted.groupBy("doc_id", "item_id", "at.item_pos").agg(F.bool_or("at.templated").alias("templated"), F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))

@@ -134,6 +134,29 @@ def test_items_of_few_literal_words(spark):
     assert set(found) == {(0, 0), (1, 1), (2, 2)} and all(r["verbatim"] for r in found.values())
 
 
+def test_what_stands_before_an_item(spark):
+    item = "What is the capital city of France today?"
+    before = ["Geography quiz\n", 'She asked, "', "Well, ", "Question 12 ", "Quiz. "]
+    copies = [b + item for b in before] + [item.title(), item.upper(), item.lower(), item.replace(" ", "\n")]
+    found = contaminated(spark, copies, [item])
+    assert set(found) == {(n, 0) for n in range(len(copies))} and all(r["verbatim"] for r in found.values())
+    # With another name it is only a template's match.
+    found = contaminated(spark, [b + item.replace("France", "Spain") for b in before], [item])
+    assert set(found) == {(n, 0) for n in range(len(before))} and not any(r["verbatim"] for r in found.values())
+
+
+def test_capital_copies_with_single_letters(spark):
+    found = contaminated(spark, ["IT WAS A DAY WITH A BIG STORM", "it was a day with anna berg there"], ["It was a day with a big storm", "It was a day with Anna Berg there"])
+    assert set(found) == {(0, 0), (1, 1)}
+
+
+def test_openings_leave_diagonals_consistent(spark):
+    # Only the opening has a template over the first 12; it maps it to 15 and the others map theirs to 16, so it alone doesn't count.
+    item = "What 12 old 30 Tom and Anna of 7 small trees were planted near the house by the river with 12 men"
+    other = item.replace("What 12", "What 15").replace("with 12", "with 16")
+    assert set(contaminated(spark, ["quiz " + other], [item])) == {(0, 0)}
+
+
 def test_templates_count_apart(spark):
     # Two of the item's 12 windows have a template, and a copy with other numbers can meet no others.
     item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 boil the old water then"
