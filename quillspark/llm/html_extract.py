@@ -3,8 +3,8 @@
 Each page's containers are scored by the text that stands in them (links count against it, an ancestor gets a decaying
 share, article and main weigh more). A container's path of tags and classes, digits left out, is its generalised path;
 every page votes for those that score at least half of its best, votes are added up by host in Spark, and each host's
-winning path says which container of each of its pages is extracted. A page without such a container, or with next to no
-text in it, falls back to its own best one.
+winning path says which containers of each of its pages are extracted: all that have it and more text than links, in page
+order. A page without such a container, or with next to no text in the best of them, falls back to its own best path.
 
 Left out wherever they stand: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class or id
 names adverts, notices, comments and the like. Character references are decoded, white space inside a block becomes one
@@ -184,7 +184,7 @@ def scores(page: Page) -> list[float]:
 
 
 def extract(page: Page, path: str | None) -> str:
-    """The text of the best container with that path; of the page's best one if that holds next to nothing."""
+    """The text of all containers with that path, in page order; of those with the path of the page's best one if they hold next to nothing."""
     found = scores(page)
     if not found or not page.blocks:
         return ""
@@ -192,7 +192,7 @@ def extract(page: Page, path: str | None) -> str:
     best = next((c for c in rank if page.paths[c] == path and found[c] >= 0.2 * found[rank[0]]), rank[0])
     inside = [False] * len(page.paths)
     for c in range(len(page.paths)):  # parents come first
-        inside[c] = c == best or page.parents[c] >= 0 and inside[page.parents[c]]
+        inside[c] = c == best or page.paths[c] == page.paths[best] and found[c] > 0 or page.parents[c] >= 0 and inside[page.parents[c]]
     return " ".join(text for text, _, c in page.blocks if inside[c])
 
 

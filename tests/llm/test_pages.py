@@ -44,6 +44,19 @@ def test_consensus(spark):
     assert extracted(spark, ("http://other/odd", odd))[-1].startswith("something else")
 
 
+def test_all_containers_of_the_path(spark):
+    half, menu = "words of one half " * 50, "<div><a href='/'>Home and more</a></div>"
+    apart = f"<body><div class=content>{half}</div><div class=ad>Buy</div><div class=content>Second {half}</div></body>"
+    unequal = f"<body>{menu}<div>Short start.</div><div>{half}</div><div>{half[:180]}</div></body>"
+    both = f"{half}Second {half}".strip()
+    rows = [("http://h/1", apart), ("http://g/1", unequal), (None, "<body>%s</body>" % "".join(f"<article><p>{n} {half}</p></article>" for n in range(3)))]
+    found = extracted(spark, *rows)
+    assert found[0] == both and found[1] == f"Short start. {half}{half[:180]}".strip() and found[2] == " ".join(f"{n} {half}".strip() for n in range(3))
+    # On a page that falls back to its own path, too.
+    usual = [("http://f/%d" % n, f"<body><div class='text'>{half}</div></body>") for n in range(5)]
+    assert extracted(spark, *usual, ("http://f/odd", apart))[-1] == both
+
+
 @pytest.mark.parametrize("raw", ["<", "<a", "<p <p>x", "<script>", "<!-- open", "</p></div>", "<div" * 200, "<a href=\"" * 50, "&#xZZ; &unknown;", "<p>" * 3000])
 def test_broken_markup(raw):
     html_extract.extract(html_extract.parse(raw), None)
