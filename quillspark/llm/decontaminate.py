@@ -17,7 +17,8 @@ of a fixed list right behind a number. Items with fewer words than a window but
 all their words; shorter ones are too common to be told from ordinary text and match nothing.
 
 Defined cases: a null text counts as empty; rows with the same doc_id count as one document in the result; a null doc_id
-is reported as such, and such rows are never removed by the filter; repeated items are items of their own by item_id; an
+is reported as such, and such rows are never removed by the filter; items are told apart by item_id and text, null ids
+included: repeated rows are one, and of several texts with one item_id the best found gives the row; an
 empty documents or benchmark table gives an empty result; further columns are never read.
 """
 
@@ -190,27 +191,28 @@ def _slots(coder: Canonical, kind: np.ndarray, word: np.ndarray, at: int, size:
 SCHEMA = "form int, hash long, pos int, size int, slots array<string>, templated boolean"
 
 
-def _found(rows: list[tuple], ids, name: str):
-    """An Arrow batch of rows (place in ids, form, hash, pos, size, slots, templated)."""
+def _found(rows: list[tuple], ids: dict):
+    """An Arrow batch of rows (place in the columns ids, form, hash, pos, size, slots, templated)."""
     import pyarrow as pa
 
     c = list(zip(*rows)) or [()] * 7
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), *map(pa.array, c[1:], kinds)], names=[name, "form", "hash", "pos", "size", "slots", "templated"])
+    return pa.RecordBatch.from_arrays([*(i.take(pa.array(c[0], pa.int64())) for i in ids.values()), *map(pa.array, c[1:], kinds)], names=[*ids, "form", "hash", "pos", "size", "slots", "templated"])
 
 
 def item_windows(benchmark: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, form, hash, pos, size, slots, templated) of all windows of the items."""
+    """(item_id, item, form, hash, pos, size, slots, templated) of all windows of the items; item is a hash of the text."""
     sizes = tuple(range(settings.min_words, settings.window + 1))
 
     def run(batches):
         coder = Canonical.of_worker()
         for b in batches:
-            out = list(_windows(coder, [t or "" for t in b.column(1).to_pylist()], sizes, False, settings.window))
-            yield _found(out, b.column(0), "item_id")
+            out = list(_windows(coder, [t or "" for t in b.column(2).to_pylist()], sizes, False, settings.window))
+            yield _found(out, {"item_id": b.column(0), "item": b.column(1)})
 
     kind = benchmark.schema[item_id].dataType.simpleString()
-    return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).mapInArrow(run, f"item_id {kind}, {SCHEMA}")
+    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).distinct()
+    return rows.select("item_id", F.xxhash64("text").alias("item"), "text").mapInArrow(run, f"item_id {kind}, item long, {SCHEMA}")
 
 
 def bloom(windows: DataFrame) -> np.ndarray:
@@ -252,7 +254,7 @@ def document_windows(docs: DataFrame, mask: np.ndarray, sizes: tuple[int, ...],
             out = []
             for first, part in blocks(b.column(1)):
                 out += [(first + r[0], *r[1:]) for r in _windows(coder, part, sizes, True, 0, passes)]
-            yield _found(out, b.column(0), "doc_id")
+            yield _found(out, {"doc_id": b.column(0)})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
@@ -265,7 +267,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     mask = bloom(items)
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
     found = ws.keep(document_windows(docs, mask, sizes, doc_id, text), "windows")
-    item = items.select(F.col("form").alias("meets"), "hash", F.col("size").alias("item_size"), "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "templated")
+    item = items.select(F.col("form").alias("meets"), "hash", F.col("size").alias("item_size"), "item_id", "item", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "templated")
     met = F.when(F.col("form") == OPENING, TEMPLATE).otherwise(F.col("form"))
     met = ws.keep(found.drop("templated").withColumn("meets", met).join(item, ["meets", "hash"]).where("size = item_size AND size(slots) = size(item_slots)").drop("meets", "hash", "item_size"), "met")
     # A slot as (kind, item's word, document's word); both arrays have the same places and kinds, as the hashes agree.
@@ -274,7 +276,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     # On one diagonal there are at most as many matches of a form as the item has windows. Verbatim ones have no slots, so what they add never makes a diagonal inconsistent.
     # What openings add counts where it agrees with the rest of the diagonal, and else leaves the rest as it is.
     opening, place, every = F.col("form") == OPENING, F.struct("item_pos", "templated"), lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    diagonal = met.groupBy("doc_id", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set(F.when(~opening, place)).alias("places"), every(F.when(~opening, pairs)).alias("map"), F.min(F.when(~opening, F.col("pos"))).alias("first_word"),
         F.collect_set(place).alias("all_places"), every(pairs).alias("all_map"), F.min("pos").alias("all_first_word"),
     )
@@ -282,15 +284,18 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     one_to_one = lambda m: (distinct(m, lambda p: F.struct(p["kind"], p["a"])) == F.size(m)) & (distinct(m, lambda p: F.struct(p["kind"], p["b"])) == F.size(m))
     used = [F.when(one_to_one("all_map"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("places", "map", "first_word")]
     same = F.forall("map", lambda p: p["a"] == p["b"])
-    steady = diagonal.select("doc_id", "item_id", "shift", *used).where(one_to_one("map")).withColumn("same", same).withColumn("run", F.size("places"))
+    steady = diagonal.select("doc_id", "item_id", "item", "shift", *used).where(one_to_one("map")).withColumn("same", same).withColumn("run", F.size("places"))
     # Only the item's own places are gathered: at most its windows, however often a document repeats it.
-    counted = steady.select("doc_id", "item_id", "shift", "first_word", "same", "run", F.explode("places").alias("at"))
-    by_place = counted.groupBy("doc_id", "item_id", "at.item_pos").agg(F.bool_or("at.templated").alias("templated"), F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))
+    counted = steady.select("doc_id", "item_id", "item", "shift", "first_word", "same", "run", F.explode("places").alias("at"))
+    by_place = counted.groupBy("doc_id", "item_id", "item", "at.item_pos").agg(F.bool_or("at.templated").alias("templated"), F.min("first_word").alias("first_word"), F.count_distinct("shift").alias("n"), F.max("run").alias("run"), F.bool_and("same").alias("same"))
     # What has a template is counted apart too: in a copy with other numbers only templates can be met.
-    by_item = by_place.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("templated").alias("templates"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.max("run").alias("run"), F.bool_and("same").alias("verbatim"))
-    whole = items.groupBy("item_id").agg(F.count_if(F.col("form") == VERBATIM).alias("of"), F.count_if(F.col("form") == TEMPLATE).alias("of_templates"))
+    by_item = by_place.groupBy("doc_id", "item_id", "item").agg(F.count(F.lit(1)).alias("windows"), F.count_if("templated").alias("templates"), F.min("first_word").cast("long").alias("first_word"), F.max("n").alias("occurrences"), F.max("run").alias("run"), F.bool_and("same").alias("verbatim"))
+    whole = items.groupBy(F.col("item_id").alias("whole_id"), F.col("item").alias("whole_item")).agg(F.count_if(F.col("form") == VERBATIM).alias("of"), F.count_if(F.col("form") == TEMPLATE).alias("of_templates"))
     cover = F.greatest(F.col("windows") / F.col("of"), F.when(F.col("of_templates") > 0, F.col("templates") / F.col("of_templates")))
-    return by_item.join(whole, "item_id").where((cover >= settings.min_cover) | (F.col("run") >= settings.min_run)).select("doc_id", "item_id", "first_word", "occurrences", "windows", cover.alias("cover"), "verbatim")
+    told = by_item.join(whole, (F.col("item") == F.col("whole_item")) & F.col("item_id").eqNullSafe(F.col("whole_id"))).withColumn("cover", cover)
+    caught = told.where((F.col("cover") >= settings.min_cover) | (F.col("run") >= settings.min_run))
+    best = F.max(F.struct("cover", "windows", (-F.col("first_word")).alias("before"), "occurrences", "verbatim")).alias("best")
+    return caught.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.before")).alias("first_word"), "best.occurrences", "best.windows", "best.cover", "best.verbatim")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", broadcast_docs: int = 1_000_000) -> DataFrame:

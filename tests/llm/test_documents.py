@@ -157,6 +157,16 @@ def test_openings_leave_diagonals_consistent(spark):
     assert set(contaminated(spark, ["quiz " + other], [item])) == {(0, 0)}
 
 
+def test_repeated_and_nameless_items(spark):
+    short, other = "water boils at one hundred degrees", "ice melts above zero degrees on most warm days in may"
+    long = " ".join(f"{a}{b}" for a in ("ba", "ke", "li", "mo", "nu", "ra") for b in ("den", "fal", "gor", "hin", "jul", "kam"))
+    d = spark.createDataFrame([(0, f"we know that {short} today"), (1, f"and that {other} too"), (2, "nothing of the kind")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, short)] * 5 + [(None, other), (None, other), (None, long), (8, short), (8, long)], "item_id long, text string")
+    found = decontaminate.contaminated(spark, d, b).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["cover"]) for r in found) == [(0, 7, 1.0), (0, 8, 1.0), (1, 0, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(spark, d, b).collect()] == [2]
+
+
 def test_templates_count_apart(spark):
     # Two of the item's 12 windows have a template, and a copy with other numbers can meet no others.
     item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 boil the old water then"
