@@ -1,16 +1,16 @@
 """SimHash near-dedup (operator 5): fingerprints, meet-in-the-middle ball hashing, components.
 
-A fingerprint has 64 bits and links to others at r = 3 or fewer differing bits. Cut in the middle, one half of such a
-pair differs in at most r // 2 = 1 bit, so each fingerprint emits, for either half, all variants within half the radius;
-rows meet on (half, variant), are deduplicated and verified over all 64 bits. Of two halves that differ in one bit one
-has an even number of set bits, so only such halves emit variants and the others their own value: 17 rows a half.
-
-A bucket of many fingerprints would make the square of its size in pairs. Fingerprints of such buckets are linked by
-balls of the whole fingerprint instead: each emits its variants of up to one bit, those with an odd number of set bits
-also those of two bits. Two members of one variant's bucket of which one is within one bit link for certain, so a star
-from the least such member replaces the pairs, and every pair within three bits meets in some bucket: the odd one at two
-bits of a variant that is one bit from the even one. This is exact and takes at most 2,081 rows for each fingerprint of
-a crowded bucket, however large that is.
+A fingerprint has 64 bits and links to others at r = 3 or fewer differing bits. Each fingerprint emits all its variants
+within half the radius: those within one bit (near, 65 of them), and if it has an odd number of set bits also those within
+two (2,016 more). Of two fingerprints at three bits one has an odd number, so every linked pair meets on some variant. A
+variant's bucket of which one member is near links for certain (1 + 2 <= 3), so a star from the least near member stands
+for all its pairs; every link is still verified over all 64 bits. A bucket has at most 2,081 members, as no more
+fingerprints are within two bits of anything, so there are no hot buckets, however many near copies the corpus has.
+
+On average that is 1,073 variants a fingerprint, nearly all of which nothing else meets. So variants are shuffled in two
+steps: first 32-bit digests of them, sorted and delta-coded in blocks, from chunks of fingerprints to buckets of digests
+(some two bytes a variant); a bucket tells each chunk which of its digests were seen twice; the chunk then emits only those
+variants whole. Digests that agree by chance cost rows but change nothing.
 
 Exact copies have one fingerprint and count as one vertex. Defined cases: a null or empty text has fingerprint zero; rows
 with the same doc_id are rows of their own; null doc_ids take part but never name a component (null if it has no other);
@@ -31,8 +31,12 @@ RADIUS = 3
 SEED = 42
 #: Shingles whose bits are counted at a time, which bounds the memory of a very long text.
 BLOCK = 65_536
-#: Buckets of more rows than this are linked by whole-fingerprint balls instead of pairs.
-CROWDED = 128
+#: Fingerprints a chunk: at least, and at most (more than the least only where there are very many buckets).
+CHUNK, MOST_CHUNK = 2048, 65_536
+#: Digests a bucket, on average: what one task sorts at a time.
+BUCKET_DIGESTS = 8_000_000
+#: Variants of a fingerprint on average: 65, and 2,016 of every second one.
+VARIANTS = 1073
 
 
 def fingerprint(raw: bytes) -> int:
@@ -53,101 +57,189 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def identity(doc_id: str, text: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text, two columns that are never null."""
+    return [F.xxhash64(F.lit(n), F.col(doc_id), F.col(text)) for n in (1, 2)]
+
+
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, id_a, id_b, fp): the row's identity, and the fingerprint as a signed 64-bit integer."""
     import pyarrow as pa
 
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(x) for x in texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), long_column(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in texts(b.column(3))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], long_column(fps)], names=["doc_id", "id_a", "id_b", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    a, b = identity(doc_id, text)
+    plain = docs.select(F.col(doc_id).alias("doc_id"), a.alias("id_a"), b.alias("id_b"), F.col(text).alias("text"))
+    return plain.mapInArrow(run, f"doc_id {kind}, id_a long, id_b long, fp long")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _half_variants(fps: DataFrame) -> DataFrame:
-    """(key, fp, own): the halves themselves (own) and, of halves with evenly many set bits, all one-bit variants. The key's bit 32 tells the half."""
-    halves = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))).alias("half")
-    masks = F.explode(F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(32))]))).alias("mask")
-    even = F.bit_count(F.col("half").bitwiseAND(F.lit(0xFFFFFFFF))) % 2 == 0
-    rows = fps.select("fp", halves).select("fp", "half", masks).where((F.col("mask") == 0) | even)
-    return rows.select(F.col("half").bitwiseXOR(F.col("mask")).alias("key"), "fp", (F.col("mask") == 0).alias("own"))
-
-
-def _whole_variants(fps: DataFrame) -> DataFrame:
-    """(key, fp, near): variants of a fingerprint within one bit (near), and of those with oddly many set bits within two."""
-    one = [0, *(1 << i for i in range(64))]
-    two = [1 << i | 1 << j for i in range(64) for j in range(i)]
-    near = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in one))).alias("mask"), F.lit(True).alias("near"))
-    # 64 first bits times 64 second ones, each pair taken once: a literal array of all 2,016 would be too large a plan.
-    bits = F.array(*(F.lit(_signed(1 << i)) for i in range(64)))
-    far = (
-        fps.where(F.bit_count("fp") % 2 == 1)
-        .select("fp", F.posexplode(bits).alias("i", "a"))
-        .select("fp", "i", "a", F.posexplode(bits).alias("j", "b"))
-        .where("j < i")
-        .select("fp", F.col("a").bitwiseOR(F.col("b")).alias("mask"), F.lit(False).alias("near"))
-    )
-    assert len(two) == 2016
-    return near.unionByName(far).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp", "near")
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """What the variants within one bit differ in, and those at two bits."""
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    return np.concatenate([np.zeros(1, np.uint64), bits]), bits[i] | bits[j]
+
+
+class Ball:
+    """All variants of some fingerprints: keys, and of each place among them the fingerprint and whether it is near."""
+
+    def __init__(self, fps: np.ndarray):
+        near, far = _masks()
+        self.fps, self.odd = fps, fps[np.bitwise_count(fps) % 2 == 1]
+        self.near, self.far = len(fps) * len(near), len(far)
+        self.keys = np.concatenate([(fps[:, None] ^ near).ravel(), (self.odd[:, None] ^ far).ravel()])
+        self.per = len(near)
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        """The fingerprints of the variants at places at."""
+        close = at < self.near
+        out = np.empty(len(at), np.uint64)
+        out[close] = self.fps[at[close] // self.per]
+        out[~close] = self.odd[(at[~close] - self.near) // self.far]
+        return out
+
+    def codes(self, buckets: int) -> np.ndarray:
+        """Of each variant: its bucket, and below it a digest of 32 bits."""
+        h = self.keys * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        low = h & np.uint64(0xFFFFFFFF)
+        h >>= np.uint64(32)
+        h %= np.uint64(buckets)
+        h <<= np.uint64(32)
+        h |= low
+        return h
+
+
+def _coded(digests: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as differences, byte plane by byte plane, which Spark's shuffle compresses."""
+    return np.diff(digests, prepend=np.zeros(1, np.uint32)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _told(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, digests) of all variants."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for chunk, fps in zip(b.column(0).to_pylist(), b.column(1)):
+                codes = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64)).codes(buckets)
+                codes.sort()
+                bucket = codes >> np.uint64(32)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]) if len(codes) else np.zeros(0, np.int64)
+                digests = codes.astype(np.uint32)
+                parts = [_coded(x) for x in np.split(digests, starts[1:])] if len(codes) else []
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(np.full(len(parts), chunk, np.int64)), pa.array(parts, pa.binary())], names=["bucket", "chunk", "digests"])
+
+    return chunks.mapInArrow(run, "bucket long, chunk long, digests binary")
+
+
+def _seen_twice(blocks):
+    """Of one bucket's blocks: for each, its digests that are found twice or more in the bucket."""
+    import pyarrow as pa
+
+    lists = [_decoded(x.as_buffer()) for x in blocks.column("digests")]
+    every = np.sort(np.concatenate(lists))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    rows = []
+    if len(twice):
+        for n, digests in enumerate(lists):
+            hits = digests[twice[np.minimum(np.searchsorted(twice, digests), len(twice) - 1)] == digests]
+            if len(hits):
+                rows.append((n, _coded(hits)))
+    which = pa.array([n for n, _ in rows], pa.int64())
+    return pa.table({"bucket": blocks.column("bucket").take(which), "chunk": blocks.column("chunk").take(which), "digests": pa.array([x for _, x in rows], pa.binary())})
+
+
+def _whole(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(key, fp, near): the variants of chunks(chunk, fps, hits) whose digests are among the hits."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for fps, hits in zip(b.column(1), b.column(2).to_pylist()):
+                ball = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                wanted = np.sort(np.concatenate([_decoded(h["digests"]).astype(np.uint64) | np.uint64(h["bucket"] << 32) for h in hits]))
+                codes = ball.codes(buckets)
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
+                for k in range(0, len(at), 100_000):
+                    part = at[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([long_column(ball.keys[part].view(np.int64)), long_column(ball.owners(part).view(np.int64)), pa.array(part < ball.near)], names=["key", "fp", "near"])
+
+    return chunks.mapInArrow(run, "key long, fp long, near boolean")
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(ws: Workspace, fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def links(ws: Workspace, fps: DataFrame, bucket_digests: int = BUCKET_DIGESTS, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) between distinct fingerprints fps(fp) whose components are those of all pairs within RADIUS bits."""
-    variants = _half_variants(fps)
-    sizes = variants.groupBy("key").agg(F.sum(F.col("own").cast("long")).alias("own_rows"), F.count(F.lit(1)).alias("n")).where("own_rows >= 1 AND n >= 2")
-    buckets = ws.keep(sizes, "buckets")
-    # At most `crowded` rows a key come together here.
-    members = variants.join(buckets.where(F.col("n") <= crowded).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("fp", "own")).alias("rows"))
-    pairs = members.select(F.explode("rows").alias("a"), "rows").where("a.own").select("a", F.explode("rows").alias("b"))
-    met = pairs.where("NOT b.own OR a.fp < b.fp").select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    edges = ws.keep(met.where((F.col("u") != F.col("v")) & (_distance(F.col("u"), F.col("v")) <= RADIUS)).distinct(), "pairs")
-    full = buckets.where(F.col("n") > crowded).select("key")
-    if full.isEmpty():
-        return edges
-    hot = ws.keep(variants.join(full, "key").select("fp").distinct(), "crowded")
-    balls = _whole_variants(hot)
-    centres = ws.keep(balls.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("n")).where("u IS NOT NULL AND n >= 2").select("key", "u"), "centres")
-    stars = balls.join(centres, "key").select("u", F.col("fp").alias("v"))
-    return edges.unionByName(stars.where((F.col("u") != F.col("v")) & (_distance(F.col("u"), F.col("v")) <= RADIUS)).distinct())
-
-
-def simhash_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (signed), component_id (the smallest doc_id reachable)."""
-    ws = Workspace(spark, "simhash")
+    total = fps.count()
+    buckets = max(1, -(-total * VARIANTS // bucket_digests))
+    # Some hundred digests a block, where memory allows.
+    size = min(max(chunk, 100 * buckets // VARIANTS), MOST_CHUNK)
+    n = max(1, -(-total // size))
+    tasks = min(n, max(3 * ws.spark.sparkContext.defaultParallelism, -(-n // 16)))
+    grouped = fps.groupBy(F.pmod(F.xxhash64("fp"), F.lit(n)).alias("chunk")).agg(F.collect_list("fp").alias("fps"))
+    chunks = ws.keep(grouped, "chunks")
+    twice = _told(chunks.repartition(tasks, "chunk"), buckets).groupBy("bucket").applyInArrow(_seen_twice, "bucket long, chunk long, digests binary")
+    hits = ws.keep(twice.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "digests")).alias("hits")), "hits")
+    variants = ws.keep(_whole(chunks.join(hits, "chunk").repartition(tasks, "chunk"), buckets), "variants")
+    centres = variants.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("n")).where("u IS NOT NULL AND n >= 2")
+    stars = variants.select("key", F.col("fp").alias("v")).join(ws.keep(centres.select("key", "u"), "centres"), "key").where("u <> v")
+    return stars.where(_distance(F.col("u"), F.col("v")) <= RADIUS).select("u", "v").distinct()
+
+
+def _components(ws: Workspace, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of the rows, kept; and (fp, first) with first the row that comes first in the fingerprint's component: the smallest doc_id, nulls last."""
     prints = ws.keep(fingerprints(docs, doc_id, text), "prints")
-    firsts = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
-    reached = ws.keep(components(ws, links(ws, firsts.select("fp"), crowded)), "reached")
-    rooted = ws.keep(firsts.join(reached, firsts["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = ws.keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
-    by_print = ws.keep(rooted.join(named, "root").select("fp", "component_id"), "by-print")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id_a", "id_b")
+    firsts = ws.keep(prints.groupBy("fp").agg(F.min(row).alias("first")), "firsts")
+    reached = ws.keep(components(ws, links(ws, firsts.select("fp"))), "reached")
+    rooted = ws.keep(firsts.join(reached, firsts["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = ws.keep(rooted.groupBy("root").agg(F.min("first").alias("least")), "named")
+    return prints, ws.keep(rooted.join(named, "root").select("fp", F.col("least").alias("first")), "by-print")
+
+
+def simhash_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, fp (signed), component_id (the smallest doc_id reachable)."""
+    prints, by_print = _components(Workspace(spark, "simhash"), docs, doc_id, text)
+    return prints.join(by_print, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; rows with a null doc_id stay.
+    """One document of each component, that with the smallest doc_id (nulls last), with all its columns.
 
-    Of rows that repeat the kept doc_id one stays as well. The join is a sort-merge join at every size: what it shuffles
-    is the texts, once.
+    Rows are told apart by id and text, so a row that shares its doc_id with another stays or goes by its own text; of rows
+    with the same id and text one stays. The join is a sort-merge join at every size: what it shuffles is the texts, once.
     """
     ws = Workspace(spark, "simhash-filter")
-    found = ws.keep(simhash_components(spark, docs, doc_id, text).select("doc_id", "component_id"), "found")
-    kept = ws.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    (key,) = private(docs, "__kept")
-    first = docs.join(kept.select(F.col("doc_id").alias(key)).hint("merge"), docs[doc_id] == F.col(key), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        first = first.dropDuplicates([doc_id])
-    return first.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    prints, by_print = _components(ws, docs, doc_id, text)
+    kept = ws.keep(by_print.select("first.id_a", "first.id_b").distinct(), "kept")
+    a, b = private(docs, "__id_a", "__id_b")
+    named = docs.withColumns(dict(zip((a, b), identity(doc_id, text))))
+    repeated = prints.groupBy("id_a", "id_b").count().where("count > 1").join(kept, ["id_a", "id_b"])
+    if not repeated.isEmpty():
+        # Before the join, where it reduces each task's rows before they are shuffled.
+        named = named.dropDuplicates([a, b])
+    wanted = kept.select(F.col("id_a").alias(f"{a}_"), F.col("id_b").alias(f"{b}_")).hint("merge")
+    return named.join(wanted, (F.col(a) == F.col(f"{a}_")) & (F.col(b) == F.col(f"{b}_")), "left_semi").select(*docs.columns)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,7 +239,25 @@ def test_fingerprints_and_components(spark, docs):
     assert collections.Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found) == expected
     kept = simhash_dedup.keep_first(spark, docs)
     ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in found if r["component_id"] is not None})
+    assert kept.columns == docs.columns and sorted(i or 0 for i in ids) == sorted({r["component_id"] or 0 for r in found})
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = ("the first of two texts that have nothing at all in common with each other " * 2, "another one which says something else entirely about its own quite different matter " * 2)
+    kept = lambda rows: sorted((r["doc_id"] or 0, r["text"][:3]) for r in simhash_dedup.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string, id_a string")).collect())
+    assert kept([(1, a, "x"), (2, a, "x"), (2, b, "x")]) == [(1, "the"), (2, "ano")]
+    assert kept([(2, a, "x"), (2, b, "x")]) == [(2, "ano"), (2, "the")]
+    assert kept([(3, a, "x")] * 50 + [(None, a, "y")] * 50 + [(None, b, "y")] * 50) == [(0, "ano"), (3, "the")]
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillspark.llm.shared import shared_dir
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)
 
 
 def test_long_texts_are_counted_in_blocks(monkeypatch):
@@ -249,8 +267,8 @@ def test_long_texts_are_counted_in_blocks(monkeypatch):
     assert simhash_dedup.fingerprint(raw) == whole
 
 
-@pytest.mark.parametrize("crowded", [4, 100_000])
-def test_links_equal_brute_force(spark, crowded):
+@pytest.mark.parametrize("digests,chunk", [(1000, 16), (simhash_dedup.BUCKET_DIGESTS, simhash_dedup.CHUNK)])
+def test_links_equal_brute_force(spark, digests, chunk):
     rng = random.Random(7)
     fps = {0, (1 << 64) - 1}
     for _ in range(4):
@@ -263,7 +281,7 @@ def test_links_equal_brute_force(spark, crowded):
     fps = sorted(fps)
     signed = [simhash_dedup._signed(x) for x in fps]
     ws = Workspace(spark, "test")
-    reached = {r["node"]: r["root"] for r in components.components(ws, simhash_dedup.links(ws, spark.createDataFrame([(x,) for x in signed], "fp long"), crowded)).collect()}
+    reached = {r["node"]: r["root"] for r in components.components(ws, simhash_dedup.links(ws, spark.createDataFrame([(x,) for x in signed], "fp long"), digests, chunk)).collect()}
     assert [reached.get(x, x) for x in signed] == brute_components(fps, signed)
 
 
