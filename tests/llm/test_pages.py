@@ -172,6 +172,45 @@ def test_warc_is_deterministic_and_checked(spark):
         warc.read_warc(spark, one).collect()
 
 
+def test_shards_are_even(spark):
+    # Ids of very uneven distances, 3,000 shards wanted.
+    ids = F.when(F.col("id") % 10 == 0, F.col("id") * 1_000_003).otherwise(F.col("id"))
+    df = spark.range(9000).select(ids.alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.lpad("id", 6, "0")).alias("html"))
+    digests = df.select("page_id", F.sha1("html").alias("sha1"), F.length("html").cast("long").alias("n"))
+    ws = Workspace(spark, "warc-test")
+    bounds = warc.shard_bounds(ws, digests, 36, 16_384)
+    assert 2800 < len(bounds) + 1 <= 3000 and warc.shard_bounds(ws, digests.repartition(5), 36, 16_384) == bounds
+    sizes = collections.Counter(warc.bisect_right(bounds, (True, r["page_id"], r["sha1"])) for r in digests.collect())
+    assert max(sizes.values()) <= 3 * 9000 / 3000 and len(sizes) == len(bounds) + 1
+    assert len(warc.shard_bounds(ws, digests, 36, 7)) + 1 in (6, 7)
+
+
+def test_one_hot_page_id(spark):
+    df = spark.range(400).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id") % 300).alias("html"))
+    out = Workspace(spark, "warc-test").path("a")
+    manifest = warc.write_warc(spark, df, out, shard_bytes=500).collect()
+    assert len({m["shard"] for m in manifest}) > 4 and sum(m["records"] for m in manifest) == 400
+    assert sorted(r["count"] for r in warc.read_warc(spark, out).groupBy("record_type").count().collect()) == [100, 300]
+
+
+def test_string_ids_and_long_payloads(spark):
+    df = spark.createDataFrame([("a:b", "u", "x" * 9_000_000), ("null", "u", "y"), (None, "u", "z"), ("é c", "u", "y")], "page_id string, url string, html string")
+    out = Workspace(spark, "warc-test").path("a")
+    warc.write_warc(spark, df, out)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(spark, out, "string").collect()}
+    assert found == {"a:b": ("response", None, 9_000_000), "null": ("response", None, 1), None: ("response", None, 1), "é c": ("revisit", "null", 1)}
+
+
+def test_what_failed_attempts_left_goes(spark):
+    import os
+
+    out = Workspace(spark, "warc-test").path("a")
+    os.makedirs(out.removeprefix("file://"))
+    open(out.removeprefix("file://") + "/_temporary-99-shard-00000-0000.warc.gz", "wb").close()
+    warc.write_warc(spark, pages(spark), out)
+    assert not [f for f in os.listdir(out.removeprefix("file://")) if f.startswith("_temporary")]
+
+
 def test_small_payloads_can_be_left_alone(spark):
     out = Workspace(spark, "warc-test").path("a")
     warc.write_warc(spark, pages(spark), out, min_bytes=6)
