@@ -1,14 +1,15 @@
 """Best-fit packing (operator 9): token sequences of at most 4,096 ids from whole documents, by swap-based local search.
 
 Documents are encoded and cut into pieces (only those longer than a sequence). Only the pieces' sizes and checksums go on:
-they are dealt to tasks of some 250,000 pieces, each of which begins with best fit and then searches locally. From the
-least filled sequence up, a search moves a piece into a gap, or exchanges it one for one, one for two or two for one with
-pieces of another underfull sequence, always so that the fuller sequence gains tokens: the sum of squared fills grows with
-every step, so the search ends, and least filled sequences empty. What each task leaves underfull meets again in fewer
-tasks until one round has little left.
-
-Defined cases: a null or empty text is a single piece of the end token; rows with the same doc_id are packed as rows of
-their own; an empty table gives an empty result; further columns are never read.
+they are dealt evenly, whatever their ids, to tasks of some 100,000 pieces, each of which begins with best fit and then
+searches locally. From the least filled sequence up, a search moves a piece into a gap, or exchanges it one for one, one
+for two or two for one with pieces of another underfull sequence, always so that the fuller sequence gains tokens: the sum
+of squared fills grows with every step, so the search ends, and least filled sequences empty. It ends when no sequence has
+a step left or when there are no more sequences than the tokens need. What a round leaves underfull meets again in fewer
+tasks, until there is one task or a round empties no sequence.
+
+Defined cases: a null or empty text is a single piece of the end token; rows with the same doc_id, null or not, are packed
+as rows of their own; an empty table gives an empty result; further columns are never read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ from .shared import Workspace, table, values
 from .tokens import ChunkCoder, encode_blocks
 
 ROOM, END_TOKEN = 4096, 1
-#: Pieces that one task packs, and the unused tokens up to which a sequence counts as full between rounds.
-TASK_PIECES, SLACK = 250_000, 32
-#: The local search of a task ends after so many victims in a row that it could not empty.
-PATIENCE = 8
+#: Pieces that one task packs.
+TASK_PIECES = 100_000
 
 
 def tokenizer_path() -> str:
@@ -96,21 +95,31 @@ class LocalSearch:
         self.least = -(-int(self.fill.sum()) // room)
 
     def run(self) -> list[list[int]]:
-        used, failed = int((self.fill > 0).sum()), 0
-        for victim in np.argsort(self.fill, kind="stable").tolist():
-            # No search can go below the number of sequences that the tokens need.
-            if used <= self.least or failed == PATIENCE:
-                break
-            if not 0 < self.fill[victim] < self.room:
-                continue
-            while self.fill[victim] and self._step(victim):
-                pass
-            used -= not self.fill[victim]
-            failed = failed + 1 if self.fill[victim] else 0
+        used, failed, moved = int((self.fill > 0).sum()), set(), True
+        # No search can go below the number of sequences that the tokens need.
+        while moved and used > self.least:
+            moved = False
+            for victim in np.argsort(self.fill, kind="stable").tolist():
+                if used <= self.least:
+                    break
+                if not 0 < self.fill[victim] < self.room:
+                    continue
+                # What has failed since the last step fails again, and so does any other sequence of the same sizes.
+                if self._sizes(victim) in failed:
+                    continue
+                while self.fill[victim] and self._step(victim):
+                    moved = True
+                    failed.clear()
+                used -= not self.fill[victim]
+                if self.fill[victim]:
+                    failed.add(self._sizes(victim))
         order = np.argsort(self.bin, kind="stable")
         cuts = np.flatnonzero(np.diff(self.bin[order])) + 1
         return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
 
+    def _sizes(self, victim: int) -> tuple:
+        return tuple(sorted(self.size[np.flatnonzero(self.bin == victim)].tolist()))
+
     def _shift(self, out: list[int], victim: int, back: list[int], other: int) -> None:
         self.bin[out], self.bin[back] = other, victim
         gained = int(self.size[out].sum() - self.size[back].sum())
@@ -207,19 +216,17 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
     kind = docs.schema[doc_id].dataType.simpleString()
     todo = ws.keep(pieces(docs, path or tokenizer_path(), room, end, doc_id, text), "pieces")
     columns, done, turn = todo.columns, [], 0
-    left = todo.count()
+    left, sequences = todo.count(), None
     while True:
         tasks = max(1, -(-left // task_pieces))
-        dealt = todo.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else todo.repartition(1)
-        result = ws.keep(_packed(dealt.sortWithinPartitions("length", "doc_id", "piece", "ids_crc32"), room, turn, kind), "packed")
-        underfull = F.col("fill") < room - SLACK
-        again = 0 if tasks == 1 else result.where(underfull).count()
-        # Another round helps only where the underfull sequences are few and so meet others.
-        if not again or 2 * again > left:
+        result = ws.keep(_packed(todo.repartition(tasks).sortWithinPartitions("length", "doc_id", "piece", "ids_crc32"), room, turn, kind), "packed")
+        underfull = F.col("fill") < room
+        made, again, open_after = result.agg(F.count_if(F.col("offset") == 0), F.count_if(underfull), F.count_if(underfull & (F.col("offset") == 0))).first()
+        if tasks == 1 or again == 0 or (sequences is not None and made >= sequences):
             done.append(result)
             break
         done.append(result.where(~underfull))
-        todo, left, turn = result.where(underfull).select(*columns), again, turn + 1
+        todo, left, sequences, turn = result.where(underfull).select(*columns), again, open_after, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -1,11 +1,13 @@
-"""Token ids of whole texts by a public tokenizer whose pre-tokenizer never joins over white space.
+"""Token ids of whole texts by a public tokenizer.
 
-A text is cut at spaces and newlines; each distinct chunk is encoded once for as long as the vocabulary holds it, and a
-text's ids are gathered from its chunks' ids. The result equals encoding the text whole.
+Where the vocabulary file lower-cases composed text and never joins over white space (which is read from it), a text is cut
+at spaces and newlines; each distinct chunk is encoded once for as long as the vocabulary holds it, and a text's ids are
+gathered from its chunks' ids. The result equals encoding the text whole, which is what happens with any other file.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import unicodedata
@@ -77,6 +79,21 @@ def _parted(chunk: str) -> tuple[str, str]:
     return chunk, ""
 
 
+def cuts_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those that cutting at white space and lower-casing relies on."""
+    steps = (settings.get("normalizer") or {}).get("normalizers") or []
+    cuts = ((settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and (cuts.get("type"), cuts.get("behavior"), cuts.get("invert")) == ("Split", "Removed", True)
+        # Every alternative of the pattern is letters, or has no white space and no letter but in the quoted endings.
+        and (cuts.get("pattern") or {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        and settings.get("model", {}).get("end_of_word_suffix") == "</w>"
+        and settings.get("post_processor") is None
+    )
+
+
 class ChunkCoder:
     """Encodes texts; keeps the ids of some max_chunks distinct chunks and starts anew beyond."""
 
@@ -87,8 +104,10 @@ class ChunkCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
+        with open(path, encoding="utf-8") as f:
+            self.chunked = cuts_at_spaces(json.load(f))
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
@@ -157,6 +176,8 @@ class ChunkCoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.chunked:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.places) > self.max_chunks:
             self._clear()
         place = self.places.__getitem__

@@ -311,6 +311,17 @@ def test_ids_equal_the_tokenizer(docs):
         assert [x.tolist() for x in coder.encode(texts[::-1])] == whole[::-1]
 
 
+def test_ids_equal_other_tokenizers(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [r["text"] or "" for r in docs.collect()] + [" Two  Words\n", "It's"]
+    coder = ChunkCoder(path)
+    assert not coder.chunked and ChunkCoder(packing.tokenizer_path()).chunked
+    assert [x.tolist() for x in coder.encode(texts)] == [t.ids for t in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(spark, docs, no_docs):
     rows = packing.pack_documents(spark, docs, task_pieces=5).collect()
     coder = ChunkCoder(packing.tokenizer_path())
@@ -338,6 +349,27 @@ def test_best_fit_and_local_search():
         assert len(bins) <= 1.02 * sizes.sum() / 1000 + 12
 
 
+def test_one_document_id_for_all(spark):
+    # A hot id, and pieces of over half a sequence that no other fits: all are tried, none is lost.
+    df = spark.createDataFrame([(None if n % 2 else 7, "word " * (2100 if n % 3 == 0 else 1 + n)) for n in range(90)], "doc_id long, text string")
+    rows = packing.pack_documents(spark, df, task_pieces=20).collect()
+    fills = collections.Counter()
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+    lengths = sorted((r["length"] for r in rows))
+    assert len(rows) == 90 and max(fills.values()) <= 4096 and lengths.count(2101) == 30
+    assert len(fills) <= 31
+
+
+def test_search_ends_without_patience():
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(900, 1300, 800), np.concatenate([np.full(300, 2100), rng.integers(1, 1500, 300)]), rng.integers(2049, 4096, 300)):
+        bins = packing.pack(sizes, 4096)
+        assert sorted(r for b in bins for r in b) == list(range(len(sizes))) and len(bins) <= len(packing.best_fit(sizes, 4096))
+        search = packing.LocalSearch(bins, sizes, 4096)
+        assert len(bins) == search.least or not any(search._step(v) for v in np.flatnonzero(search.fill < 4096))
+
+
 def test_exchanges():
     # Nothing fits a gap as it is; one for one makes room for a move that empties the last bin.
     search = packing.LocalSearch([[0, 1, 2], [3, 4, 5], [6]], np.array([6, 2, 1, 5, 3, 1, 2]), 10)
