@@ -402,7 +402,7 @@ def test_co_training_uses_the_pool():
     text = y[:, None] * 3 + rng.normal(size=(4000, 2))
     meta = y[:, None] * 1.5 + rng.normal(size=(4000, 2))
     few = slice(0, 100)
-    model = quality_classifier.co_train([text[few], meta[few]], y[few], [text[100:2000], meta[100:2000]])
+    model = quality_classifier.co_train([text[few], meta[few]], y[few], quality_classifier.in_memory([text[100:2000], meta[100:2000]], quality_classifier.Settings()))
     assert ((model.score(text[2000:], meta[2000:]) > 0.5) == y[2000:]).mean() > 0.93
 
 
@@ -421,8 +421,30 @@ def test_classifier_on_awkward_rows(spark, docs, no_docs):
         model = quality_classifier.train(docs, known)
         scored = quality_classifier.score_documents(docs, model)
         assert scored.count() == docs.count() and scored.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
-        assert quality_classifier.keep_good(docs, model).columns == docs.columns
-        assert quality_classifier.keep_good(no_docs, model).count() == 0
+        kept = quality_classifier.keep_good(spark, docs, known)
+        assert kept.columns == docs.columns and kept.count() == scored.where("kept").count()
+        assert quality_classifier.keep_good(spark, no_docs, known).count() == 0
+
+
+def test_one_labelled_id_of_many_rows(spark, monkeypatch):
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    seen = []
+    monkeypatch.setattr(quality_classifier, "co_train", lambda x, y, pick, settings: seen.append(y) or quality_classifier.CoTrained(0.5, [(quality_classifier.Constant(0.5), 1.0, 0.0)] * 2))
+    quality_classifier.train(df, spark.createDataFrame([(7, 1)] * 40, "doc_id long, quality int"))
+    assert len(seen[0]) == 1
+
+
+def test_pseudo_labels_come_from_every_stratum(spark):
+    rng = np.random.default_rng(2)
+    rows = [(n, [float(v) for v in rng.normal(size=quality_classifier.TEXT_FEATURES) + 4 * (n % 2)], "en", "hot" if n % 3 else f"s{n % 7}", 5) for n in range(4000)]
+    features = spark.createDataFrame([*rows, *rows[:1] * 500], "doc_id long, x array<double>, lang string, source string, size long")
+    x = np.array([r[1] for r in rows])
+    settings = quality_classifier.Settings(taught=80)
+    models = [quality_classifier.Logistic().fit(x, np.array([n % 2 for n in range(4000)], float)), quality_classifier.Constant(0.5)]
+    (views, label), (none, _) = quality_classifier._from_all(features, settings)(models, 0)
+    strata = collections.Counter(quality_classifier._strata(views[1]).tolist())
+    assert len(none[0]) == 0 and len(strata) == 8 and 100 < len(label) < 240 and 0.3 < label.mean() < 0.7
+    assert max(strata.values()) < 60
 
 
 # The pipeline
@@ -430,7 +452,7 @@ def test_classifier_on_awkward_rows(spark, docs, no_docs):
 
 def test_pipeline(spark, small):
     docs = table(spark, small, "documents")
-    good = quality_classifier.keep_good(docs, quality_classifier.train(docs, table(spark, small, "labels"))).collect()
+    good = quality_classifier.keep_good(spark, docs, table(spark, small, "labels")).collect()
     failed = {r["doc_id"] for r in good if (c := brute_counts(r["text"]))[0] < 10 or 100 * c[4] > 20 * c[0]}
     left = [r for r in good if r["doc_id"] not in failed and 100 * brute_counts(r["text"])[2] <= 20 * brute_counts(r["text"])[0]]
     first = brute_components([brute_fingerprint(r["text"]) for r in left], [r["doc_id"] for r in left])
