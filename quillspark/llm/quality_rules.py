@@ -1,8 +1,8 @@
 """Quality rules (operator 1): rule failures by host, shrunk with an empirical beta prior, joined back to documents.
 
 Counts come from one Arrow pass over whole texts. Hosts are pre-aggregated to (documents, failures), the beta prior is
-fitted to their failure rates by moments, and each host gets the posterior mean of its rate. A document is kept if it
-breaks no rule and its host isn't blocked.
+fitted to their failure rates by moments, less the spread that sampling alone gives hosts of one common rate, and each host
+gets the posterior mean of its rate. A document is kept if it breaks no rule and its host isn't blocked.
 
 Defined cases: a null text counts as empty (no words, so it fails the base rule); a null source is a host of its own; a
 null or repeated doc_id is judged row by row; an empty table gives an empty result; further columns are never read.
@@ -124,40 +124,41 @@ def rule_failed(c: dict[str, Column], rules: Rules) -> Column:
     )
 
 
-def prior_of(total: int, fails: int, squares: float, rules: Rules) -> tuple[float, float]:
-    """Mean and weight of the beta prior from the sums over hosts of n, fails and fails^2 / n.
+def prior_of(total: int, fails: int, squares: float, rules: Rules, hosts: int = 1) -> tuple[float, float]:
+    """Mean and weight of the beta prior from the sums over hosts of n, fails and fails^2 / n, and the number of hosts.
 
     The mean is the failure rate of all documents; the weight follows from the spread of the hosts' rates, each host
-    weighing as many as its documents.
+    weighing as many as its documents. Of that spread m(1 - m)(hosts - 1) / total is what binomial draws of one rate have.
     """
     if not total:
         return 0.0, rules.max_prior
     mean = fails / total
-    spread = (squares - mean * fails) / total
+    spread = (squares - mean * fails - mean * (1 - mean) * (hosts - 1)) / total
     return mean, min(rules.max_prior, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else rules.max_prior
 
 
 def host_rates(ws: Workspace, failures: DataFrame, rules: Rules) -> DataFrame:
-    """From rows (host, failed): a row a host with n, fails, its shrunk rate and whether it is blocked. The driver gets three sums."""
+    """From rows (host, failed): a row a host with n, fails, its shrunk rate and whether it is blocked. The driver gets four sums."""
     hosts = ws.keep(failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("fails")), "hosts")
-    sums = hosts.agg(F.sum("n"), F.sum("fails"), F.sum(F.col("fails") * (F.col("fails") / F.col("n")))).first()
-    mean, weight = prior_of(sums[0] or 0, sums[1] or 0, sums[2] or 0.0, rules)
+    sums = hosts.agg(F.sum("n"), F.sum("fails"), F.sum(F.col("fails") * (F.col("fails") / F.col("n"))), F.count(F.lit(1))).first()
+    mean, weight = prior_of(sums[0] or 0, sums[1] or 0, sums[2] or 0.0, rules, sums[3])
     shrunk = (F.col("fails") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
     return hosts.withColumn("rate", shrunk).withColumn("blocked", F.col("rate") > rules.max_host_rate)
 
 
 def join_blocked(df: DataFrame, host: str, hosts: DataFrame, flag: str, rules: Rules) -> DataFrame:
     """df with a boolean column flag: whether its host is blocked."""
-    blocked = hosts.where("blocked").select(F.col("host").alias("__host"), F.lit(True).alias("__blocked"))
+    key, hit, salt, copy = private(df, "__host", "__blocked", "__salt", "__copy")
+    blocked = hosts.where("blocked").select(F.col("host").alias(key), F.lit(True).alias(hit))
     few = blocked.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts
     if few:
-        joined = df.join(F.broadcast(blocked), df[host].eqNullSafe(F.col("__host")), "left")
+        joined = df.join(F.broadcast(blocked), df[host].eqNullSafe(F.col(key)), "left")
     else:
         salts = 32
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        spread = blocked.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        joined = salted.join(spread, salted[host].eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__copy")), "left").drop("__salt", "__copy")
-    return joined.withColumn(flag, F.coalesce(F.col("__blocked"), F.lit(False))).drop("__host", "__blocked")
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind)), F.lit(salts)))
+        spread = blocked.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        joined = salted.join(spread, salted[host].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(copy)), "left")
+    return joined.select(*df.columns, F.coalesce(F.col(hit), F.lit(False)).alias(flag))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -174,14 +175,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(),
 def keep_good(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), text: str = "text", source: str = "source") -> DataFrame:
     """Only the documents that quality_rules keeps, with all their columns.
 
-    Texts aren't shuffled: counts are taken beside the rows, once for the hosts' rates and once for the filter.
+    Texts are split once and not shuffled: the counts are kept beside the rows, from where the hosts' rates are taken and
+    then the rows.
     """
     ws = Workspace(spark, "quality-filter")
     names = private(docs, *(f"__{n}" for n in COUNTS))
     c = {n: F.col(p) for n, p in zip(COUNTS, names)}
-    only = with_counts(docs.select(source, text) if source != text else docs.select(source), text, names, [source])
-    hosts = host_rates(ws, only.select(F.col(source).alias("host"), rule_failed(c, rules).alias("failed")), rules)
-    judged = with_counts(docs, text, names, docs.columns).where(~rule_failed(c, rules)).select(*docs.columns)
+    wide = ws.keep(with_counts(docs, text, names, docs.columns), "counts")
+    hosts = host_rates(ws, wide.select(F.col(source).alias("host"), rule_failed(c, rules).alias("failed")), rules)
+    judged = wide.where(~rule_failed(c, rules)).select(*docs.columns)
     (flag,) = private(docs, "__flag")
     return join_blocked(judged, source, hosts, flag, rules).where(~F.col(flag)).select(*docs.columns)
 
@@ -216,7 +218,7 @@ WITH words AS (
 ), hosts AS (
   SELECT source, count(*) AS n, sum(failed::INT) AS fails FROM judged GROUP BY source
 ), moments AS (
-  SELECT sum(fails)::DOUBLE / sum(n) AS m, (sum(fails * (fails::DOUBLE / n)) - sum(fails)::DOUBLE / sum(n) * sum(fails)) / sum(n) AS v FROM hosts
+  SELECT sum(fails)::DOUBLE / sum(n) AS m, (sum(fails * (fails::DOUBLE / n)) - sum(fails)::DOUBLE / sum(n) * sum(fails) - sum(fails)::DOUBLE / sum(n) * (1 - sum(fails)::DOUBLE / sum(n)) * (count(*) - 1)) / sum(n) AS v FROM hosts
 ), prior AS (
   SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM moments
 ), blocked AS (

@@ -1,10 +1,11 @@
 """URL filters (operator 4): allow and block rules, and gradient-boosted trees on lexical features for all other URLs.
 
 Rules are Catalyst expressions. The trees are trained from labelled URLs: a table (url, label), 1 for block, or by
-default the URLs that the rules decide. At most `max_labelled` rows are used, those of the smallest hash; the documented
-bound holds the driver's share fixed. Features: lengths, depth, digit ratio, entropy, counts of parameters and signs,
-and the share of blocked URLs by the host's last label, its last two labels and the path's first segment in the training
-rows.
+default the URLs that the rules decide. At most `max_labelled` distinct ones are used: the table is counted, a hash
+threshold lets some so many through, and only these reach the driver, in however many partitions the table is. Features:
+lengths, depth, digit ratio, entropy, counts of parameters and signs, and the share of blocked URLs by the host's last
+label, its last two labels and the path's first segment. In training, a row's shares come from the other four fifths of the
+rows, so that the trees learn how far such statistics can be trusted instead of the rows' own labels.
 
 Defined cases: a null URL or one without "://" has an empty host and path, fits no rule and is judged by the model on
 its (empty) text; repeated rows are rows of their own; with no labelled URLs, or labels of one kind, the model is a
@@ -96,24 +97,43 @@ class UrlModel:
         return self.trees.predict(np.array([self.features(*r) for r in rows], float))
 
 
-def train(rows: list[tuple[str, str, str, int]], seed_trees: Boosted | None = None) -> UrlModel:
-    """From (url, host, path, label) rows on the driver."""
-    labels = np.array([r[3] for r in rows], float)
-    prior = float((labels.sum() + 1) / (len(labels) + 2))
+#: Rows that an affix needs before its own rate outweighs the prior.
+AFFIX_WEIGHT = 20.0
+FOLDS = 5
+
+
+def affix_rates(rows: list[tuple[str, str, str, int]], prior: float) -> dict[str, float]:
+    """The smoothed share of blocked rows by affix."""
     seen: Counter = Counter()
     blocked: Counter = Counter()
     for _, host, path, label in rows:
         for s in set(_affixes(host, path)):
             seen[s] += 1
             blocked[s] += label
-    weight = 20.0  # rows that an affix needs before its own rate outweighs the prior
-    rates = {s: (blocked[s] + weight * prior) / (n + weight) for s, n in seen.items()}
-    model = UrlModel(seed_trees or Boosted(), rates, prior)
-    x = np.array([model.features(*r[:3]) for r in rows], float).reshape(len(rows), len(FEATURES))
+    return {s: (blocked[s] + AFFIX_WEIGHT * prior) / (n + AFFIX_WEIGHT) for s, n in seen.items()}
+
+
+def train(rows: list[tuple[str, str, str, int]], seed_trees: Boosted | None = None) -> UrlModel:
+    """From (url, host, path, label) rows on the driver."""
+    labels = np.array([r[3] for r in rows], float)
+    prior = float((labels.sum() + 1) / (len(labels) + 2))
+    model = UrlModel(seed_trees or Boosted(), affix_rates(rows, prior), prior)
+    x = np.zeros((len(rows), len(FEATURES)))
+    for fold in range(FOLDS):
+        apart = UrlModel(model.trees, affix_rates([r for n, r in enumerate(rows) if n % FOLDS != fold], prior), prior)
+        for n in range(fold, len(rows), FOLDS):
+            x[n] = apart.features(*rows[n][:3])
     model.trees.fit(x, labels)
     return model
 
 
+def bounded_sample(known: DataFrame, most: int) -> DataFrame:
+    """At most `most` distinct rows of known(url, label), those below a hash threshold: what any partition gives is a small part of them."""
+    draw = F.pmod(F.xxhash64("url"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = known.where(draw < F.lit(min(1.0, most / max(1, known.count()))))
+    return few.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(most)
+
+
 def labelled_by_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(url, label) of those rows of urls(url) that a rule decides."""
     _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
@@ -126,7 +146,7 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] =
 
     plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     known = (labelled if labelled is not None else labelled_by_rules(plain, rules)).where("url IS NOT NULL AND label IS NOT NULL")
-    sample = known.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label").orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled).collect()
+    sample = bounded_sample(known.select("url", "label"), max_labelled).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label").collect()
     model = train([(r["url"], r["host"], r["path"], int(r["label"])) for r in sample])
 
     def run(batches):

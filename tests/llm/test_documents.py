@@ -59,6 +59,16 @@ def test_host_prior():
     assert quality_rules.prior_of(0, 0, 0.0, rules) == (0.0, rules.max_prior)
 
 
+def test_equal_hosts_have_the_heaviest_prior():
+    # 2,000 hosts of five documents, all of rate 0.4: their rates differ by sampling only.
+    fails = np.random.default_rng(4).binomial(5, 0.4, 2000)
+    mean, weight = quality_rules.prior_of(10_000, int(fails.sum()), float((fails**2 / 5).sum()), quality_rules.Rules(), 2000)
+    assert abs(mean - 0.4) < 0.02 and weight > 100
+    # Rates drawn from a beta of weight 8.
+    fails = np.random.default_rng(4).binomial(50, np.random.default_rng(5).beta(2, 6, 2000))
+    assert 6.5 < quality_rules.prior_of(100_000, int(fails.sum()), float((fails**2 / 50).sum()), quality_rules.Rules(), 2000)[1] < 9.5
+
+
 def test_bad_hosts_go(spark):
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good if i % 20 == 0 else "bad", "spam") for i in range(400)] + [(1000 + i, good, "fine") for i in range(200)] + [(2000 + i, "bad" if i else good, "tiny") for i in range(2)]

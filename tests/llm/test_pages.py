@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,27 @@ def test_url_model_held_out(spark):
     assert right > 0.9
 
 
+def test_the_sample_is_bounded(spark):
+    known = spark.range(30_000).select(F.concat(F.lit("http://h/"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))).alias("url"), F.lit(1).alias("label")).repartition(40)
+    found = url_filter.bounded_sample(known, 1000)
+    assert 500 < found.count() <= 1000 and found.distinct().count() == found.count()
+    assert url_filter.bounded_sample(known, 50_000).count() == 20_001
+
+
+def test_affix_rates_of_a_row_do_not_see_its_label():
+    # Labels at random, a host each: rates of the very rows would tell them.
+    rng = np.random.default_rng(1)
+    rows = [(f"http://h{n}.{n}/", f"h{n}.{n}", "/", int(rng.integers(2))) for n in range(400)]
+    model = url_filter.train(rows)
+    assert ((model.predict([r[:3] for r in rows]) > 0.5) == [r[3] for r in rows]).mean() < 0.9
+    assert abs(float(np.corrcoef([model.features(*r[:3])[11] for r in rows], [r[3] for r in rows])[0, 1])) > 0.9
+
+
+def test_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://a.org/" + "x/" * 500_000), (2, "http://" + "a" * 1_000_000)], "page_id long, url string")
+    assert [len(r["host"]) for r in url_filter.url_filter(spark, df).orderBy("page_id").collect()] == [5, 1_000_000]
+
+
 def test_url_filter_without_labels(spark):
     df = spark.createDataFrame([(1, "http://x.net/"), (1, "http://x.net/")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.url_filter(spark, df).collect()] == ["allow", "allow"]
@@ -131,6 +153,13 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation(spark):
+    long = "y" * 2_000_000
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (9, 0, "assistant", long)]
+    back = chat_format.read_back(chat_format.format_chats(conversations(spark, rows))).collect()
+    assert sorted(([tuple(t) for t in r["turns"]], r["targets"]) for r in back) == [([("assistant", "b")], ["b"]), ([("assistant", "b")], ["b"]), ([("assistant", long)], [long]), ([("user", "a")], [])]
+
+
 def test_examples(spark):
     rows = chat_format.format_chats(conversations(spark, AWKWARD).where("conv_id = 1")).orderBy("example").collect()
     assert [(r["example"], r["loss_length"] is None) for r in rows] == [(2, False), (3, True)]
