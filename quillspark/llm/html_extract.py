@@ -6,175 +6,39 @@ every page votes for those that score at least half of its best, votes are added
 winning path says which containers of each of its pages are extracted: all that have it and more text than links, in page
 order. A page without such a container, or with next to no text in the best of them, falls back to its own best path.
 
-Left out wherever they stand: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class or id
-names adverts, notices, comments and the like. Character references are decoded, white space inside a block becomes one
-space, blocks are joined by one space; nothing else is dropped or cut.
-
-Defined cases: null html counts as empty and gives empty text; unclosed and stray tags are tolerated as browsers do; a
-null url belongs to the host ""; repeated rows are rows of their own; an empty table gives an empty result; further
-columns are never read. Only pages of at most `broadcast_hosts` winning hosts get them by broadcast, beyond that by a
-salted join.
+Left out wherever they stand: scripts, styles, forms, menus, headers, footers and sidebars by their tags, adverts and
+readers' comments by their class or id. Other such names (html_parse.HARDLY) go unless the page has its title or nearly all
+of its text inside; names that may as well be the article's (html_parse.PERHAPS: a search, a paywall, a disclaimer) go only
+if the host's pages agree, that is if most pages with that path say the same there. Character references are decoded,
+white space inside a block becomes one space, blocks are joined by one space; nothing else is dropped or cut.
+
+Defined cases: null html counts as empty and gives empty text; unclosed and stray tags are read as browsers do, in time
+linear in the page's length whatever its markup and depth; a null url belongs to the host ""; repeated rows are rows of
+their own; an empty table gives an empty result; further columns are never read. Only pages of at most `broadcast_hosts`
+winning hosts get them by broadcast, beyond that by a salted join.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .html_parse import Page, dropped_marks, parse
+from .shared import Workspace, table, values
 from .url_filter import host_of
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|svg|math|select|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr nobr".split())
-SKIPPED = frozenset("nav header footer aside form button menu dialog head fieldset audio video canvas map".split())
-CONTAINERS = frozenset("body article main section div td li blockquote center dd".split())
-#: A word of a class or id that marks what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|navbar|nav|navigation|menu|breadcrumbs?|foot(?:er)?|header|masthead|"
-    r"comments?|commentlist|disqus|replies|respond|reply|notices?|cookies?|consent|gdpr|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
-    r"related|recommended|widget|toolbar|pagination|pager|skip-link|disclaimer|copyright|paywall|toc|contentinfo|complementary|search)\d*(?:$|[\s_-])",
-    re.I,
-)
-#: What says that a page has such parts, rather than being one.
-LAYOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][\w-]+", re.I)
-#: An article element of these classes isn't the page's article.
-OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert|sponsored|promo|comments?|reply|replies|related|teaser)\d*(?:$|[\s_-])", re.I)
-MAIN_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
-CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-DECAY = 0.6
-
-
-@dataclass
-class Node:
-    """An open element."""
-
-    tag: str
-    path: str
-    skip: bool
-    link: bool
-    container: int
-
-
-@dataclass
-class Page:
-    """Blocks of text in page order, each with the containers around it, and the containers' paths and weights."""
-
-    blocks: list[tuple[str, int, int]] = field(default_factory=list)  # text, link characters, container
-    parents: list[int] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
-    weights: list[float] = field(default_factory=list)
-
-
-def _name(tag: str, classes: str) -> str:
-    words = sorted({w for w in re.sub(r"\d+", "", classes).lower().split() if len(w) > 1})
-    return ".".join([tag, *words])
-
-
-def parse(raw: str) -> Page:
-    """The text blocks of a page that aren't boilerplate."""
-    page = Page([], [-1], ["html"], [0.5])
-    stack = [Node("html", "html", False, False, 0)]
-    buffer: list[str] = []
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            if text:
-                page.blocks.append((text, linked, stack[-1].container))
-            buffer.clear()
-        linked = 0
-
-    def close_to(k: int) -> None:
-        if any(n.tag not in INLINE for n in stack[k:]):
-            flush()
-        del stack[k:]
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if not stack[-1].skip:
-            text = entities.unescape(text) if "&" in text else text
-            buffer.append(text)
-            if stack[-1].link:
-                linked += len(text)
-
-    at = 0
-    for m in TOKEN.finditer(raw):
-        if m.start() > at:
-            add(raw[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
-            continue
-        if m["close"] or m["close2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close_to(k)
-                    break
-                # An inline element can't close what stands outside of its block.
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
-            continue
-        if tag in INLINE:
-            if tag in VOID:
-                continue
-        else:
-            # A block ends an open paragraph, and items end their like.
-            ends = ("p",) + CLOSED_BY.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close_to(k)
-                    break
-                if stack[k].tag not in INLINE and stack[k].tag not in ("p", "dt", "dd", "td", "th", "li"):
-                    break
-            flush()
-            if tag in VOID:
-                continue
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if attrs.rstrip().endswith("/") and tag in ("br", "hr", "img"):
-            continue
-        found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-        classes = found.get("class", "")
-        named = f"{classes} {found.get('id', '')} {found.get('role', '')}"
-        top = stack[-1]
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        marks = None if tag in ("html", "body", "main", "h1") else OTHER_ARTICLE if tag == "article" else BOILERPLATE
-        skip = top.skip or tag in SKIPPED or hidden or bool(marks and named.strip() and marks.search(LAYOUT.sub(" ", named)))
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
-            continue
-        path, container = top.path, top.container
-        if tag not in INLINE:
-            path = f"{top.path}/{_name(tag, classes)}"
-            if tag in CONTAINERS and not skip:
-                container = len(page.paths)
-                page.parents.append(top.container)
-                page.paths.append(path)
-                page.weights.append(4.0 if tag == "article" else 3.0 if tag == "main" or found.get("role") == "main" else 1.5 if MAIN_HINT.search(named) else 1.0)
-        stack.append(Node(tag, path, skip, top.link or tag == "a", container))
-    if at < len(raw):
-        add(raw[at:])
-    flush()
-    return page
-
-
-def scores(page: Page) -> list[float]:
+#: What an ancestor gets of a container's score: with three sevenths as much text beside it, it is the better one.
+DECAY = 0.7
+#: A path of PERHAPS is boilerplate if at least so many pages of the host have it, and so many a different text.
+REPEATS = 3
+
+
+def scores(page: Page, dropped: list[bool]) -> list[float]:
     """Of each container: its blocks' text without links, and a decaying share of the text of containers inside."""
     found = [0.0] * len(page.paths)
-    for text, linked, c in page.blocks:
+    for text, linked, c, mark in page.blocks:
+        if mark >= 0 and dropped[mark]:
+            continue
         worth, n = max(0, len(text) - 2 * linked), c
         while n >= 0 and worth > 0.01:
             found[n] += worth
@@ -183,68 +47,99 @@ def scores(page: Page) -> list[float]:
     return [s * w for s, w in zip(found, page.weights)]
 
 
-def extract(page: Page, path: str | None) -> str:
+def extract(page: Page, path: int | None, repeated: frozenset = frozenset()) -> str:
     """The text of all containers with that path, in page order; of those with the path of the page's best one if they hold next to nothing."""
-    found = scores(page)
-    if not found or not page.blocks:
+    dropped = dropped_marks(page, repeated)
+    found = scores(page, dropped)
+    if not page.blocks:
         return ""
     rank = sorted(range(len(found)), key=lambda c: (-found[c], c))
     best = next((c for c in rank if page.paths[c] == path and found[c] >= 0.2 * found[rank[0]]), rank[0])
     inside = [False] * len(page.paths)
     for c in range(len(page.paths)):  # parents come first
         inside[c] = c == best or page.paths[c] == page.paths[best] and found[c] > 0 or page.parents[c] >= 0 and inside[page.parents[c]]
-    return " ".join(text for text, _, c in page.blocks if inside[c])
+    return " ".join(text for text, _, c, mark in page.blocks if inside[c] and not (mark >= 0 and dropped[mark]))
+
+
+def ballot(page: Page) -> list[tuple[int, str | None, float, int | None]]:
+    """A page's rows (path, label, weight, text's digest): its votes, and what stands at the paths of PERHAPS, which have a digest."""
+    from xxhash import xxh64, xxh64_intdigest
+
+    found = scores(page, dropped_marks(page))
+    top = max(found, default=0)
+    each: dict[int, tuple[float, int]] = {}
+    for c, (s, p) in enumerate(zip(found, page.paths)):
+        if top and s >= 0.5 * top and s / top > each.get(p, (0, 0))[0]:
+            each[p] = (s / top, c)
+    rows: list = [(p, page.label(c), w, None) for p, (w, c) in each.items()]
+    soft = {k: xxh64() for k, kind in enumerate(page.mark_kinds) if kind == 1}
+    if soft:
+        nearest = [k if kind == 1 else (-1 if page.mark_parents[k] < 0 else None) for k, kind in enumerate(page.mark_kinds)]
+        for k, n in enumerate(nearest):
+            if n is None:
+                nearest[k] = nearest[page.mark_parents[k]]
+        for text, _, _, mark in page.blocks:
+            if mark >= 0 and nearest[mark] >= 0:
+                soft[nearest[mark]].update(text)
+        rows += [(page.mark_paths[k], None, 1.0, xxh64_intdigest(h.digest()) >> 1) for k, h in soft.items()]
+    return rows
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, weight): the containers of each page of pages(host, html) that score at least half of its best."""
+    """(host, path, label, weight, digest) of pages(host, html)."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            rows = []
-            for host, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                page = parse(raw or "")
-                found = scores(page)
-                top = max(found, default=0)
-                each: dict[str, float] = {}
-                for s, p in zip(found, page.paths):
-                    if top and s >= 0.5 * top:
-                        each[p] = max(each.get(p, 0), s / top)
-                rows += [(host, p, w) for p, w in each.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.float64()))], names=["host", "path", "weight"])
+            hosts, rows = [], []
+            for host, raw in zip(values(b.column(0), 100), values(b.column(1), 100)):
+                mine = ballot(parse(raw or ""))
+                rows += mine
+                hosts += [host] * len(mine)
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds))], names=["host", "path", "label", "weight", "digest"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, weight double")
+    return pages.select("host", "html").mapInArrow(run, "host string, path long, label string, weight double, digest long")
 
 
 def winners(ballots: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host; ties go to the first in order."""
-    sums = ballots.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    return sums.groupBy("host").agg(F.min_by("path", F.struct((-F.col("weight")).alias("w"), "path")).alias("path"))
+    """(host, path, label, repeated): the path with the most votes of each host, ties going to the first in order, and the paths of PERHAPS whose text most pages repeat."""
+    sums = ballots.groupBy("host", "path", "digest").agg(F.round(F.sum("weight"), 6).alias("weight"), F.max("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    paths = sums.groupBy("host", "path", F.col("digest").isNull().alias("vote")).agg(F.max("weight").alias("weight"), F.max("label").alias("label"), F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"))
+    same = ~F.col("vote") & (F.col("pages") >= REPEATS) & (F.col("pages") >= REPEATS * F.col("texts"))
+    best = F.min(F.when(F.col("vote"), F.struct((-F.col("weight")).alias("w"), "label", "path")))
+    won = paths.where("vote OR pages >= %d" % REPEATS).groupBy("host").agg(best.alias("best"), F.sort_array(F.collect_list(F.when(same, F.col("path")))).alias("repeated"))
+    return won.select("host", "best.path", "best.label", "repeated")
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
-    """A row for each row of pages: page_id, url, path (the host's winning one), text."""
+    """A row for each row of pages: page_id, url, path (the last steps of the host's winning one), text."""
     import pyarrow as pa
 
     ws = Workspace(spark, "html")
     plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
-    won = ws.keep(winners(votes(plain)), "winners").select(F.col("host").alias("won_host"), F.col("path").alias("won_path"))
-    if won.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+    won = ws.keep(winners(votes(plain)), "winners").select(F.col("host").alias("won_host"), F.struct("path", "label", "repeated").alias("won"))
+    # Counted in hosts and repeated paths.
+    told_of = won.agg(F.sum(1 + F.size("won.repeated"))).first()[0] or 0
+    if told_of <= broadcast_hosts:
         told = plain.join(F.broadcast(won), F.col("host") == F.col("won_host"), "left")
     else:
         salts = 32
         spread = won.withColumn("won_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        salted = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)).cast("int"))
         told = salted.join(spread, (F.col("host") == F.col("won_host")) & (F.col("salt") == F.col("won_salt")), "left")
 
     def run(batches):
         for b in batches:
-            found = [extract(parse(raw), path) for raw, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(found, pa.string())], names=["page_id", "url", "path", "text"])
+            labels, found = [], []
+            for raw, won in zip(values(b.column(2), 100), values(b.column(3), 100)):
+                won = won or {"path": None, "label": None, "repeated": None}
+                labels.append(won["label"])
+                found.append(extract(parse(raw), won["path"], frozenset(won["repeated"] or ())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(labels, pa.string()), pa.array(found, pa.string())], names=["page_id", "url", "path", "text"])
 
     kind = plain.dtypes[0][1]
-    return told.select("page_id", "url", "html", "won_path").mapInArrow(run, f"page_id {kind}, url string, path string, text string")
+    return told.select("page_id", "url", "html", "won").mapInArrow(run, f"page_id {kind}, url string, path string, text string")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

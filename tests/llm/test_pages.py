@@ -63,6 +63,81 @@ def test_broken_markup(raw):
     html_extract.extract(html_extract.parse(raw), None)
 
 
+@pytest.mark.parametrize("raw", ["<a " * 1_700_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "</x></p></li>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<p title=\"" * 200_000, "<!--" * 500_000, "<li><p>" * 100_000, "<table><td>" * 50_000 + "</div>" * 50_000, "&amp" * 500_000, "<h1 class=nav>" * 50_000])
+def test_hostile_markup_takes_linear_time(raw):
+    import time
+
+    began = time.perf_counter()
+    html_extract.ballot(html_extract.parse(raw))
+    html_extract.extract(html_extract.parse(raw), None)
+    assert time.perf_counter() - began < 10
+
+
+def test_memory_of_deep_pages():
+    import tracemalloc
+
+    tracemalloc.start()
+    peaks = []
+    for depth in (2000, 8000):
+        tracemalloc.reset_peak()
+        html_extract.parse("<div>" * depth + "x")
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert peaks[1] < 8 * peaks[0]
+
+
+def text_of(raw):
+    return html_extract.extract(html_extract.parse(raw), None)
+
+
+LONG = " ".join(f"sentence {n} of the article," for n in range(30))
+
+
+@pytest.mark.parametrize("raw,expected", [
+    (f"<article><div class='paywall'><h1>Title</h1><p>{LONG}</p></div></article>", f"Title {LONG}"),
+    (f"<body class='has-sidebar'><div class='sidebar-left'><h1>Title</h1><p>{LONG}</p></div></body>", f"Title {LONG}"),
+    (f"<article><p>{LONG}</p><div class='search'>How the search went on.</div></article>", f"{LONG} How the search went on."),
+    (f"<article><p>{LONG}</p><svg><path d=''><p>After the drawing.</p></article>", f"{LONG} After the drawing."),
+    (f"<article><p>{LONG}</p><select><option>one<p>After the choices.</p></article>", f"{LONG} After the choices."),
+    (f"<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, {LONG}</p></article>", f"As x=1 holds, {LONG}"),
+    (f"<article><p>{LONG}</p><svg><title>No</title><text>no</text></svg><p>On.</p></article>", f"{LONG} On."),
+    (f"<body><div class=a>{LONG}</div><div class=b>{LONG[:600]}</div></body>", f"{LONG} {LONG[:600]}".strip()),
+    (f"<head><title>No</title><p>{LONG}", LONG.strip()),
+    (f"<article><p>{LONG}</p><div class='share'>Share</div><div class='related'><article>Teaser</article></div><div class='ad'>Buy</div></article><div id=comments><h1>Readers</h1>{LONG * 9}</div>", LONG.strip()),
+    (f"<div><table><tr><td>{LONG}</div>more</td></tr></table></div>", f"{LONG}more"),
+    (f"<article><p>{LONG} a < b && c > d <3</p></article>", f"{LONG} a < b && c > d <3"),
+    (f"<article><p title='a > b' class=x>{LONG}</p><p hidden>no</p><p style='display: none'>no</p></article>", LONG.strip()),
+    (f"<article><noscript>no</noscript><p>{LONG}<textarea>no</textarea><br/>end</article>", f"{LONG} end"),
+])
+def test_what_is_the_article(raw, expected):
+    assert text_of(raw) == expected
+
+
+def test_hosts_agree_on_what_repeats(spark):
+    page = "<body><article><p>%s</p><div class='disclaimer'>%s</div></article></body>"
+    rows = [(f"http://same/{n}", page % (f"{n} {LONG}", "Nobody is liable for this.")) for n in range(6)] + [(f"http://own/{n}", page % (f"{n} {LONG}", f"A disclaimer that is the story of case {n}.")) for n in range(6)]
+    found = extracted(spark, *rows)
+    assert found[:6] == [f"{n} {LONG}" for n in range(6)]
+    assert found[6:] == [f"{n} {LONG} A disclaimer that is the story of case {n}." for n in range(6)]
+
+
+TEMPLATES = [
+    "<html><body><div id='page'><div class='nav'><a href=/>Home</a></div><div class='post'><h2>{t}</h2>{p}</div><div class='sidebar'>See also</div></div></body></html>",
+    "<body><header><h1>Site</h1></header><main><h1>{t}</h1>{p}</main><footer>Foot</footer></body>",
+    "<body><table><tr><td width=20%><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><td><h1>{t}</h1>{p}</table></body>",
+    "<body><div class=w1><div class=w2><section class='entry-content'><h1>{t}</h1>{p}</section></div></div><div class='cookie-notice'>We use cookies on this site.</div></body>",
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_pages_of_several_templates(spark, template):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(["stone", "river", "tall", "walk", "green", "seven", "under"], n))
+    made = [(words(5), [words(int(rng.integers(20, 80))) for _ in range(3)]) for _ in range(8)]
+    rows = [(f"http://h/{n}", template.format(t=t, p="".join(f"<p>{x}</p>" for x in ps))) for n, (t, ps) in enumerate(made)]
+    assert extracted(spark, *rows) == [" ".join([t, *ps]) for t, ps in made]
+
+
 def test_every_page_of_the_tables(spark, small):
     import html
     import re
