@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, long_column, private, table, texts
+from .shared import Workspace, identity, long_column, private, table, texts
 
 SHINGLE = 3
 RADIUS = 3
@@ -57,11 +57,6 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def identity(doc_id: str, text: str) -> list[Column]:
-    """128 bits that tell rows apart by id and text, two columns that are never null."""
-    return [F.xxhash64(F.lit(n), F.col(doc_id), F.col(text)) for n in (1, 2)]
-
-
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, id_a, id_b, fp): the row's identity, and the fingerprint as a signed 64-bit integer."""
     import pyarrow as pa

@@ -106,6 +106,37 @@ def test_partial_templates_need_their_key_phrase(spark):
     assert found == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_full_licences(spark, duck):
+    by_label = {}
+    for t in license_scan.TEMPLATES:
+        by_label.setdefault(t.label, []).append(t.text)
+    texts = {
+        "mit": "The MIT License (MIT)\n\nCopyright (c) 2019 Someone\n\n" + "\n\n".join(by_label["mit"][2:]).upper(),
+        "bsd-3-clause": "Copyright 1999, Some Institute.\n" + ";\n * ".join(by_label["bsd"]) + " Neither the name of Some Institute of Something " + by_label["bsd-3-clause"][0],
+        "changed": by_label["mit"][2].replace("merge publish", "join print").replace("hereby", "hereby"),
+        "key lost": by_label["mit"][2].replace("sublicense", "license"),
+        "kelvin": "CC BY and \u212a0 \u0130 GENERAL PUBLIC LICENSE " * 3,
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    found = [{license_scan.TEMPLATES[p["t"]].label for p in r["placements"]} for r in license_scan.license_scan(spark, df).orderBy("doc_id").collect()]
+    assert found == [{"mit"}, {"bsd", "bsd-3-clause"}, {"mit"}, {"mit"}, {"cc-by", "gpl"}]
+    scored = license_scan.license_scan(spark, df).orderBy("doc_id").collect()
+    longest = [max(p["score"] for p in r["placements"] if len(license_scan.TEMPLATES[p["t"]].words) > 20) if n < 3 else None for n, r in enumerate(scored)]
+    assert longest[0] == 1.0 and 0.9 < longest[2] < 1.0
+    assert [r["n_words"] for r in scored][4] == 24
+
+
+def test_every_notice_is_found_whatever_is_rare(spark):
+    df = spark.createDataFrame([(n, f"before {t.text} after") for n, t in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
+    for weights in (None, lambda w: len(w), lambda w: -len(w)):
+        words = df.select("doc_id", license_scan.words_of(F.col("text")).alias("w"))
+        vocabulary = {t.words[k] for t in license_scan.TEMPLATES for k in t.key_places}
+        told = license_scan.idf(words, license_scan.TEMPLATES) if weights is None else {w: float(weights(w)) for w in vocabulary}
+        ranks = [license_scan.index(license_scan.TEMPLATES, told, r) for r in range(license_scan.RARE)]
+        rows = words.select("doc_id", license_scan.placements(F.col("w"), license_scan.TEMPLATES, ranks).alias("p")).collect()
+        assert all((r["doc_id"], 1, 1.0) in [(p["t"], p["start"], p["score"]) for p in r["p"]] for r in rows)
+
+
 # Decontamination
 
 QUESTION = "Yesterday in the garden old Tom planted 12 trees and 30 kg of seeds before Anna gave him 12 more trees as a present for the spring."
@@ -177,6 +208,73 @@ def test_repeated_and_nameless_items(spark):
     assert [r["doc_id"] for r in decontaminate.keep_clean(spark, d, b).collect()] == [2]
 
 
+def test_rows_that_share_an_id_with_a_copy(spark):
+    rows = [(1, f"first {QUESTION}"), (1, "a clean text under the same id"), (None, f"then {QUESTION}"), (None, "a clean one without any id")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, QUESTION)], "item_id long, text string")
+    for limit in (1_000_000, 0):
+        assert sorted(r["text"][:7] for r in decontaminate.keep_clean(spark, d, b, broadcast_docs=limit).collect()) == ["a clean", "a clean"]
+
+
+def test_very_short_items(spark):
+    assert set(contaminated(spark, ["Paris it is", "paris it is!", "They say Paris it is, or so."], ["Paris it is"])) == {(0, 0), (1, 0)}
+
+
+def test_windows_that_many_items_share(spark):
+    said = "Read the question below with care, then choose the only right answer among those that are given to you here."
+    items = [f"{said} {q}" for q in ("".join(f"{a}{n} " for a in ("walk", "stone", "river", "tall", "green", "under", "seven", "light", "house", "cold")) for n in "abcdefghijklmnopqrst")]
+    found = contaminated(spark, [f"before {said} after", f"before {items[3]} after", f"before {items[3][len(said) :]} after"], items)
+    assert set(found) == {(1, 3), (2, 3)}
+    assert set(contaminated(spark, [f"before {said} after"], [f"{said} {n}" for n in range(20)])) == {(0, n) for n in range(20)}
+
+
+def reparameterised(rng, template):
+    """A template with its <n>, <w>, <name>, <unit> and <unit2> filled in anew."""
+    pools = {"n": [str(int(x)) for x in rng.integers(2, 900, 8)], "w": list(rng.permutation(["two", "three", "ninety", "twelve", "twenty-five", "six"])), "name": list(rng.permutation(["Tom", "Anna", "Berlin", "Oslo", "Eve", "Paul"])), "unit": list(rng.permutation(["kilometers", "miles", "meters", "feet", "kilograms", "hours"]))}
+    return re.sub("<(n|w|name|unit)>", lambda m: str(pools[m[1]].pop()), template)
+
+
+QUESTIONS = [
+    "A train travels <n> <unit> in <n> hours before it stops, so what is its average speed in <unit> per hour over the whole way?",
+    "If <name> buys <n> apples and <n> pears at the market and gives <n> of them to <name>, how many pieces of fruit are left over?",
+    "The tank holds <n> <unit> of water and loses <w> of them every day, so after how many days will the tank be empty?",
+    "In the village of <name> there are <n> houses with <w> windows each, how many windows must the glazier clean every year?",
+    "Yesterday <name> walked <n> <unit> from the mill to the bridge while <name> took the longer way around the hill with the dog.",
+    "A farmer sells <w> sacks of grain for <n> dollars each and spends <n> dollars on seeds, what does he keep in the end?",
+    "When the clock struck <w> the guests from <name> had been waiting for <n> minutes, how long did they wait after the meal?",
+    "<name> reads <n> pages of a book every day, and the book has <n> pages, so how many weeks does it take to read it?",
+]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    rng = np.random.default_rng(8)
+    items = [reparameterised(rng, q) for q in QUESTIONS]
+    places = ["", "Some words before it. ", "Quiz\n", "and so: ", "Question 12 "]
+    copies = [(n, places[k] + reparameterised(rng, q) + " And words behind.") for n, q in enumerate(QUESTIONS) for k in range(5)]
+    clean = ["The train stops in the village where a farmer sells apples, pears and grain for some dollars every day.", "Tom walked 30 miles in 4 hours while Anna read 20 pages of a book about the clock in Oslo."]
+    found = contaminated(spark, [c for _, c in copies] + clean, items)
+    caught = sum((k, n) in found for k, (n, _) in enumerate(copies))
+    assert caught >= 0.9 * len(copies), caught
+    assert {k for k in found} <= {(k, n) for k, (n, _) in enumerate(copies)}
+
+
+def test_values_that_become_equal(spark):
+    item = "A train travels 90 kilometers in 3 hours before it stops, so what is its speed in kilometers per hour?"
+    texts = [item.replace("90", "12").replace("3 hours", "12 hours"), item.replace("90", "ninety").replace("3", "three"), item.replace("kilometers", "miles"), item.replace("in kilometers", "in miles")]
+    found = contaminated(spark, texts, [item])
+    assert {(0, 0), (1, 0), (2, 0)} <= set(found)
+
+
+def test_bloom_grows_with_the_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BLOOM", 1 << 12)
+    windows = spark.range(40_000).select(F.xxhash64("id").alias("hash"))
+    mask = decontaminate.bloom(windows)
+    h = np.array([r["hash"] for r in windows.collect()], np.int64).view(np.uint64)
+    place, want = decontaminate._bits(h, len(mask))
+    other = np.random.default_rng(0).integers(0, 1 << 63, 100_000, np.uint64)
+    at, bits = decontaminate._bits(other, len(mask))
+    assert len(mask) == 1 << 14 and (mask[place] & want == want).all() and (mask[at] & bits == bits).mean() < 0.05
+
+
 def test_templates_count_apart(spark):
     # Two of the item's 12 windows have a template, and a copy with other numbers can meet no others.
     item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 boil the old water then"
@@ -204,8 +302,8 @@ def test_decontamination_equals_brute_force(spark, small):
 def test_clean_documents_stay(spark, docs, no_docs):
     items = spark.createDataFrame([(0, "the quick brown fox jumps over the lazy dog while a small bird sings")], "item_id long, text string")
     kept = decontaminate.keep_clean(spark, docs, items)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 7, 8, 9]
-    assert sorted(r["doc_id"] or 0 for r in decontaminate.keep_clean(spark, docs, items, broadcast_docs=0).collect()) == [0, 3, 4, 5, 6, 7, 8, 9]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.keep_clean(spark, docs, items, broadcast_docs=0).collect()) == [3, 4, 5, 6, 7, 8, 9]
     assert decontaminate.keep_clean(spark, no_docs, items).count() == 0
     assert decontaminate.keep_clean(spark, docs, items.limit(0)).count() == docs.count()
 
