@@ -1,11 +1,13 @@
 """Licence scans (operator 2, native): a positional index of rare licence words, postings met at relative positions, key phrases verified.
 
-The corpus gives each licence word its inverse document frequency. Of each template's mandatory words the one of the
-highest IDF is its index entry (word -> template, position). A file's words are looked up in this index; each hit places
-a template at (word position - template position), and a placement counts if all words of the template's mandatory key
-phrases stand at their places and enough of its other words do. As each placement contains its template's entry, none is
-missed, whichever words are rare. Everything is an expression over a row's own words: texts are never shuffled, and only
-rows with an indexed word are searched further.
+The corpus gives each licence word its inverse document frequency. Of each template's mandatory words the up to `RARE` of
+the highest IDF are its index entries, rank by rank (word -> template, position). A file that has a word of the first rank
+is looked up: each of its rare words gives, by rank, the placements (template, word position - template position), and the
+ranks' lists are intersected, so that only placements remain at which all rare words of a template stand in their relative
+positions. Such a placement counts if all words of the template's mandatory key phrases stand at their places and enough
+of its other words do. Each true placement has all mandatory words, so none is missed, whichever words are rare; the IDF
+decides how few placements are ever looked at. Everything is an expression over a row's own words: texts are never
+shuffled.
 
 Defined cases: a null text counts as empty; placements may begin before a text's first word (key phrases can't); a
 repeated or null doc_id is a row of its own; an empty table gives an empty result; further columns are never read.
@@ -19,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .license_texts import NOTICES
+from .shared import table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,56 +55,65 @@ TEMPLATES = (
     Template("cc-by", "cc by", ("cc by",), base=True),
     Template("gpl", "general public license", ("general public license",), base=True),
     Template("reserved", "all rights reserved", ("all rights reserved",), base=True),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "2 0")),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
-    Template("cc-by-nc", "licensed under cc by nc", ("cc by nc",)),
-    Template("cc-by-nd", "licensed under cc by nd", ("cc by nd",)),
-    Template("cc-by-sa", "licensed under cc by sa", ("cc by sa",)),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu", ("is free software", "redistribute it")),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "obtaining a copy")),
-    Template("mpl", "subject to the terms of the mozilla public license", ("mozilla public license",)),
-    Template("public-domain", "this is free and unencumbered software released into the public domain", ("the public domain",)),
+    *(Template(*notice) for notice in NOTICES),
 )
 #: A placement needs at least this share of its template's words.
 MIN_SCORE = 0.5
+#: Index entries of a template.
+RARE = 3
+#: Letters that lower() turns into ASCII ones: the Kelvin sign and the dotted capital I.
+FOLDED = ("\u212a", "\u0130")
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words. lower() also changes other letters, but none into a letter of a base phrase nor into a separator."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    """Words with A-Z lower-cased. lower() also changes letters that are no part of any licence word or separator; rows with those that it would turn into ASCII are translated."""
+    whole = F.coalesce(text, F.lit(""))
+    odd = F.contains(whole, F.lit(FOLDED[0])) | F.contains(whole, F.lit(FOLDED[1]))
+    low = F.when(odd, F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(whole))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
 
 def idf(words: DataFrame, templates: tuple[Template, ...]) -> dict[str, float]:
     """Of each word of the templates' key phrases, by the number of texts that have it: a row a word comes to the driver."""
     vocabulary = sorted({t.words[k] for t in templates for k in t.key_places})
-    found = words.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)))).alias("word")).groupBy("word").count().collect()
+    found = words.select(F.explode(F.array_intersect("w", F.split(F.lit(" ".join(vocabulary)), " "))).alias("word")).groupBy("word").count().collect()
     texts = dict((r["word"], r["count"]) for r in found)
     most = max(texts.values(), default=0) + 1
     return {w: math.log(most / (1 + texts.get(w, 0))) for w in vocabulary}
 
 
-def index(templates: tuple[Template, ...], weights: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template, position) for the rarest mandatory word of each template."""
+def entries(template: Template, weights: dict[str, float]) -> list[int]:
+    """Positions of the template's rarest mandatory words, the rarest first; of a repeated word one."""
+    order = sorted(template.key_places, key=lambda k: (-weights[template.words[k]], template.words[k], k))
+    first = {template.words[k]: k for k in reversed(order)}
+    return [k for k in order if first[template.words[k]] == k][:RARE]
+
+
+def index(templates: tuple[Template, ...], weights: dict[str, float], rank: int = 0) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template, position) for the rarest mandatory word of each template, or that of another rank (the last one where there are fewer)."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(templates):
-        rarest = max(t.key_places, key=lambda k: (weights[t.words[k]], t.words[k], -k))
-        postings.setdefault(t.words[rarest], []).append((n, rarest))
+        places = entries(t, weights)
+        at = places[min(rank, len(places) - 1)]
+        postings.setdefault(t.words[at], []).append((n, at))
     return postings
 
 
-def _literal(rows: list[list], kind: str) -> Column:
-    return F.array(*(F.array(*(F.lit(x).cast(kind) for x in r)) for r in rows))
+def placements(w: Column, templates: tuple[Template, ...], ranks: list[dict[str, list[tuple[int, int]]]]) -> Column:
+    """Array of (template, start, score) for the verified placements in the words w of a row; ranks: the index by rank."""
+    tpl = F.array(*(F.split(F.lit(t.text), " ") for t in templates))
+    keys = F.array(*(F.array(*map(F.lit, t.key_places)) for t in templates))
 
+    def hits(postings: dict[str, list[tuple[int, int]]]) -> Column:
+        """The placements that a rank's words in the row give."""
+        rare = sorted(postings)
+        told = F.create_map(*(x for word in rare for x in (F.lit(word), F.array(*(F.struct(F.lit(n).alias("t"), F.lit(p).alias("p")) for n, p in postings[word])))))
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(rare))
+        return F.flatten(F.transform(places, lambda i: F.transform(F.element_at(told, F.get(w, i)), lambda e: F.struct(e["t"].alias("t"), (i - e["p"]).alias("start")))))
 
-def placements(w: Column, templates: tuple[Template, ...], postings: dict[str, list[tuple[int, int]]]) -> Column:
-    """Array of (template, start, score) for the verified placements in the words w of a row."""
-    rare = sorted(postings)
-    entries = F.create_map(*(x for word in rare for x in (F.lit(word), F.array(*(F.struct(F.lit(n).alias("t"), F.lit(p).alias("p")) for n, p in postings[word])))))
-    tpl, keys = _literal([t.words for t in templates], "string"), _literal([t.key_places for t in templates], "int")
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(rare))
-    met = F.flatten(F.transform(places, lambda i: F.transform(F.element_at(entries, F.get(w, i)), lambda e: F.struct(e["t"].alias("t"), (i - e["p"]).alias("start")))))
+    met = hits(ranks[0])
+    for postings in ranks[1:]:
+        met = F.array_intersect(met, hits(postings))
     sure = F.filter(met, lambda c: F.forall(F.get(keys, c["t"]), lambda k: F.get(w, c["start"] + k).eqNullSafe(F.get(F.get(tpl, c["t"]), k))))
 
     def scored(c: Column) -> Column:
@@ -110,14 +122,16 @@ def placements(w: Column, templates: tuple[Template, ...], postings: dict[str, l
         return F.struct(c["t"].alias("t"), c["start"].cast("long").alias("start"), (F.size(same) / F.size(words)).alias("score"))
 
     found = F.filter(F.transform(sure, scored), lambda c: c["score"] >= MIN_SCORE)
-    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), found).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("score"))), lambda c: F.lit(False)))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("score"))), lambda c: F.lit(False))
+    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, sorted(ranks[0])))), found).otherwise(none)
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_words, and the verified placements as an array of (t, start, score)."""
     words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w"))
-    postings = index(templates, idf(words.select("w"), templates))
-    return words.select("doc_id", F.size("w").cast("long").alias("n_words"), placements(F.col("w"), templates, postings).alias("placements"))
+    weights = idf(words.select("w"), templates)
+    ranks = [index(templates, weights, rank) for rank in range(RARE)]
+    return words.select("doc_id", F.size("w").cast("long").alias("n_words"), placements(F.col("w"), templates, ranks).alias("placements"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +160,10 @@ def _sql_placements(t: Template) -> str:
     """The placements of one template as a list of structs, straight from the words."""
     first = t.key_places[0]
     fits = " AND ".join(f"w[i + {k - first + 1}] = '{t.words[k]}'" for k in t.key_places)
-    same = " + ".join(f"(CASE WHEN i + {k - first + 1} > 0 AND w[i + {k - first + 1}] = '{x}' THEN 1 ELSE 0 END)" for k, x in enumerate(t.words))
-    return f"list_transform(list_filter(range(len(w)), lambda i: {fits}), lambda i: {{'label': '{t.label}', 'base': {str(t.base).lower()}, 'start': i - {first}, 'score': ({same})::DOUBLE / {len(t.words)}}})"
+    listed = "[" + ", ".join(f"'{x}'" for x in t.words) + "]"
+    same = f"len(list_filter(range({len(t.words)}), lambda k: i + k + {1 - first} > 0 AND w[i + k + {1 - first}] = {listed}[k + 1]))"
+    placed = f"list_transform(list_filter(range(len(w)), lambda i: {fits}), lambda i: {{'label': '{t.label}', 'base': {str(t.base).lower()}, 'start': i - {first}, 'score': ({same})::DOUBLE / {len(t.words)}}})"
+    return f"CASE WHEN list_contains(w, '{max(t.keys[0].split(), key=len)}') THEN {placed} ELSE [] END"
 
 
 OP2_SQL = f"""
