@@ -32,7 +32,7 @@ SEED = 42
 #: Shingles whose bits are counted at a time, which bounds the memory of a very long text.
 BLOCK = 65_536
 #: Fingerprints a chunk: at least, and at most (more than the least only where there are very many buckets).
-CHUNK, MOST_CHUNK = 2048, 65_536
+CHUNK, MOST_CHUNK = 1024, 65_536
 #: Digests a bucket, on average: what one task sorts at a time.
 BUCKET_DIGESTS = 4_000_000
 #: Variants of a fingerprint on average: 65, and 2,016 of every second one.
