@@ -51,7 +51,7 @@ class Workspace:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         """Write df and read it again."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._workspace_path = path
         return kept
