@@ -51,10 +51,10 @@ VERBS = {
 # TEI elements of entity types; any other type is "name".
 TEI_TAGS = {"PER": "persName", "LOC": "placeName", "DATE": "date", "ORG": "orgName", "TITLE": "roleName"}
 
-# Header texts of TEI and PAGE documents.
-TEI_PUBLICATION = "Produit par le pipeline HTR-NLP du projet MD5."
+# Header texts of TEI and PAGE documents, where a caller gives no others.
+TEI_PUBLICATION = "Produit par une transcription automatique."
 TEI_SOURCE = "Transcription automatique de manuscrit médiéval."
-PAGE_CREATOR = "Projet MD5 - Pipeline HTR"
+PAGE_CREATOR = "Transcription automatique"
 
 # Namespaces.
 TEI_NAMESPACE = "http://www.tei-c.org/ns/1.0"
@@ -66,6 +66,13 @@ ALTO_NAMESPACE_V2 = "http://www.loc.gov/standards/alto/ns-v2#"
 # Error-rate targets.
 CER_TARGET, CER_EXCELLENT, WER_TARGET = 0.15, 0.08, 0.25
 
+# Start, least plateau, plateau without training lines and its fall a line, decay a epoch, noise and floor of simulated curves.
+CURVE_START, CURVE_LEAST, CURVE_PLATEAU, CURVE_FALL, CURVE_DECAY, CURVE_NOISE, CURVE_FLOOR = 0.35, 0.06, 0.20, 0.0005, 0.4, 0.008, 0.95
+
+# Seed, share of sure characters in percent, and thousandths of sure and other characters of the simulated engines.
+TROCR_DRAWS = (42, 85, (800, 1000), (400, 700))
+KRAKEN_DRAWS = (43, 80, (750, 1000), (350, 700))
+
 # Words of the simulated engines' texts, and pixels a word.
 SIMULATED_WORDS = ("romanz", "Engleterre", "Brut", "gent", "tindrent", "Normant", "vindrent", "comence")
 PIXELS_PER_WORD = 60

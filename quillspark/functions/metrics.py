@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import tokens
 
-#: First code point of the block that stands for words; pairs of texts may have as many distinct words as follow it.
-FIRST_CODE, CODES = 0x4E00, 20_000
+#: The supplementary planes' code points stand for words; a pair of texts may have as many distinct words.
+FIRST_CODE, CODES = 0x10000, 1 << 20
 
 
 def char_distance(reference: Column, prediction: Column) -> Column:
@@ -24,7 +24,7 @@ def vocabulary(a: Column, b: Column) -> Column:
 
 def encoded(words: Column, known: Column) -> Column:
     """Each word as the code point of its place in the vocabulary."""
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(FIRST_CODE - 1)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(words, code), "")
 
 

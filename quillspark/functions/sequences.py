@@ -67,6 +67,11 @@ def runs(flags: Column) -> Column:
     return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as the exact binary value is, a tie to the even digit: 0.70005, which is less in binary, to 0.7. round() takes the shortest decimal instead."""
+    return F.translate(F.format_number(value, digits), ",", "").cast("double")
+
+
 def mean(values: Column) -> Column:
     """The mean in array order, 0 of none: the order of a float sum is part of the result."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)

@@ -43,7 +43,7 @@ def make_line(line_id: Column, text: Column, polygon: Column, confidences: Colum
         (F.lit(0) if reading_order is None else reading_order).cast("int").alias("reading_order"),
         text.alias("text"),
         polygon.alias("polygon"),
-        F.round(mean, 4).alias("confidence"),
+        sequences.rounded(mean, 4).alias("confidence"),
         confidences.alias("char_confidences"),
         (mean < REVIEW_THRESHOLD).alias("needs_review"),
         given.alias("candidates"),
@@ -51,9 +51,9 @@ def make_line(line_id: Column, text: Column, polygon: Column, confidences: Colum
 
 
 def make_documents(lines: DataFrame, document_id: str = "document_id", line: str = "line", century: str = "century", document_type: str = "document_type", language: str = "language", source: str = "source", width: str = "image_width", height: str = "image_height", license: str = DEFAULT_LICENSE) -> DataFrame:
-    """Rows of lines with their document's metadata, gathered to contract documents in reading order. A document's lines are one row by contract."""
-    first = lambda c: F.first(c).alias(c)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(f"{line}.reading_order").alias("o"), F.col(f"{line}.line_id").alias("i"), F.col(line).alias("line")))), lambda x: x["line"])
+    """Rows of lines with their document's metadata, gathered to contract documents in reading order; a row without a line makes a document without lines. A document's lines are one row by contract."""
+    sortable = F.when(F.col(line).isNotNull(), F.struct(F.col(f"{line}.reading_order").alias("o"), F.col(f"{line}.line_id").alias("i"), F.col(line).alias("line")))
+    ordered = F.transform(F.sort_array(F.collect_list(sortable)), lambda x: x["line"])
     whole = lines.groupBy(F.col(document_id).alias("document_id")).agg(*(F.first(c).alias(n) for n, c in (("century", century), ("document_type", document_type), ("language", language), ("source", source), ("w", width), ("h", height))), ordered.alias("lines"))
     return whole.select(
         F.col("document_id").cast("string").alias("document_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import alignment, sequences
-from ..functions.fixed_values import PIXELS_PER_WORD, SIMULATED_WORDS
+from ..functions.fixed_values import KRAKEN_DRAWS, PIXELS_PER_WORD, SIMULATED_WORDS, TROCR_DRAWS
 
 RESULT = "struct<text:string,char_confidences:array<double>,candidates:array<struct<position:int,options:array<string>>>>"
 
@@ -37,16 +37,16 @@ def _result(text: Column, confidences: Column) -> Column:
     return F.struct(text.alias("text"), confidences.alias("char_confidences"), sequences.candidates(confidences).alias("candidates")).cast(RESULT)
 
 
-def trocr(width: Column, key: Column, seed: int = 42) -> Column:
+def trocr(width: Column, key: Column, seed: int = TROCR_DRAWS[0]) -> Column:
     """The simulated first engine."""
     text = simulated_text(width)
-    return _result(text, simulated_confidences(text, key, seed, 85, (800, 1000), (400, 700)))
+    return _result(text, simulated_confidences(text, key, seed, *TROCR_DRAWS[1:]))
 
 
-def kraken(width: Column, key: Column, seed: int = 43) -> Column:
+def kraken(width: Column, key: Column, seed: int = KRAKEN_DRAWS[0]) -> Column:
     """The simulated second engine: the same text, more careful confidences."""
     text = simulated_text(width)
-    return _result(text, simulated_confidences(text, key, seed, 80, (750, 1000), (350, 700)))
+    return _result(text, simulated_confidences(text, key, seed, *KRAKEN_DRAWS[1:]))
 
 
 def fused(width: Column, key: Column) -> Column:

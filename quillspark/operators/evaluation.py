@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text
+from ..functions import metrics, sequences, text
 from ..functions.fixed_values import CER_EXCELLENT, CER_TARGET, WER_TARGET
 
 
@@ -56,7 +56,16 @@ def paired(left: DataFrame, right: DataFrame, key: str = "line_id") -> DataFrame
 
 # Bootstrap
 
-BUCKETS = 256
+#: Rows that one task numbers, on average.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of a hash that cut so many rows into buckets of at most BUCKET_ROWS on average, two at least."""
+    digits = 2
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return digits
 
 
 def _hex_int(hashed: Column, start: int, length: int) -> Column:
@@ -66,9 +75,10 @@ def _hex_int(hashed: Column, start: int, length: int) -> Column:
 def dense_index(df: DataFrame, *keys: str) -> DataFrame:
     """df with idx from 0 without gaps, in the order (hash bucket of the keys, keys).
 
-    Rows are numbered within 256 buckets in parallel; the buckets' sizes, all that meets in one place, shift them.
+    Rows are numbered within buckets in parallel, 256 or as many as the rows need; the buckets' sizes, all that meets in
+    one place, shift them.
     """
-    bucket = _hex_int(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, 2)
+    bucket = _hex_int(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, bucket_digits(df.count()))
     rows = df.withColumn("bucket", bucket)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -80,7 +90,8 @@ def dense_index(df: DataFrame, *keys: str) -> DataFrame:
 def bootstrap(errors: DataFrame, keys: tuple[str, ...], iterations: int = 1000, seed: int = 42) -> DataFrame:
     """(iteration, cer) of samples with replacement as large as the corpus. Draws are hashes, the same on every engine and partitioning.
 
-    iterations times the corpus' rows are drawn and joined; poisson_bootstrap() needs no join.
+    iterations times the corpus' rows are drawn and joined; multinomial_bootstrap() draws from the same distribution without
+    a draw a row.
     """
     indexed = dense_index(errors, *keys).select("idx", "dist", "chars")
     n = indexed.count()
@@ -97,12 +108,49 @@ POISSON = tuple(round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)
 def poisson_bootstrap(errors: DataFrame, keys: tuple[str, ...], iterations: int = 1000, seed: int = 42) -> DataFrame:
     """Extension: (iteration, cer) with each row drawn a Poisson(1) number of times. One pass, no join; what is shuffled is a row an iteration and task."""
     rows = errors.select(*keys, "dist", "chars", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    u = _hex_int(F.md5(F.concat_ws(":", "iteration", *(F.col(k).cast("string") for k in keys), F.lit(seed))), 1, 6)
-    times = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+    # Five draws of six hex digits from each hash; digits of equal length compare as the numbers do.
+    h = F.md5(F.concat_ws(":", F.floor(F.col("iteration") / 5).cast("string"), *(F.col(k).cast("string") for k in keys), F.lit(seed)))
+    u = F.substring(h, 6 * (F.col("iteration") % 5) + 1, F.lit(6))
+    times = sum(((u >= f"{p:06x}").cast("int") for p in POISSON if p < 1 << 24), F.lit(0))
     sums = rows.select("iteration", "dist", "chars", times.alias("k")).groupBy("iteration").agg(F.sum(F.col("dist") * F.col("k")).alias("dist"), F.sum(F.col("chars") * F.col("k")).alias("chars"))
     return sums.select("iteration", ratio(F.col("dist"), F.col("chars")).alias("cer"))
 
 
+#: Distinct (dist, chars) pairs up to which the multinomial draws are made; the pairs are bounded by the lines' lengths.
+MOST_PAIRS = 1_000_000
+
+
+def multinomial_bootstrap(errors: DataFrame, keys: tuple[str, ...] = (), iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """(iteration, cer) as bootstrap() draws, without a draw a row: a sample's rate depends only on how often each distinct (dist, chars) pair is drawn, and these counts are multinomial.
+
+    One aggregate over the corpus; then each iteration draws its counts in a task of its own, from a generator seeded by
+    (seed, iteration). Beyond MOST_PAIRS distinct pairs (lines of thousands of characters) rows are drawn a Poisson number
+    of times, by the keys, instead.
+    """
+    import numpy as np
+    import pandas as pd
+
+    pairs = errors.groupBy("dist", "chars").agg(F.count(F.lit(1)).alias("n"))
+    held = pairs.orderBy("dist", "chars").limit(MOST_PAIRS + 1).toPandas()
+    if len(held) > MOST_PAIRS:
+        return poisson_bootstrap(errors, keys, iterations, seed)
+    dist, chars, n = (held[c].to_numpy(dtype=float) for c in ("dist", "chars", "n"))
+    total = int(n.sum())
+
+    def draw(batches):
+        for pdf in batches:
+            rates = []
+            for iteration in pdf["iteration"]:
+                times = np.random.default_rng((seed, int(iteration))).multinomial(total, n / total)
+                below = float(chars @ times)
+                rates.append(float(dist @ times) / below if below else 0.0)
+            yield pd.DataFrame({"iteration": pdf["iteration"].astype("int32"), "cer": rates})
+
+    spark = errors.sparkSession
+    turns = spark.range(iterations if total else 0, numPartitions=max(1, min(iterations, 2 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "iteration")
+    return turns.mapInPandas(draw, "iteration int, cer double")
+
+
 def interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     """(low, high): exact percentiles with linear interpolation, 0 of none."""
     tail = (1 - level) / 2
@@ -159,7 +207,7 @@ def report(df: DataFrame, keys: tuple[str, ...], reference: str = "reference", p
     sums = errors.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dist", "chars", "word_dist", "words")), F.count(F.lit(1)).alias("n")).first()
     rate = lambda x, n: x / n if n else 0.0
     cer, wer = rate(sums["dist"], sums["chars"]), rate(sums["word_dist"], sums["words"])
-    bounds = interval(bootstrap(errors, keys, iterations, seed)).first()
+    bounds = interval(multinomial_bootstrap(errors, keys, iterations, seed)).first()
     errors.unpersist()
     return {"CER": round(cer, 4), "WER": round(wer, 4), "CER_IC95": [round(bounds["low"], 4), round(bounds["high"], 4)], "CER_sous_15pct": cer < CER_TARGET, "CER_sous_8pct": cer < CER_EXCELLENT, "WER_sous_25pct": wer < WER_TARGET, "n_lignes": sums["n"]}
 
@@ -176,6 +224,29 @@ def stage_transitions(versions: DataFrame, line_id: str = "line_id", order: str
     return d.groupBy("transition").agg(F.avg("d").alias("mean_distance"), F.sum("dist").alias("dist"), F.count_if(F.col("d") > 0).alias("n_changed"), F.count(F.lit(1)).alias("n_lines"))
 
 
+def wide_transitions(rows: DataFrame, stages: dict[str, str]) -> DataFrame:
+    """stage_transitions() of lines that have every stage in a column of their own (stage -> column, in order): no text is shuffled."""
+    names, columns = list(stages), list(stages.values())
+    steps = F.array(*(F.struct(F.lit(f"{names[k]}→{names[k + 1]}").alias("transition"), F.col(columns[k]).alias("a"), F.col(columns[k + 1]).alias("b")) for k in range(len(names) - 1)))
+    pairs = rows.select(F.explode(steps).alias("s")).select("s.*").where("a IS NOT NULL AND b IS NOT NULL")
+    far = pairs.select("transition", F.length("a").alias("n"), F.length("b").alias("m"), metrics.char_distance(F.col("a"), F.col("b")).alias("dist"))
+    d = far.withColumn("d", metrics.rate(F.col("dist"), F.col("n"), F.col("m")))
+    return d.groupBy("transition").agg(F.avg("d").alias("mean_distance"), F.sum("dist").alias("dist"), F.count_if(F.col("d") > 0).alias("n_changed"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def report_row(errors: DataFrame, replicates: DataFrame) -> DataFrame:
+    """report() as a row, for errors(dist, chars, word_dist, words) and their replicates; verdicts on the unrounded rates."""
+    sums = errors.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dist", "chars", "word_dist", "words")), F.count(F.lit(1)).alias("n_lignes"))
+    cer, wer = ratio(F.col("dist"), F.col("chars")), ratio(F.col("word_dist"), F.col("words"))
+    # One row each.
+    whole = sums.select("n_lignes", cer.alias("cer"), wer.alias("wer"), F.lit(1).alias("one")).join(interval(replicates).withColumn("one", F.lit(1)), "one")
+    rounded = lambda c: sequences.rounded(F.col(c), 4)
+    return whole.select(
+        rounded("cer").alias("CER"), rounded("wer").alias("WER"), rounded("low").alias("CER_low"), rounded("high").alias("CER_high"), (F.col("cer") < CER_TARGET).alias("CER_sous_15pct"),
+        (F.col("cer") < CER_EXCELLENT).alias("CER_sous_8pct"), (F.col("wer") < WER_TARGET).alias("WER_sous_25pct"), "n_lignes",
+    )
+
+
 def stage_cer(versions: DataFrame, reference: str = "reference", stage: str = "stage", content: str = "text") -> DataFrame:
     """Micro-averaged CER of each stage against the reference."""
     return corpus_cer(with_errors(versions, reference, content, words=False), stage)

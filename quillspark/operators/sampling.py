@@ -9,20 +9,22 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import bucket_digits
+
 SPLITS = ("train", "val", "test")
 
 
 def stratified_split(df: DataFrame, stratum: Column, row_id: Column, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """df with a split column: in each stratum, in the order of a seeded hash, the first int(n * p) rows are train, the next val, the rest test. A missing stratum is "inconnu".
 
-    A stratum may hold most rows, so no task gets it whole: ranks come from hash buckets of each stratum, shifted by the
-    sizes of the buckets before (a row a bucket and stratum).
+    A stratum may hold most rows, so no task gets it whole: ranks come from hash buckets of each stratum, 256 or as many as
+    the rows need, shifted by the sizes of the buckets before (a row a bucket and stratum).
     """
     if abs(sum(proportions) - 1) > 1e-6:
         raise ValueError(f"proportions must add up to 1: {proportions}")
     order = F.md5(F.concat_ws(":", F.lit(seed), row_id.cast("string")))
     rows = df.withColumn("__stratum", F.coalesce(stratum.cast("string"), F.lit("inconnu"))).withColumn("__order", order).withColumn("__row", row_id.cast("string"))
-    rows = rows.withColumn("__bucket", F.substring("__order", 1, 2))
+    rows = rows.withColumn("__bucket", F.substring("__order", 1, bucket_digits(df.count())))
     sizes = rows.groupBy("__stratum", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     every = Window.partitionBy("__stratum")
     shifts = sizes.select(

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import CURVE_DECAY, CURVE_FALL, CURVE_FLOOR, CURVE_LEAST, CURVE_NOISE, CURVE_PLATEAU, CURVE_START
+
 
 @dataclass(frozen=True)
 class TrainingConfig:
@@ -44,10 +46,10 @@ def best_epoch(curve: DataFrame, *keys: str, epoch: str = "epoch", value: str =
 
 def simulated_curve(spark: SparkSession, n_train: int, config: TrainingConfig = TrainingConfig(), seed: int = 42) -> DataFrame:
     """(epoch, cer): an exponential descent to a plateau with seeded noise, stopped early. As many rows as epochs."""
-    start, plateau = 0.35, max(0.06, 0.20 - n_train * 0.0005)
-    noise = np.random.default_rng(seed).normal(0, 0.008, config.epochs)
+    start, plateau = CURVE_START, max(CURVE_LEAST, CURVE_PLATEAU - n_train * CURVE_FALL)
+    noise = np.random.default_rng(seed).normal(0, CURVE_NOISE, config.epochs)
     rows = [(e, float(noise[e - 1])) for e in range(1, config.epochs + 1)]
-    cer = F.greatest(F.lit(plateau * 0.95), F.lit(start) - F.lit(start - plateau) * (1 - F.exp(-0.4 * F.col("epoch"))) + F.col("noise"))
+    cer = F.greatest(F.lit(plateau * CURVE_FLOOR), F.lit(start) - F.lit(start - plateau) * (1 - F.exp(-CURVE_DECAY * F.col("epoch"))) + F.col("noise"))
     curve = spark.createDataFrame(rows, "epoch int, noise double").select("epoch", cer.alias("cer"), F.lit(0).alias("run"))
     return early_stopping(curve, "run", patience=config.patience).select("epoch", "cer")
 

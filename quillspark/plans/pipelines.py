@@ -11,20 +11,20 @@ from ..sources import corpus, images, journal, xml
 
 
 def pages_to_documents(pages: DataFrame, engine_name: str = "trocr") -> DataFrame:
-    """From pages (page_id, century, document_type, language, source, image_width, image_height) joined to raster rows (row_idx, pixels): contract documents of their segmented and transcribed lines."""
+    """From pages (page_id, century, document_type, language, source, image_width, image_height) joined to raster rows (row_idx, pixels): contract documents of their segmented and transcribed lines. A blank page is a document without lines."""
     rows = pages.select("page_id", "row_idx", "pixels")
     lines = raster.segment_lines(rows)
     head = pages.groupBy("page_id").agg(*(F.first(c).alias(c) for c in ("century", "document_type", "language", "source", "image_width", "image_height")))
     transcribe = engines.engine(engine_name)
     document = F.col("page_id").cast("string")
-    read = lines.join(head, "page_id").withColumn("document_id", document).withColumn("line_id", contract.line_id(document, F.col("reading_order")))
+    read = head.join(lines, "page_id", "left").withColumn("document_id", document).withColumn("line_id", contract.line_id(document, F.col("reading_order")))
     read = read.withColumn("result", transcribe(F.col("w"), F.col("line_id")))
     line = contract.make_line(F.col("line_id"), F.col("result.text"), F.col("polygon"), F.col("result.char_confidences"), F.col("reading_order"), F.col("result.candidates"))
-    return contract.validated(contract.make_documents(read.withColumn("line", line)))
+    return contract.validated(contract.make_documents(read.withColumn("line", F.when(F.col("reading_order").isNotNull(), line))))
 
 
 def folder_to_documents(spark: SparkSession, folder: str, century: int, document_type: str, language: str, source: str, engine_name: str = "trocr", preprocess: bool = True) -> DataFrame:
-    """Contract documents of all readable images directly in a folder; a document is named after its file. Its PAGE text is in page_xml."""
+    """Contract documents of all readable images directly in a folder; a document is named after its file. Its PAGE text is in page_xml. unread_images() has the others."""
     pictures = images.read_images(spark, folder, recursive=False).where("error IS NULL")
     named = pictures.withColumn("page_id", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).select("page_id", "height", "width", "content")
     prepared = raster.preprocessed(named) if preprocess else named
@@ -35,6 +35,11 @@ def folder_to_documents(spark: SparkSession, folder: str, century: int, document
     return documents.withColumn("page_xml", xml.page_xml(F.concat("document_id", F.lit(".png")), size["image_width"], size["image_height"], lines, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
 
 
+def unread_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(path, error) of the folder's images that can't be read."""
+    return images.read_images(spark, folder, recursive=recursive).where("error IS NOT NULL").select("path", "error")
+
+
 def normalise_documents(documents: DataFrame, correction: bool = True) -> DataFrame:
     """Lines of contract documents with text_normalise beside the raw text."""
     lines = contract.flatten(documents)
@@ -45,9 +50,8 @@ def normalise_documents(documents: DataFrame, correction: bool = True) -> DataFr
 
 def normalisation_impact(lines: DataFrame) -> DataFrame:
     """How far each stage of normalisation moves the lines."""
-    stages = [("brut", F.col("text")), ("regles", text.normalise(F.col("text"))), ("correction", F.col("text_normalise"))]
-    versions = lines.select("line_id", F.explode(F.array(*(F.struct(F.lit(n).alias("stage_ord"), F.lit(s).alias("stage"), c.alias("text")) for n, (s, c) in enumerate(stages)))).alias("v")).select("line_id", "v.*")
-    return evaluation.stage_transitions(versions)
+    rows = lines.select("text", text.normalise(F.col("text")).alias("rules"), "text_normalise")
+    return evaluation.wide_transitions(rows, {"brut": "text", "regles": "rules", "correction": "text_normalise"})
 
 
 def evaluate_engine(spark: SparkSession, lines: DataFrame, engine_name: str, journal_path: str | None = None, iterations: int = 1000) -> dict:

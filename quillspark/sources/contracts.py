@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from ..operators.contract import DOCUMENT, validated
 
 
-def read_contracts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_contracts(spark: SparkSession, path: str, strict: bool = True, lines: bool = False) -> DataFrame:
     """Documents of one file, or of the *.json of one folder, with their file name and verdict.
 
-    Strict: any unparsable or invalid file fails the read. Otherwise rows keep valid = false and their violations.
+    Strict: any unparsable or invalid file fails the read. Otherwise rows keep valid = false and their violations. lines:
+    a document a line, as write_contracts() writes them, instead of a document a file.
     """
-    reader = spark.read.schema(T.StructType([*DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
+    reader = spark.read.schema(T.StructType([*DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
     whole = reader.json(path if path.endswith(".json") else f"{path.rstrip('/')}/*.json")
     found = validated(whole.withColumn("file", F.col("_metadata.file_path")))
     valid = F.col("valid") & F.col("_corrupt").isNull()

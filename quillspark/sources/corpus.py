@@ -20,7 +20,7 @@ def load_corpus(spark: SparkSession, folder: str, metadata: dict[str, str] | Non
     """
     lines, bad_files = xml.corpus_lines(xml.read_files(spark, folder, "*.xml"))
     pictures = images.read_images(spark, folder)
-    pairs = xml.pair_images(lines.select("path").distinct(), pictures.select("path"), (".png", ".pgm", ".ppm"))
+    pairs = xml.pair_images(lines.select("path").distinct(), pictures.select("path"), (*xml.IMAGE_EXTENSIONS, ".pgm", ".ppm"))
     pages = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_idx", "text", "polygon"))).alias("lines"))
     joined = pages.join(pairs, pages["path"] == pairs["xml"]).drop("xml").join(pictures.withColumnRenamed("path", "image"), "image")
 

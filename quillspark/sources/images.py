@@ -1,4 +1,4 @@
-"""Images as rows (path, height, width, content): 8-bit grey pixels from PGM, PPM and PNG files, and PNG to write."""
+"""Images as rows (path, height, width, content): 8-bit grey pixels from PGM, PPM and PNG files, JPEG and TIFF files by the JVM's decoders, and PNG to write."""
 
 from __future__ import annotations
 
@@ -108,7 +108,35 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, IMAGE)
 
 
-def read_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".png", ".pgm", ".ppm"), recursive: bool = True) -> DataFrame:
-    """decoded() of a folder's image files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").load(folder)
-    return decoded(files.select("path", F.col("content")))
+#: What Python decodes, and what the JVM's image source does.
+OWN, JVM = (".png", ".pgm", ".ppm"), (".jpg", ".jpeg", ".tif", ".tiff")
+
+
+def _jvm_decoded(files: DataFrame) -> DataFrame:
+    """Rows of Spark's image source as pixels."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, h, w, n, data in zip(pdf["path"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
+                if h is None or not h > 0:
+                    rows.append((path, None, None, None, "not a JPEG or TIFF file that can be read"))
+                    continue
+                pixels = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n))
+                image = grey(pixels[..., 0] if n == 1 else pixels)
+                rows.append((path, int(h), int(w), image.tobytes(), None))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "content", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    # The file's path as the binary source writes it.
+    path = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path")
+    return files.select(path, "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, IMAGE)
+
+
+def read_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = OWN + JVM, recursive: bool = True) -> DataFrame:
+    """Pixels of a folder's image files, by extension in any case; a file that can't be read has an error and no pixels."""
+    cased = lambda es: "*{" + ",".join(x for e in es for x in (e, e.upper())) + "}"
+    reader = lambda kind, es: spark.read.format(kind).option("recursiveFileLookup", recursive).option("pathGlobFilter", cased(es)).load(folder)
+    own, jvm = [e for e in extensions if e not in JVM], [e for e in extensions if e in JVM]
+    parts = [decoded(reader("binaryFile", own).select("path", "content"))] if own else []
+    parts += [_jvm_decoded(reader("image", jvm))] if jvm else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

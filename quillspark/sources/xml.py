@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,7 +126,7 @@ def pair_images(xml_paths: DataFrame, image_paths: DataFrame, extensions: tuple[
     return found.select("xml", F.coalesce("near.image", "far.image").alias("image"))
 
 
-def page_xml(image_name: Column, width: Column, height: Column, lines: Column, created: Column) -> Column:
+def page_xml(image_name: Column, width: Column, height: Column, lines: Column, created: Column, creator: str = PAGE_CREATOR) -> Column:
     """A PAGE document of lines (reading_order, polygon, text or null); created is its time stamp, a parameter so that equal input gives equal files."""
     attribute = lambda c: F.replace(xml_escape(c), F.lit('"'), F.lit("&quot;"))
 
@@ -134,17 +135,17 @@ def page_xml(image_name: Column, width: Column, height: Column, lines: Column, c
         return F.concat(F.lit('      <TextLine id="line_'), x["reading_order"].cast("string"), F.lit('">\n        <Coords points="'), geometry.format_points(x["polygon"]), F.lit('"/>\n'), equiv, F.lit("      </TextLine>\n"))
 
     return F.concat(
-        F.lit(f'<?xml version="1.0" ?>\n<PcGts xmlns="{PAGE_NAMESPACE}">\n  <Metadata>\n    <Creator>{PAGE_CREATOR}</Creator>\n    <Created>'), created, F.lit("</Created>\n    <LastChange>"), created,
+        F.lit(f'<?xml version="1.0" ?>\n<PcGts xmlns="{PAGE_NAMESPACE}">\n  <Metadata>\n    <Creator>{escape(creator)}</Creator>\n    <Created>'), created, F.lit("</Created>\n    <LastChange>"), created,
         F.lit('</LastChange>\n  </Metadata>\n  <Page imageFilename="'), attribute(image_name), F.lit('" imageWidth="'), width.cast("string"), F.lit('" imageHeight="'), height.cast("string"),
         F.lit('">\n    <TextRegion id="region_0">\n      <Coords points="'), geometry.format_points(geometry.page_polygon(width, height)), F.lit('"/>\n'), F.array_join(F.transform(lines, line), ""), F.lit("    </TextRegion>\n  </Page>\n</PcGts>\n"),
     )
 
 
-def tei_xml(paragraph: Column, title: Column) -> Column:
+def tei_xml(paragraph: Column, title: Column, publication: str = TEI_PUBLICATION, source: str = TEI_SOURCE) -> Column:
     """A TEI document around one tagged paragraph."""
     return F.concat(
         F.lit(f'<?xml version="1.0" ?>\n<TEI xmlns="{TEI_NAMESPACE}">\n  <teiHeader>\n    <fileDesc>\n      <titleStmt>\n        <title>'), xml_escape(title),
-        F.lit(f"</title>\n      </titleStmt>\n      <publicationStmt>\n        <p>{TEI_PUBLICATION}</p>\n      </publicationStmt>\n      <sourceDesc>\n        <p>{TEI_SOURCE}</p>\n      </sourceDesc>\n    </fileDesc>\n  </teiHeader>\n  <text>\n    <body>\n      <p>"),
+        F.lit(f"</title>\n      </titleStmt>\n      <publicationStmt>\n        <p>{escape(publication)}</p>\n      </publicationStmt>\n      <sourceDesc>\n        <p>{escape(source)}</p>\n      </sourceDesc>\n    </fileDesc>\n  </teiHeader>\n  <text>\n    <body>\n      <p>"),
         paragraph, F.lit("</p>\n    </body>\n  </text>\n</TEI>\n"),
     )
 
