@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +71,11 @@ def runs(flags: Column) -> Column:
 
 def rounded(value: Column, digits: int) -> Column:
     """Rounded as the exact binary value is, a tie to the even digit: 0.70005, which is less in binary, to 0.7. round() takes the shortest decimal instead."""
-    return F.translate(F.format_number(value, digits), ",", "").cast("double")
+    step, tie = 10.0**-digits, 0.5 * 10.0**-digits
+    # The formatter takes what is below the last digit's half for 0, the double nearest to that half included, which may be above it.
+    up = F.abs(value) >= tie if Decimal(tie) > Decimal(5).scaleb(-digits - 1) else F.abs(value) > tie
+    small = F.when(up, F.signum(value) * step).otherwise(F.lit(0.0))
+    return F.when(F.abs(value) < step, small).otherwise(F.translate(F.format_number(value, digits), ",", "").cast("double"))
 
 
 def mean(values: Column) -> Column:

@@ -5,6 +5,10 @@ A line is up to 40 words of a text line, so that every character of every docume
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's files, removed when the application ends: in spark.checkpoint.dir, or a local one where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(remove)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer partitions than that, as one small file does. Larger inputs stay as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

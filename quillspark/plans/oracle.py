@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.fixed_values import ABBREVIATION_SIGNS, ABBREVIATIONS, FUNCTION_WORDS, PAGE_CREATOR, PAGE_NAMESPACE, PALETTE, SIMULATED_WORDS, TEI_NAMESPACE, TEI_PUBLICATION, TEI_SOURCE, TEI_TAGS, TILDES, VERBS
+import re
+
+import numpy as np
+
+from ..functions.fixed_values import ABBREVIATION_SIGNS, ABBREVIATIONS, CANDIDATE_OPTIONS, CORRECTION_LEXICON, CURVE_DECAY, CURVE_FALL, CURVE_FLOOR, CURVE_LEAST, CURVE_NOISE, CURVE_PLATEAU, CURVE_START, FUNCTION_WORDS, KRAKEN_DRAWS, PAGE_CREATOR, PAGE_NAMESPACE, PALETTE, PIXELS_PER_WORD, SIMULATED_WORDS, TROCR_DRAWS, TEI_NAMESPACE, TEI_PUBLICATION, TEI_SOURCE, TEI_TAGS, TILDES, VERBS
 from ..functions.sequences import LABEL_IDS
 from ..operators.evaluation import POISSON
 from .derive import CORPUS_LEXICON, CORPUS_VERBS, CORPUS_WORDS
@@ -62,7 +66,7 @@ def percents(n: str) -> str:
 CONTRACT = f"""{VERSIONS}, contract AS (
   SELECT *, {percents("length(raw)")} AS percent, CAST(length(raw) AS BIGINT) AS n FROM versions
 ), judged AS (
-  SELECT *, coalesce(list_sum(percent), 0)::BIGINT AS total, CASE WHEN n = 0 THEN true ELSE list_reduce(list_transform(percent, lambda p: p::DOUBLE / 100), lambda a, x: a + x) / n < 0.7::DOUBLE END AS needs_review, pos // 1000000 * 10000 + pos % 1000000 AS reading_order FROM contract
+  SELECT *, coalesce(list_sum(percent), 0)::BIGINT AS total, CASE WHEN n = 0 THEN true ELSE list_reduce(list_transform(percent, lambda p: p::DOUBLE / 100), lambda a, x: a + x) / n < 0.7::DOUBLE END AS needs_review, CASE WHEN n = 0 THEN 0.0 ELSE format('{{:.4f}}', list_reduce(list_transform(percent, lambda p: p::DOUBLE / 100), lambda a, x: a + x) / n)::DOUBLE END AS confidence, pos // 1000000 * 10000 + pos % 1000000 AS reading_order FROM contract
 )"""
 
 SIGNS = "length({0}) - length(translate({0}, " + quoted(ABBREVIATION_SIGNS) + ", ''))"
@@ -131,7 +135,7 @@ def hex_int(h: str, at: int, n: int) -> str:
 DRAWS = f"""{ERRORS}, indexed AS (
   SELECT dist, chars, row_number() OVER (ORDER BY substr(md5(doc_id || ':' || pos), 1, 2), doc_id, pos) - 1 AS idx FROM errors
 ), draws AS (
-  SELECT it, {hex_int("md5(it || ':' || slot || ':42')", 1, 12)} % (SELECT count(*) FROM indexed) AS idx FROM (SELECT unnest(range(100)) AS it), (SELECT idx AS slot FROM indexed)
+  SELECT it, {hex_int("md5(it || ':' || slot || ':42')", 1, 12)} % (SELECT count(*) FROM indexed) AS idx FROM (SELECT unnest(range(1000)) AS it), (SELECT idx AS slot FROM indexed)
 ), replicates AS (
   SELECT it AS iteration, sum(dist)::DOUBLE / sum(chars) AS cer FROM draws JOIN indexed USING (idx) GROUP BY it
 )"""
@@ -155,7 +159,7 @@ PAGE = f"""{CONTRACT}, files AS (
 )"""
 
 
-POISSON_DRAW = hex_int("md5(it || ':' || doc_id || ':' || pos || ':42')", 1, 6)
+POISSON_DRAW = "substr(md5((it // 5) || ':' || doc_id || ':' || pos || ':42'), CAST(6 * (it % 5) + 1 AS BIGINT), 6)"
 
 
 def thousandths(seed: int, share: int, high: tuple[int, int], low: tuple[int, int]) -> str:
@@ -216,7 +220,7 @@ SQL: dict[str, str] = {
     "bootstrap_replicates": with_(DRAWS, "SELECT iteration, round(cer, 10) AS cer FROM replicates"),
     "bootstrap_ci": with_(DRAWS, "SELECT round(quantile_cont(cer, 0.025), 9) AS low, round(quantile_cont(cer, 0.975), 9) AS high FROM replicates"),
     "poisson_bootstrap": with_(
-        f"{ERRORS}, drawn AS (SELECT it AS iteration, dist, chars, {POISSON_DRAW} AS u FROM errors, (SELECT unnest(range(100)) AS it)), times AS (SELECT *, {' + '.join(f'(u >= {p})::INT' for p in POISSON)} AS k FROM drawn)",
+        f"{ERRORS}, drawn AS (SELECT it AS iteration, dist, chars, {POISSON_DRAW} AS u FROM errors, (SELECT unnest(range(1000)) AS it)), times AS (SELECT *, {' + '.join(f"(u >= '{p:06x}')::INT" for p in POISSON if p < 1 << 24)} AS k FROM drawn)",
         "SELECT iteration, round(sum(dist * k)::DOUBLE / sum(chars * k), 10) AS cer FROM times GROUP BY iteration",
     ),
     "mcnemar_counts": with_(
@@ -232,7 +236,7 @@ SQL: dict[str, str] = {
         "SELECT quality, toxic, CAST(sum(dist) AS BIGINT) AS dist, CAST(sum(chars) AS BIGINT) AS chars, count(*) AS n_docs FROM d JOIN labels USING (doc_id) GROUP BY quality, toxic",
     ),
     "paired_lines": with_(VERSIONS, "SELECT doc_id || ':' || pos AS line_id, line = raw AS same, CAST(length(raw) AS BIGINT) AS n_raw FROM versions"),
-    "make_lines": with_(CONTRACT, "SELECT doc_id, pos, format('{}_line{:03d}', doc_id, reading_order) AS line_id, n AS n_confidences, total AS percent, needs_review FROM judged"),
+    "make_lines": with_(CONTRACT, "SELECT doc_id, pos, format('{}_line{:03d}', doc_id, reading_order) AS line_id, n AS n_confidences, total AS percent, confidence, needs_review FROM judged"),
     "review_rate": with_(CONTRACT, "SELECT 'd' || doc_id AS document_id, count(*) AS n_lines, count(*) FILTER (needs_review)::DOUBLE / count(*) AS review_rate FROM judged GROUP BY doc_id"),
     "documents_nested": with_(
         CONTRACT,
@@ -245,7 +249,7 @@ WITH d AS (SELECT doc_id, doc_id % 12 + 7 AS c, CASE WHEN doc_id % 5 = 0 THEN 'f
 SELECT 'd' || doc_id AS document_id, len(v) = 0 AS valid, CASE WHEN len(v) = 0 THEN 'OK' ELSE v[1] END AS message, coalesce(array_to_string(v, '; '), '') AS violations FROM v""",
     "eda_by_lang": with_(CONTRACT, f"SELECT lang, count(*) AS n_lines, CAST(sum(total) AS BIGINT) AS percent, CAST(sum(n) AS BIGINT) AS n_chars, count(*) FILTER (needs_review) AS n_review, CAST(sum({SIGNS.format('raw')}) AS BIGINT) AS n_abbreviations FROM judged GROUP BY lang"),
     "eda_report": with_(
-        f"{CONTRACT}, c AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE round(total / (100.0::DOUBLE * n), 4) END AS confidence FROM judged)",
+        f"{CONTRACT}, c AS (SELECT * FROM judged)",
         f"SELECT lang, count(*) AS n_lines, round(avg(confidence), 3) AS mean_confidence, round(min(confidence), 3) AS min_confidence, round(max(confidence), 3) AS max_confidence, round(avg(needs_review::INT), 3) AS review_rate, round(avg(n), 3) AS mean_length, CAST(sum({SIGNS.format('raw')}) AS BIGINT) AS n_abbreviations FROM c GROUP BY lang",
     ),
     "lines_by_century": with_(LINES, "SELECT CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 10 + 8 AS VARCHAR) ELSE 'inconnu' END AS century, count(*) AS n_lines FROM lines GROUP BY 1"),
@@ -312,7 +316,7 @@ SELECT vec_id, CAST(len(p) AS BIGINT) AS n_points, coalesce(array_to_string(list
     "panel_rows": with_(LINES, f"SELECT doc_id, pos, CASE WHEN pos % 3 = 0 OR line = '' THEN '(non transcrite)' WHEN length(line) > 52 THEN substr(line, 1, 49) || '...' ELSE line END AS panel, {_colours}[CAST(pos % 1000 % {len(PALETTE)} AS INT) + 1] AS colour FROM lines"),
     "page_documents": with_(PAGE, "SELECT path, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS sha256, 'page' AS format FROM files"),
     "xml_lines": with_(CONTRACT, "SELECT 'd' || doc_id || '.xml' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, pos) - 1 AS line_idx, trim(raw) AS text, '0,0 100,0 100,30 0,30' AS points FROM judged QUALIFY trim(raw) <> ''"),
-    "xml_page_lines": with_(CONTRACT, "SELECT 'd' || doc_id || '.xml' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, pos) - 1 AS line_idx, 'line_' || reading_order AS line_id, raw AS text FROM judged"),
+    "xml_page_lines": with_(CONTRACT, "SELECT 'd' || doc_id || '.xml' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, pos) - 1 AS line_idx, 'line_' || reading_order AS line_id, raw AS text, '0,0 100,0 100,30 0,30' AS points FROM judged"),
     "pair_images": """
 SELECT 'corpus/d' || (page_id % 7) || '/p' || page_id || '.xml' AS xml, CASE WHEN page_id % 3 = 0 THEN 'corpus/d' || (page_id % 7) || '/p' || page_id || '.png' ELSE 'scans/x/p' || page_id || '.jpg' END AS image FROM pages WHERE page_id % 5 <> 0""",
     "journal_flatten": "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1, 2",
@@ -331,3 +335,118 @@ SELECT event_type, epoch, cer FROM (SELECT *, coalesce(bool_or(stop) OVER (PARTI
 WITH d AS (SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, 1000 - count(*) AS cer FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY cer, epoch) AS r, count(*) OVER (PARTITION BY event_type) AS n_epochs FROM d)
 SELECT event_type, cer AS best_value, epoch AS best_epoch, n_epochs FROM r WHERE r = 1""",
 }
+
+
+def _raw_entities() -> str:
+    """The entities of the raw lines, as raw_entity."""
+    ctes = ENTITIES.removeprefix(TOKENS).strip().removeprefix(",").strip()
+    whole = TOKENS.removeprefix(LINES).strip().removeprefix(",").strip() + ", " + ctes
+    whole = whole.replace("string_split(line, ' ')", "string_split(raw, ' ')").replace("FROM lines", "FROM versions")
+    for name in ("split", "tokens", "typed", "labelled", "islands", "entity"):
+        whole = re.sub(rf"\b{name} AS \(", f"raw_{name} AS (", whole)
+        whole = re.sub(rf"\bFROM {name}\b", f"FROM raw_{name}", whole)
+    return whole
+
+
+_noise = [float(x) for x in np.random.default_rng(42).normal(0, CURVE_NOISE, 10)]
+_simulated = f"array_to_string(list_transform(range(greatest(1, width // {PIXELS_PER_WORD})), lambda i: {_cycle}[CAST(i % 8 AS INT) + 1]), ' ')"
+_seals = """r AS (SELECT what, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS d FROM versions), f AS (SELECT what, substr(d, 1, 6) AS g, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY 1, 2), g AS (SELECT what, substr(g, 1, 3) AS g, sha256(string_agg(d, '' ORDER BY f.g)) AS d, sum(n) AS n FROM f GROUP BY 1, 2), seals AS (SELECT what, sha256(string_agg(d, '' ORDER BY g)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1)"""
+
+
+def _option(o: str) -> str:
+    """Whether option o at the place p of the text t makes a word of the correction lexicon."""
+    w = f"(substr(t, 1, p::INT) || '{o}' || substr(t, p::INT + 2))"
+    return f"lower(regexp_extract(substr({w}, 1, p::INT), '[^ ]*$') || regexp_extract(substr({w}, p::INT + 1), '^[^ ]*')) IN {words_in(CORRECTION_LEXICON)}"
+
+
+_corrected = "list_reduce(list_prepend(norm, list_transform(list_filter(range(length(raw)), lambda i: percent[i + 1] < 70 AND i < length(norm)), lambda i: i::VARCHAR)), lambda t, p: CASE " + " ".join(f"WHEN {_option(o)} THEN substr(t, 1, p::INT) || '{o}' || substr(t, p::INT + 2)" for o in CANDIDATE_OPTIONS) + " ELSE t END)"
+#: Cells of the alignment by anti-diagonals: scores and steps of the last two, in places of a from 0 on.
+PATHS = f"""{LINES}, words AS (SELECT DISTINCT unnest(list_filter(string_split(line, ' '), lambda x: x <> '')) AS a FROM lines), pairs AS (
+  SELECT a, substr(replace(replace(replace(replace(' ' || a, ' un', ' vn'), 'que', 'q~'), 'on', 'õ'), 'et', '⁊'), 2) AS b FROM words
+), cells AS (
+  SELECT a, b, 0 AS k, [0] || list_transform(range(length(a)), lambda i: NULL::INT) AS s, list_transform(range(length(a) + 1), lambda i: NULL::INT) AS s2, [''] || list_transform(range(length(a)), lambda i: NULL::VARCHAR) AS p, list_transform(range(length(a) + 1), lambda i: NULL::VARCHAR) AS p2 FROM pairs
+  UNION ALL
+  SELECT a, b, k + 1, list_transform(moves, lambda m: m.s), s, list_transform(moves, lambda m: m.p), p FROM (
+    SELECT *, list_transform(range(length(a) + 1), lambda i: CASE
+      WHEN k + 1 - i < 0 OR k + 1 - i > length(b) THEN {{'s': NULL::INT, 'p': NULL::VARCHAR}}
+      WHEN i = 0 THEN {{'s': -(k + 1), 'p': repeat('L', k + 1)}}
+      WHEN i = k + 1 THEN {{'s': -(k + 1), 'p': repeat('U', k + 1)}}
+      WHEN s2[i] + CASE WHEN substr(a, i, 1) = substr(b, k + 1 - i, 1) THEN 1 ELSE -1 END >= greatest(s[i], s[i + 1]) - 1 THEN {{'s': (s2[i] + CASE WHEN substr(a, i, 1) = substr(b, k + 1 - i, 1) THEN 1 ELSE -1 END)::INT, 'p': p2[i] || 'D'}}
+      WHEN s[i] >= s[i + 1] THEN {{'s': (s[i] - 1)::INT, 'p': p[i] || 'U'}}
+      ELSE {{'s': (s[i + 1] - 1)::INT, 'p': p[i + 1] || 'L'}} END) AS moves FROM cells WHERE k < length(a) + length(b)
+  )
+), paths AS (SELECT a, b, p[length(a) + 1] AS steps FROM cells WHERE k = length(a) + length(b))"""
+FUSED = f"""{PATHS}, placed AS (
+  SELECT a, b, list_transform(range(length(steps)), lambda k: {{'m': substr(steps, k + 1, 1), 'i': length(replace(substr(steps, 1, k + 1), 'L', '')), 'j': length(replace(substr(steps, 1, k + 1), 'U', ''))}}) AS m FROM paths
+), chosen AS (
+  SELECT a, b, list_transform(m, lambda x: {{'p': CASE WHEN x.m <> 'L' THEN (length(a) * 31 + x.i * 7) % 61 + 40 END, 'q': CASE WHEN x.m <> 'U' THEN (length(b) * 17 + x.j * 11) % 61 + 40 END, 'i': x.i, 'j': x.j}}) AS c FROM placed
+)"""
+_grey = "list_transform(embedding, lambda v: CAST(floor(abs(v::DOUBLE) * 1000) AS BIGINT) % 256)"
+_mirror = lambda c: f"CASE {c} WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE {c} END"
+
+SQL |= {
+    "stage_windows": SQL["stage_transitions"],
+    "metrics_report": with_(
+        f"""{DRAWS}, pairs AS (
+  SELECT list_filter(string_split(line, ' '), lambda x: x <> '') AS wa, list_filter(string_split(raw, ' '), lambda x: x <> '') AS wb FROM versions
+), coded AS (
+  SELECT wa, array_to_string(list_transform(wa, lambda w: chr(CAST(list_position(v, w) AS INT))), '') AS x, array_to_string(list_transform(wb, lambda w: chr(CAST(list_position(v, w) AS INT))), '') AS y FROM (SELECT *, list_distinct(list_concat(wa, wb)) AS v FROM pairs)
+), w AS (SELECT sum(levenshtein(x, y))::DOUBLE / sum(len(wa)) AS wer FROM coded), c AS (SELECT sum(dist)::DOUBLE / sum(chars) AS cer, count(*) AS n FROM errors), b AS (SELECT quantile_cont(cer, 0.025) AS low, quantile_cont(cer, 0.975) AS high FROM replicates)""",
+        "SELECT format('{:.4f}', cer)::DOUBLE AS CER, format('{:.4f}', wer)::DOUBLE AS WER, format('{:.4f}', low)::DOUBLE AS CER_low, format('{:.4f}', high)::DOUBLE AS CER_high, cer < 0.15 AS CER_sous_15pct, cer < 0.08 AS CER_sous_8pct, wer < 0.25 AS WER_sous_25pct, n AS n_lignes FROM w, c, b",
+    ),
+    "contract_files": with_(CONTRACT, "SELECT 'd' || doc_id AS document_id, doc_id % 12 + 7 AS century, count(*) AS n_lines, CAST(sum(length(raw)) AS BIGINT) AS n_chars FROM judged WHERE doc_id % 12 + 7 BETWEEN 8 AND 17 GROUP BY doc_id"),
+    "file_digests": with_(PAGE, "SELECT path, sha256(content) AS sha256 FROM files"),
+    "seal_check": f"""
+WITH versions AS (
+  SELECT 'same' AS what, doc_id, lang, source FROM documents UNION ALL SELECT 'lost', doc_id, lang, source FROM documents WHERE doc_id <> (SELECT min(doc_id) FROM documents)
+  UNION ALL SELECT 'changed', doc_id, lang, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'x' ELSE source END FROM documents UNION ALL SELECT 'sealed', doc_id, lang, source FROM documents
+), {_seals}
+SELECT what, digest = (SELECT digest FROM seals WHERE what = 'sealed') AS intact, n FROM seals WHERE what <> 'sealed'""",
+    "alto_lines": with_(
+        f"{LINES}, placed AS (SELECT doc_id, line, pos // 1000000 * 10000 + pos % 1000000 AS o, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_idx, length(line) + 11 AS x FROM lines)",
+        "SELECT 'd' || doc_id || '.xml' AS path, line_idx, trim(array_to_string(list_filter(string_split(line, ' '), lambda x: x <> ''), ' ')) AS text, '10,' || o * 40 || ' ' || x || ',' || o * 40 || ' ' || x || ',' || o * 40 + 30 || ' 10,' || o * 40 + 30 AS points FROM placed WHERE o % 5 <> 4 AND trim(line) <> ''",
+    ),
+    "journal_metrics": """
+WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%dT%H:00:00') AS timestamp, count(*)::DOUBLE AS n, max(event_id)::DOUBLE AS last FROM events GROUP BY 1, 2)
+SELECT timestamp, event_type AS nom, 'n' AS metric, n AS value FROM d UNION ALL SELECT timestamp, event_type, 'last', last FROM d""",
+    "fusion_engine": f"""
+WITH d AS (SELECT doc_id, n_chars % 900 AS width FROM documents), t AS (SELECT doc_id, {_simulated} AS text FROM d),
+c AS (SELECT doc_id, text, {thousandths(*TROCR_DRAWS)} AS a, {thousandths(*KRAKEN_DRAWS)} AS b FROM t)
+SELECT doc_id, text, array_to_string(list_transform(range(len(a)), lambda i: greatest(a[i + 1], b[i + 1])), ',') AS confidences, CAST(len(a) AS BIGINT) AS n FROM c""",
+    "engine_comparison": with_(
+        f"{LINES}, w AS (SELECT doc_id, pos, line, length(line) * 6 AS width FROM lines), r AS (SELECT doc_id, pos, line, {_simulated} AS b FROM w), x AS (SELECT CASE WHEN doc_id % 4 = 0 THEN b ELSE line END AS line, b, CASE WHEN pos % 3 = 0 THEN regexp_replace(b, ' [^ ]*$', '') ELSE b END AS a FROM r), c AS (SELECT CAST(sum({lev('line', 'a')}) AS BIGINT) AS dist_a, CAST(sum({lev('line', 'b')}) AS BIGINT) AS dist_b, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) FILTER (a <> line AND b = line) AS n01, count(*) FILTER (a = line AND b <> line) AS n10 FROM x)",
+        "SELECT *, round(CASE WHEN n01 + n10 > 0 THEN power(abs(n01 - n10) - 1, 2)::DOUBLE / (n01 + n10) ELSE 0.0 END, 9) AS statistic, CASE WHEN dist_a < dist_b THEN 'a' WHEN dist_b < dist_a THEN 'b' ELSE 'égalité' END AS best FROM c",
+    ),
+    "word_alignment": "WITH RECURSIVE " + PATHS.strip() + "\nSELECT a, b, steps FROM paths",
+    "word_fusion": "WITH RECURSIVE " + FUSED.strip() + "\nSELECT a, b, array_to_string(list_transform(c, lambda x: CASE WHEN x.q IS NULL OR x.p >= x.q THEN substr(a, x.i, 1) ELSE substr(b, x.j, 1) END), '') AS text, array_to_string(list_transform(c, lambda x: CASE WHEN x.q IS NULL OR x.p >= x.q THEN x.p ELSE x.q END), ',') AS percents FROM chosen",
+    "entity_f1": with_(
+        f"{ENTITIES}, versions AS (SELECT *, replace(replace(replace(replace(line, ' un', ' vn'), 'que', 'q~'), 'on', 'õ'), 'et', '⁊') AS raw FROM lines), {_raw_entities()}, t AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY island) AS ord, texte, type FROM entity), f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY island) AS ord, texte, type FROM raw_entity), j AS (SELECT coalesce(t.type, f.type) AS type, t.doc_id IS NOT NULL AS t, f.doc_id IS NOT NULL AS f FROM t FULL OUTER JOIN f ON t.doc_id = f.doc_id AND t.pos = f.pos AND t.ord = f.ord AND t.texte = f.texte AND t.type = f.type), s AS (SELECT type, count(*) FILTER (t AND f) AS tp, count(*) FILTER (NOT t) AS fp, count(*) FILTER (NOT f) AS fn FROM j GROUP BY type)",
+        "SELECT type, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0.0 END, 9) AS f1 FROM s",
+    ),
+    "simulated_curve": f"""
+WITH n AS (SELECT greatest({CURVE_LEAST}::DOUBLE, {CURVE_PLATEAU}::DOUBLE - count(*) * {CURVE_FALL}::DOUBLE) AS plateau FROM labels), e AS (SELECT unnest(range(1, 11)) AS epoch, unnest({_noise}) AS noise), d AS (
+  SELECT epoch, greatest(plateau * {CURVE_FLOOR}::DOUBLE, {CURVE_START}::DOUBLE - ({CURVE_START}::DOUBLE - plateau) * (1 - exp(-{CURVE_DECAY}::DOUBLE * epoch)) + noise) AS cer FROM n, e
+), b AS (
+  SELECT *, coalesce(cer < min(cer) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM d
+), s AS (SELECT *, epoch - max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) >= 3 AS stop FROM b)
+SELECT epoch, round(cer, 9) AS cer FROM (SELECT *, coalesce(bool_or(stop) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM s) WHERE NOT stopped""",
+    "pages_to_documents": with_(
+        f"{LINES}, {RASTER}, kept AS (SELECT doc_id, count(*) AS n FROM band WHERE b - a >= 10 GROUP BY doc_id)",
+        "SELECT d.doc_id::VARCHAR AS document_id, true AS valid, coalesce(n, 0) AS n_lines FROM documents d LEFT JOIN kept USING (doc_id)",
+    ),
+    "normalisation_impact": with_(
+        f"{CONTRACT}, corrected AS (SELECT raw, norm, {_corrected} AS corr FROM judged), steps AS (SELECT 'brut→regles' AS transition, raw AS a, norm AS b FROM corrected UNION ALL SELECT 'regles→correction', norm, corr FROM corrected), d AS (SELECT transition, a, b, {lev('a', 'b')} AS dist FROM steps)",
+        "SELECT transition, round(avg(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE dist::DOUBLE / length(a) END), 9) AS mean_distance, CAST(sum(dist) AS BIGINT) AS dist, count(*) FILTER (dist > 0) AS n_changed, count(*) AS n_lines FROM d GROUP BY transition",
+    ),
+    "preprocessed_images": f"""
+WITH px AS (SELECT vec_id, unnest(range(64)) AS i, unnest({_grey}) AS v FROM embeddings), counts AS (SELECT vec_id, v, count(*) AS c FROM px GROUP BY 1, 2), excess AS (SELECT vec_id, sum(c - 1) AS e FROM counts GROUP BY 1),
+bins AS (SELECT vec_id, v, CASE WHEN c IS NULL THEN 0 ELSE 1 END + e // 256 + CASE WHEN v < e % 256 THEN 1 ELSE 0 END AS c FROM (SELECT vec_id, e, unnest(range(256)) AS v FROM excess) LEFT JOIN counts USING (vec_id, v)),
+maps AS (SELECT vec_id, v, least(255, greatest(0, round_even(sum(c) OVER (PARTITION BY vec_id ORDER BY v) * 255.0::DOUBLE / 64, 0))) AS m FROM bins),
+eq AS (SELECT p.vec_id, p.i // 8 AS y, p.i % 8 AS x, m / 255.0::DOUBLE AS m FROM px p JOIN maps USING (vec_id, v)),
+near AS (SELECT vec_id, y, x, dy, dx, {_mirror("(y + dy)")} AS ny, {_mirror("(x + dx)")} AS nx, m FROM eq, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+local AS (SELECT a.vec_id, a.y, a.x, any_value(a.m) AS m, sum(b.m) / 9 AS mean, sqrt(greatest(sum(b.m * b.m) / 9 - (sum(b.m) / 9) * (sum(b.m) / 9), 0)) AS dev FROM near a JOIN eq b ON a.vec_id = b.vec_id AND a.ny = b.y AND a.nx = b.x GROUP BY 1, 2, 3),
+two AS (SELECT vec_id, y, x, m > mean * (1 + 0.2::DOUBLE * (dev / 0.5::DOUBLE - 1)) AS w FROM local),
+low AS (SELECT a.vec_id, a.y, a.x, bool_and(b.w) AS w FROM two a JOIN two b ON a.vec_id = b.vec_id AND b.y BETWEEN a.y - 1 AND a.y AND b.x BETWEEN a.x - 1 AND a.x GROUP BY 1, 2, 3),
+high AS (SELECT a.vec_id, a.y, a.x, bool_or(b.w) AS w FROM low a JOIN low b ON a.vec_id = b.vec_id AND b.y BETWEEN a.y AND a.y + 1 AND b.x BETWEEN a.x AND a.x + 1 GROUP BY 1, 2, 3)
+SELECT vec_id, string_agg(CASE WHEN w THEN '#' ELSE '.' END, '' ORDER BY y, x) AS signs FROM high GROUP BY vec_id""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment, geometry, metrics, sequences, text
 from ..operators import contract, engines, evaluation, raster, sampling, tokens, training
-from ..sources import xml
+from ..sources import contracts, journal, xml
 from . import derive, pipelines
 from .derive import table
 
@@ -96,6 +96,13 @@ def wer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stage_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluation.wide_transitions(derive.versions(spark, sf), {"modele": "line", "brut": "raw", "regles": "norm"})
+    return found.select("transition", F.round("mean_distance", 9).alias("mean_distance"), "dist", "n_changed", "n_lines")
+
+
+@query
+def stage_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for input that has a row a line and stage."""
     v = derive.versions(spark, sf)
     stages = F.explode(F.array(*(F.struct(F.lit(n).alias("stage_ord"), F.lit(s).alias("stage"), F.col(c).alias("text")) for n, (s, c) in enumerate((("modele", "line"), ("brut", "raw"), ("regles", "norm"))))))
     long = v.select(F.concat_ws(":", "doc_id", "pos").alias("line_id"), stages.alias("v")).select("line_id", "v.*")
@@ -108,18 +115,29 @@ def _errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_replicates(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.bootstrap(_errors(spark, sf), ("doc_id", "pos"), iterations=100).select(F.col("iteration").cast("long").alias("iteration"), F.round("cer", 10).alias("cer"))
+    return evaluation.bootstrap(_errors(spark, sf), ("doc_id", "pos")).select(F.col("iteration").cast("long").alias("iteration"), F.round("cer", 10).alias("cer"))
 
 
 @query
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    bounds = evaluation.interval(evaluation.bootstrap(_errors(spark, sf), ("doc_id", "pos"), iterations=100))
+    bounds = evaluation.interval(evaluation.bootstrap(_errors(spark, sf), ("doc_id", "pos")))
     return bounds.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query
 def poisson_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.poisson_bootstrap(_errors(spark, sf), ("doc_id", "pos"), iterations=100).select(F.col("iteration").cast("long").alias("iteration"), F.round("cer", 10).alias("cer"))
+    return evaluation.poisson_bootstrap(_errors(spark, sf), ("doc_id", "pos")).select(F.col("iteration").cast("long").alias("iteration"), F.round("cer", 10).alias("cer"))
+
+
+@query
+def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
+    errors = evaluation.with_errors(derive.versions(spark, sf), "line", "raw").select("doc_id", "pos", "dist", "chars", "word_dist", "words")
+    return evaluation.report_row(errors, evaluation.bootstrap(errors, ("doc_id", "pos")))
+
+
+@query
+def multinomial_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.interval(evaluation.multinomial_bootstrap(_errors(spark, sf), ("doc_id", "pos")))
 
 
 @query
@@ -171,7 +189,18 @@ def _contract_documents(spark: SparkSession, sf: str, century=None, kind=None) -
 @query
 def make_lines(spark: SparkSession, sf: str) -> DataFrame:
     v = _contract_lines(spark, sf)
-    return v.select("doc_id", "pos", "l.line_id", F.size("l.char_confidences").cast("long").alias("n_confidences"), F.aggregate("percent", F.lit(0).cast("long"), lambda a, x: a + x).alias("percent"), "l.needs_review")
+    return v.select("doc_id", "pos", "l.line_id", F.size("l.char_confidences").cast("long").alias("n_confidences"), F.aggregate("percent", F.lit(0).cast("long"), lambda a, x: a + x).alias("percent"), "l.confidence", "l.needs_review")
+
+
+@query
+def contract_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Dirty documents written as files, of which only the valid ones are committed, and read back under the contract."""
+    century = F.pmod("doc_id", F.lit(12)) + 7
+    path = derive.scratch(spark, "contracts")
+    contracts.write_contracts(_contract_documents(spark, sf, century), path, strict=False)
+    back, _ = contracts.split_quarantine(contracts.read_contracts(spark, path, strict=False, lines=True))
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return back.select("document_id", F.col("metadata.century").cast("long").alias("century"), F.size("lines").cast("long").alias("n_lines"), chars.alias("n_chars"))
 
 
 @query
@@ -355,6 +384,22 @@ def tei_documents(spark: SparkSession, sf: str) -> DataFrame:
 # Samples and seals
 
 
+@query
+def file_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.file_digests(_page_files(spark, sf).select("path", F.encode("content", "UTF-8").alias("content")))
+
+
+@query
+def seal_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the rows, dealt anew, one lost and one changed still have their seal."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    digest = sampling.seal(rows, "doc_id", "lang", "source").first()["digest"]
+    first = rows.agg(F.min("doc_id")).first()[0]
+    versions = {"same": rows.repartition(3, "lang"), "lost": rows.where(F.col("doc_id") != first), "changed": rows.withColumn("source", F.when(F.col("doc_id") == first, "x").otherwise(F.col("source")))}
+    found = [sampling.seal(v, "doc_id", "lang", "source").select(F.lit(n).alias("what"), (F.col("digest") == digest).alias("intact"), _long("n")) for n, v in versions.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified_split(table(spark, sf, "documents").select("doc_id", "lang"), F.col("lang"), F.col("doc_id"))
@@ -394,6 +439,16 @@ def segment_lines(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", *(_long(c) for c in ("reading_order", "x", "y", "w", "h")), geometry.format_points(F.col("polygon")).alias("points"))
 
 
+@query
+def preprocessed_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of 8 by 8 pixels through the whole chain of filters, as rows of signs."""
+    grey = F.transform("embedding", lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 1000), F.lit(256)))
+    hexed = F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    pictures = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexed).alias("content"))
+    signs = F.translate(F.hex("content"), "F", "1")
+    return raster.preprocessed(pictures, tiles=1, window=3).select(F.col("page_id").alias("vec_id"), F.regexp_replace(F.regexp_replace(signs, "00", "."), "11", "#").alias("signs"))
+
+
 @query
 def array_runs(spark: SparkSession, sf: str) -> DataFrame:
     flags = F.transform("embedding", lambda x: x > 0)
@@ -444,7 +499,22 @@ def xml_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def xml_page_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return xml.page_lines(_page_files(spark, sf)).select("path", _long("line_idx"), "line_id", "text")
+    return xml.page_lines(_page_files(spark, sf)).select("path", _long("line_idx"), "line_id", "text", geometry.format_points(F.col("polygon")).alias("points"))
+
+
+@query
+def alto_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Text lines as ALTO files, parsed: every word a String, boxes of which each fifth is empty."""
+    lines = derive.lines(spark, sf)
+    order = F.floor(F.col("pos") / derive.LINE_STEP) * 10_000 + F.pmod("pos", F.lit(derive.LINE_STEP))
+    word = lambda w: F.concat(F.lit('<String CONTENT="'), F.replace(tokens.xml_escape(w), F.lit('"'), F.lit("&quot;")), F.lit('"/>'))
+    width = F.when(order % 5 == 4, 0).otherwise(F.length("line") + 1)
+    line = F.concat(F.lit('<TextLine ID="l'), order.cast("string"), F.lit('" HPOS="10" VPOS="'), (order * 40).cast("string"), F.lit('" WIDTH="'), width.cast("string"), F.lit('" HEIGHT="30">'), F.array_join(F.transform(F.split("line", " "), word), ""), F.lit("</TextLine>"))
+    gathered = lines.select("doc_id", F.struct("pos", line.alias("x")).alias("l")).groupBy("doc_id").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    head = '<?xml version="1.0"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page><PrintSpace><TextBlock>'
+    content = F.concat(F.lit(head), F.array_join(F.transform("ls", lambda l: l["x"]), ""), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>"))
+    found, _ = xml.corpus_lines(gathered.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".xml")).alias("path"), content.alias("content")))
+    return found.select("path", _long("line_idx"), "text", geometry.format_points(F.col("polygon")).alias("points"))
 
 
 @query
@@ -462,6 +532,18 @@ def journal_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
+@query
+def journal_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A journal of an entry a day and kind of event, appended to as files and read back."""
+    path = derive.scratch(spark, "journal")
+    daily = table(spark, sf, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH':00:00'").alias("timestamp")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    metrics_of = F.create_map(F.lit("n"), F.col("n").cast("double"), F.lit("last"), F.col("last").cast("double"))
+    entries = daily.select("timestamp", F.col("event_type").alias("nom"), F.create_map(F.lit("kind"), "event_type").alias("parametres"), metrics_of.alias("metriques"), F.lit("").alias("notes"))
+    for half in (0, 1):
+        entries.where(F.pmod(F.xxhash64("timestamp"), F.lit(2)) == half).write.mode("append").json(path)
+    return journal.metric_rows(journal.read_journal(spark, path))
+
+
 # Engines and curves
 
 
@@ -476,7 +558,39 @@ def simulated_engine(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fusion_engine(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.pmod("n_chars", F.lit(900)).alias("width"))
-    return d.select("doc_id", engines.fused(F.col("width"), F.col("doc_id")).alias("r")).select("doc_id", "r.text", F.size("r.char_confidences").cast("long").alias("n"))
+    thousandths = F.array_join(F.transform("r.char_confidences", lambda c: F.round(c * 1000).cast("int").cast("string")), ",")
+    return d.select("doc_id", engines.fused(F.col("width"), F.col("doc_id")).alias("r")).select("doc_id", "r.text", thousandths.alias("confidences"), F.size("r.char_confidences").cast("long").alias("n"))
+
+
+@query
+def engine_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Two engines over the lines: what they read, the first with its last word lost in every third line."""
+    lines = derive.lines(spark, sf).select("doc_id", "pos", "line", (F.length("line") * 6).alias("width"))
+    read = lambda e: engines.engine(e)(F.col("width"), F.col("doc_id"))["text"]
+    cut = F.when(F.pmod("pos", F.lit(3)) == 0, F.regexp_replace("b", " [^ ]*$", "")).otherwise(F.col("b"))
+    both = lines.withColumn("b", read("Kraken")).withColumn("a", cut).withColumn("line", F.when(F.pmod("doc_id", F.lit(4)) == 0, F.col("b")).otherwise(F.col("line")))
+    return evaluation.compare(both, "line", "a", "b").select("dist_a", "dist_b", "chars", _long("n01"), _long("n10"), F.round("statistic", 9).alias("statistic"), "best")
+
+
+def _word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct word beside its raw form."""
+    words = derive.lines(spark, sf).select(F.explode(text.tokens(F.col("line"))).alias("a")).distinct()
+    return words.select("a", derive.raw(F.concat(F.lit(" "), "a")).alias("b")).select("a", F.substring("b", 2, 1_000_000).alias("b"))
+
+
+@query
+def word_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps that align each word with its raw form: both, a only, b only."""
+    step = lambda p: F.when(p["a"].isNull(), "L").when(p["b"].isNull(), "U").otherwise("D")
+    return _word_pairs(spark, sf).select("a", "b", F.array_join(F.transform(alignment.alignment(F.col("a"), F.col("b")), step), "").alias("steps"))
+
+
+@query
+def word_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word fused with its raw form."""
+    given = lambda c, k, m: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: (F.pmod(F.length(c) * k + i * m, F.lit(61)) + 40) / F.lit(100.0))
+    fused = _word_pairs(spark, sf).select("a", "b", alignment.fusion(F.col("a"), given("a", 31, 7), F.col("b"), given("b", 17, 11)).alias("f"))
+    return fused.select("a", "b", "f.text", F.array_join(F.transform("f.confidences", lambda c: F.round(c * 100).cast("int").cast("string")), ",").alias("percents"))
 
 
 @query
@@ -510,7 +624,7 @@ def best_epoch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def simulated_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return training.simulated_curve(spark, table(spark, sf, "labels").count())
+    return training.simulated_curve(spark, table(spark, sf, "labels").count()).select(_long("epoch"), F.round("cer", 9).alias("cer"))
 
 
 @query

@@ -120,3 +120,50 @@ def test_reports(spark):
     assert "Centuries: 13: 1, inconnu: 1" in reports.exploration_lines(evaluation.explore_report(lines))
     versions = spark.createDataFrame([(1, 0, "a", "chat"), (1, 1, "b", "chot")], "line_id int, stage_ord int, stage string, text string")
     assert reports.impact_lines(evaluation.stage_transitions(versions)) == ["a→b: 25.00% on average, 1 of 1 lines changed"]
+
+
+def write_by_jvm(spark, picture, kind, path):
+    """A picture as a file of a kind that the JVM knows."""
+    jvm = spark._jvm
+    h, w = picture.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+    raster = image.getRaster()
+    for y in range(h):
+        for x in range(w):
+            raster.setSample(x, y, 0, int(picture[y, x]))
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(path))
+
+
+def test_jpeg_and_tiff(spark, tmp_path):
+    picture = np.full((16, 24), 255, np.uint8)
+    picture[4:12, 6:18] = 0
+    for kind, name in (("jpg", "a.jpg"), ("jpg", "b.JPEG"), ("tif", "c.tif"), ("tif", "d.tiff")):
+        write_by_jvm(spark, picture, kind, str(tmp_path / name))
+    (tmp_path / "e.jpg").write_bytes(b"no image")
+    (tmp_path / "f.png").write_bytes(images.encode_png(picture))
+    rows = {r["path"].rpartition("/")[2]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a.jpg", "b.JPEG", "c.tif", "d.tiff", "e.jpg", "f.png"} and rows["e.jpg"]["error"]
+    for name, r in rows.items():
+        if name != "e.jpg":
+            found = np.frombuffer(r["content"], np.uint8).reshape(r["height"], r["width"]).astype(int)
+            assert r["error"] is None and abs(found - picture).max() <= (0 if name[0] in "cdf" else 24)  # JPEG loses sharp edges
+
+
+def test_corpus_of_jpeg_pages(spark, tmp_path):
+    (tmp_path / "p1.xml").write_text(page_xml())
+    small = page()[:330, :]
+    write_by_jvm(spark, small, "jpg", str(tmp_path / "p1.jpg"))
+    (tmp_path / "p2.xml").write_text(page_xml())
+    (tmp_path / "p2.tif").write_bytes(b"no image")
+    examples, bad = corpus.load_corpus(spark, str(tmp_path))
+    assert [r["text"] for r in examples.orderBy("line_idx").collect()] == list(WORDS)
+    assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["p2.tif"]
+    assert [r["path"].rpartition("/")[2] for r in pipelines.unread_images(spark, str(tmp_path)).collect()] == ["p2.tif"]
+
+
+def test_blank_pages_are_documents(spark, tmp_path):
+    (tmp_path / "p1.png").write_bytes(images.encode_png(page()))
+    (tmp_path / "blank.png").write_bytes(images.encode_png(np.full((40, 60), 255, np.uint8)))
+    found = pipelines.folder_to_documents(spark, str(tmp_path), 13, "texte_simple", "fro", "TEST").orderBy("document_id").collect()
+    assert [(d["document_id"], d["valid"], len(d["lines"])) for d in found] == [("blank", True, 0), ("p1", True, 4)]
+    assert "<TextLine" not in found[0]["page_xml"]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import metrics, sequences
 from quillspark.operators import contract, engines, evaluation, raster, sampling, tokens, training
 from quillspark.plans import pipelines
 from quillspark.sources import contracts, journal, xml
@@ -316,3 +317,43 @@ def test_golden_tei(spark):
     assert [e.text for e in root.iter(f"{ns}persName")] == ["Brut", "Charles"]
     assert [e.text for e in root.iter(f"{ns}placeName")] == ["Engleterre", "France"]
     assert next(root.iter(f"{ns}title")).text == "Extrait <1>"
+
+
+def test_rounding_follows_the_binary_value(spark):
+    values = [0.70005, 0.00005, 0.12345, 0.03125, 0.09375, 0.99995, 0.5, 0.0, 1.0, 2 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", sequences.rounded(F.col("v"), 4).alias("r"))
+    assert all(r["r"] == round(r["v"], 4) for r in df.collect())
+    cc = F.array(F.lit(0.70005))
+    line = spark.range(1).select(contract.make_line(F.lit("l"), F.lit("x"), F.array(F.array(F.lit(0.0))), cc).alias("l")).first()["l"]
+    assert line["confidence"] == 0.7 and not line["needs_review"]
+
+
+def test_multinomial_bootstrap(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, int(rng.integers(0, 4)), int(rng.integers(5, 30))) for n in range(2000)]
+    errors = spark.createDataFrame([(n, min(d, c), c) for n, d, c in rows], "line_id long, dist long, chars long")
+    one = [r["cer"] for r in evaluation.multinomial_bootstrap(errors, iterations=400).orderBy("iteration").collect()]
+    other = [r["cer"] for r in evaluation.bootstrap(errors, ("line_id",), 400).collect()]
+    assert len(one) == 400 and abs(np.mean(one) - np.mean(other)) < 0.1 * np.std(other) + 2e-4 and 0.85 < np.std(one) / np.std(other) < 1.18
+    assert [r["cer"] for r in evaluation.multinomial_bootstrap(errors.repartition(5), iterations=400).orderBy("iteration").collect()] == one
+    assert evaluation.multinomial_bootstrap(errors.limit(0), iterations=5).count() == 0
+    single = spark.createDataFrame([(0, 0)] * 3, "dist long, chars long")
+    assert tuple(evaluation.interval(evaluation.multinomial_bootstrap(single, iterations=5)).first()) == (0.0, 0.0)
+
+
+def test_wide_transitions_equal_long_ones(spark):
+    rows = [(1, "chat", "chot", "chet"), (2, "", "x", ""), (3, "abc", "abc", "ab")]
+    wide = spark.createDataFrame(rows, "line_id int, a string, b string, c string")
+    long = spark.createDataFrame([(r[0], k, "abc"[k], r[k + 1]) for r in rows for k in range(3)], "line_id int, stage_ord int, stage string, text string")
+    assert sorted(map(tuple, evaluation.wide_transitions(wide, {x: x for x in "abc"}).collect())) == sorted(map(tuple, evaluation.stage_transitions(long).collect()))
+
+
+def test_more_words_than_a_plane_of_code_points(spark):
+    known = F.transform(F.sequence(F.lit(0), F.lit(70_000)), lambda n: F.concat(F.lit("w"), n.cast("string")))
+    words = ("w0", "w20000", "w65535", "w70000", "w0")
+    code = spark.range(1).select(metrics.encoded(F.array(*map(F.lit, words)), known).alias("c"), metrics.vocabulary(known, known).alias("v")).first()
+    assert len(code["c"]) == 5 and len(set(code["c"])) == 4 and len(code["v"]) == 70_001
+
+
+def test_buckets_grow_with_the_rows():
+    assert [evaluation.bucket_digits(n) for n in (0, 256_000_000, 256_000_001, 10**11)] == [2, 2, 3, 5]
