@@ -71,8 +71,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _parted(chunk: str) -> tuple[str, str]:
     """A lower-cased word and the one sign behind it, where that gives the same ids as the chunk: for composed letters whose lower case doesn't depend on their place."""
-    core, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-    if core.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
+    if chunk.isalpha():
+        core, tail = chunk, ""
+    else:
+        core, tail = chunk[:-1], chunk[-1:]
+        if tail != "," and tail != "." or not core.isalpha():
+            return chunk, ""
+    if core.isascii():
+        return core.lower(), tail
+    if "Σ" not in core and unicodedata.is_normalized("NFC", core):
         low = core.lower()
         if len(low) == len(core):
             return low, tail
@@ -122,7 +129,7 @@ class ChunkCoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after another, and the numbers of ids."""
-        plain = [w.isalpha() and max(w) < LATIN_END for w in words]
+        plain = [w.isalpha() and (w.isascii() or max(w) < LATIN_END) for w in words]
         done = self._plain([w for w, p in zip(words, plain) if p])
         other = self._any([w for w, p in zip(words, plain) if not p])
         lengths = np.zeros(len(words), np.int64)
@@ -157,12 +164,13 @@ class ChunkCoder:
         if not fresh:
             return
         parted = [_parted(c) for c in fresh]
-        words: dict[str, int] = {}
-        rows = np.fromiter((words.setdefault(w, len(words)) for w, _ in parted), np.int64, len(parted))
+        bases, tails_of = zip(*parted)
+        words = {w: n for n, w in enumerate(dict.fromkeys(bases))}
+        rows = np.fromiter(map(words.__getitem__, bases), np.int64, len(bases))
         tails = {t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in (".", ",")}
         ids, lengths = self._encoded(list(words))
         starts = np.cumsum(lengths) - lengths
-        signs = np.array([{"": 0, ".": 1, ",": 2}[t] for _, t in parted])
+        signs = np.fromiter(map({"": 0, ".": 1, ",": 2}.__getitem__, tails_of), np.int64, len(tails_of))
         # Behind the words' ids stand those of the two signs; a chunk is a word's run and maybe a sign's.
         tail_ids = [tails["."], tails[","]]
         pool = np.concatenate([ids, *tail_ids])
