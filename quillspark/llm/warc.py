@@ -37,7 +37,7 @@ from .shared import Workspace, table, values
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string"
 #: Payload bytes that a shard should have, the compressed bytes beyond which a file is followed by another, and the tasks of the writing stage.
-SHARD_BYTES, ROLL_BYTES, MOST_SHARDS = 32 << 20, 64 << 20, 16_384
+SHARD_BYTES, ROLL_BYTES, MOST_SHARDS = 8 << 20, 64 << 20, 16_384
 #: Bytes of records that a Python stage holds at a time.
 HELD_BYTES = 8 << 20
 
