@@ -29,6 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from .gbt import Boosted
 from .shared import Workspace, private, table, texts
+from .tokens import forget
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = b"#*$%&|<>{}[]\\^~_=+@"
@@ -212,6 +213,7 @@ def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     import pyarrow as pa
 
     def run(batches):
+        forget()
         for b in batches:
             found = [(text_features(r), len(r)) for r in texts(b.column(1))]
             x, sizes = pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())
@@ -343,6 +345,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings:
     at, own = docs.columns.index(text), docs.columns
 
     def run(batches):
+        forget()
         for b in batches:
             found = [(text_features(r), len(r)) for r in texts(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([k for _, k in found], pa.int64())], names=[*own, *names])

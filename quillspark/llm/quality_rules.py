@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, long_column, private, table, texts
+from .tokens import forget
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -101,6 +102,7 @@ def with_counts(docs: DataFrame, text: str, names: list[str], keep: list[str]) -
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` long" for n in names])
 
     def run(batches):
+        forget()
         for b in batches:
             rows = [count_text(x) for x in texts(b.column(needed.index(text)))]
             counts = zip(*rows) if rows else [()] * len(names)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Workspace, identity, long_column, private, table, texts
+from .tokens import forget
 
 SHINGLE = 3
 RADIUS = 3
@@ -64,6 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
+        forget()
         for b in batches:
             fps = np.array([fingerprint(x) for x in texts(b.column(3))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], long_column(fps)], names=["doc_id", "id_a", "id_b", "fp"])
@@ -131,6 +133,7 @@ def _told(chunks: DataFrame, buckets: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        forget()
         for b in batches:
             for chunk, fps in zip(b.column(0).to_pylist(), b.column(1)):
                 codes = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64)).codes(buckets)

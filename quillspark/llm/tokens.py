@@ -26,6 +26,13 @@ def of_worker(key: tuple, make):
     return cache.held
 
 
+def forget() -> None:
+    """Drop what the worker holds for its tasks, in stages that need their memory for other things."""
+    cache = sys.modules.get("_quillspark_worker")
+    if cache is not None:
+        cache.key = cache.held = None
+
+
 class Places(dict):
     """Numbers chunks as they come; fresh holds those that came since it was emptied."""
 
