@@ -36,18 +36,19 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row for each example: conv_id, example (the target's place among the turns), formatted, loss_start and loss_length (code points; length null without a target)."""
-    plain = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = plain.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    whole = whole.unionByName(plain.where("conv_id IS NULL").select("conv_id", F.array(F.struct("turn", "role", "text")).alias("turns")))
+    """A row for each example: conv_id, own (a number of its own for each row without a conv_id, else null), example (the target's place among the turns), formatted, loss_start and loss_length (code points; length null without a target)."""
+    own = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    plain = turns.select(F.col(conv_id).alias("conv_id"), own.alias("own"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = plain.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     head = lambda t: F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    parts = whole.select("conv_id", F.transform("turns", lambda t: F.struct((t["role"] == TARGET).alias("target"), head(t).alias("head"), escape(t["text"]).alias("body"))).alias("parts"))
-    marked = parts.select("conv_id", "parts", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))).alias("marked"))
-    each = marked.select("conv_id", "marked", F.posexplode("parts").alias("example", "part")).where(F.col("part.target") | (F.col("example") == F.size("marked") - 1))
+    parts = whole.select("conv_id", "own", F.transform("turns", lambda t: F.struct((t["role"] == TARGET).alias("target"), head(t).alias("head"), escape(t["text"]).alias("body"))).alias("parts"))
+    marked = parts.select("conv_id", "own", "parts", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))).alias("marked"))
+    each = marked.select("conv_id", "own", "marked", F.posexplode("parts").alias("example", "part")).where(F.col("part.target") | (F.col("example") == F.size("marked") - 1))
     context = F.array_join(F.slice("marked", F.lit(1), F.col("example")), "")
-    rows = each.select("conv_id", "example", "part", context.alias("context"))
+    rows = each.select("conv_id", "own", "example", "part", context.alias("context"))
     return rows.select(
         "conv_id",
+        "own",
         F.col("example").cast("long").alias("example"),
         F.concat("context", "part.head", "part.body", F.lit(END + "\n")).alias("formatted"),
         F.length(F.concat("context", "part.head")).cast("long").alias("loss_start"),
@@ -71,14 +72,13 @@ def read_turns(formatted: Column) -> Column:
 def read_back(examples: DataFrame) -> DataFrame:
     """A row for each conversation: conv_id, turns (from its last example), targets (texts under the masks, in order), formatted_chars."""
     masked = unescape(F.substring(F.col("formatted"), F.col("loss_start").cast("int") + 1, F.col("loss_length").cast("int")))
-    rows = examples.select("conv_id", "example", "formatted", F.when(F.col("loss_length").isNotNull(), F.struct("example", masked.alias("text"))).alias("target"))
-    found = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
+    rows = examples.select("conv_id", "own", "example", "formatted", F.when(F.col("loss_length").isNotNull(), F.struct("example", masked.alias("text"))).alias("target"))
+    # The same keys as before: no other shuffle.
+    found = rows.groupBy("conv_id", "own").agg(
         F.max_by("formatted", "example").alias("last"),
         F.sort_array(F.collect_list("target")).alias("targets"),
         F.sum(F.length("formatted").cast("long")).alias("formatted_chars"),
     )
-    nameless = rows.where("conv_id IS NULL").select("conv_id", F.col("formatted").alias("last"), F.filter(F.array("target"), lambda t: t.isNotNull()).alias("targets"), F.length("formatted").cast("long").alias("formatted_chars"))
-    found = found.unionByName(nameless)
     return found.select("conv_id", read_turns(F.col("last")).alias("turns"), F.transform("targets", lambda t: t["text"]).alias("targets"), "formatted_chars")
 
 
