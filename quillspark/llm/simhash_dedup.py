@@ -196,7 +196,8 @@ def links(ws: Workspace, fps: DataFrame, bucket_digests: int = BUCKET_DIGESTS, c
     tasks = min(n, max(3 * ws.spark.sparkContext.defaultParallelism, -(-n // 16)))
     grouped = fps.groupBy(F.pmod(F.xxhash64("fp"), F.lit(n)).alias("chunk")).agg(F.collect_list("fp").alias("fps"))
     chunks = ws.keep(grouped, "chunks")
-    twice = _told(chunks.repartition(tasks, "chunk"), buckets).groupBy("bucket").applyInArrow(_seen_twice, "bucket long, chunk long, digests binary")
+    told = _told(chunks.repartition(tasks, "chunk"), buckets).repartition(min(buckets, 20_000), "bucket")
+    twice = told.groupBy("bucket").applyInArrow(_seen_twice, "bucket long, chunk long, digests binary")
     hits = ws.keep(twice.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "digests")).alias("hits")), "hits")
     variants = ws.keep(_whole(chunks.join(hits, "chunk").repartition(tasks, "chunk"), buckets), "variants")
     centres = variants.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("n")).where("u IS NOT NULL AND n >= 2")
