@@ -111,7 +111,7 @@ def cuts_at_spaces(settings: dict) -> bool:
 class ChunkCoder:
     """Encodes texts; keeps the ids of some max_chunks distinct chunks and starts anew beyond."""
 
-    def __init__(self, path: str, max_chunks: int = 650_000):
+    def __init__(self, path: str, max_chunks: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
