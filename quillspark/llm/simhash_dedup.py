@@ -15,6 +15,10 @@ variants whole. Digests that agree by chance cost rows but change nothing.
 Exact copies have one fingerprint and count as one vertex. Defined cases: a null or empty text has fingerprint zero; rows
 with the same doc_id are rows of their own; null doc_ids take part but never name a component (null if it has no other);
 an empty table gives an empty result; further columns are never read.
+
+keep_distinct() is for near copies in the usual sense, a similarity of 0.8 or more of five-word shingles. Three bits are
+little for fingerprints of shingles, of which a changed word changes several; there fingerprints are of distinct words, which
+find several times as many such pairs, and what they link is verified by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ CHUNK, MOST_CHUNK = 1024, 65_536
 BUCKET_DIGESTS = 4_000_000
 #: Variants of a fingerprint on average: 65, and 2,016 of every second one.
 VARIANTS = 1073
+#: Near copies: words of a shingle, and the least similarity (shared shingles of all that either text has).
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 
 
 def fingerprint(raw: bytes) -> int:
@@ -226,11 +232,130 @@ def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", tex
     """One document of each component, that with the smallest doc_id (nulls last), with all its columns.
 
     Rows are told apart by id and text, so a row that shares its doc_id with another stays or goes by its own text; of rows
-    with the same id and text one stays. The join is a sort-merge join at every size: what it shuffles is the texts, once.
+    with the same id and text one stays.
     """
     ws = Workspace(spark, "simhash-filter")
     prints, by_print = _components(ws, docs, doc_id, text)
-    kept = ws.keep(by_print.select("first.id_a", "first.id_b").distinct(), "kept")
+    return _only(docs, prints, ws.keep(by_print.select("first.id_a", "first.id_b").distinct(), "kept"), doc_id, text)
+
+
+def word_fingerprint(words: list[bytes], seed: int) -> int:
+    """Of a text's distinct words, unsigned: a bit is 1 if set in over half of their hashes."""
+    from xxhash import xxh64_intdigest
+
+    distinct = list(set(words))
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(distinct), BLOCK):
+        hashes = np.array([xxh64_intdigest(w, seed) for w in distinct[at : at + BLOCK]], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(distinct), bitorder="little").view("<u8")[0])
+
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    found = np.array([xxh64_intdigest(b" ".join(words[k : k + size]), SEED) for k in range(max(1, len(words) - size + 1))], np.uint64)
+    return np.unique(found).view(np.int64)
+
+
+def _word_prints(docs: DataFrame, doc_id: str, text: str, seeds: tuple[int, ...]) -> DataFrame:
+    """(doc_id, id_a, id_b, body, fps): the row's identity, a hash of its lower-cased words, and a fingerprint a seed."""
+    import pyarrow as pa
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches):
+        forget()
+        for b in batches:
+            bodies, fps = [], []
+            for raw in texts(b.column(3)):
+                words = raw.lower().split()
+                bodies.append(fingerprint_of_whole(words))
+                fps.append([_signed(word_fingerprint(words, s)) for s in seeds])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], long_column(bodies), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "id_a", "id_b", "body", "fps"])
+
+    a, b = identity(doc_id, text)
+    plain = docs.select(F.col(doc_id).alias("doc_id"), a.alias("id_a"), b.alias("id_b"), F.col(text).alias("text"))
+    return plain.mapInArrow(run, f"doc_id {kind}, id_a long, id_b long, body long, fps array<long>")
+
+
+def fingerprint_of_whole(words: list[bytes]) -> int:
+    """A signed hash of a whole sequence of words."""
+    from xxhash import xxh64_intdigest
+
+    return _signed(xxh64_intdigest(b" ".join(words), SEED))
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int, broadcast_docs: int) -> DataFrame:
+    """(body, shingles) of the rows that wanted(id_a, id_b, body) names, one a body."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for body, raw in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                found = shingle_set(raw.lower().split(), size)
+                yield pa.RecordBatch.from_arrays([long_column([body]), pa.array([found], pa.list_(pa.int64()))], names=["body", "shingles"])
+
+    a, b = identity(doc_id, text)
+    few = wanted.limit(broadcast_docs + 1).count() <= broadcast_docs
+    named = docs.select(a.alias("a"), b.alias("b"), F.col(text).alias("text"))
+    side = F.broadcast(wanted) if few else wanted.hint("merge")
+    # Rows of the same id and text are alike: any of them will do.
+    return named.join(side, (F.col("a") == F.col("id_a")) & (F.col("b") == F.col("id_b"))).select("body", "text").mapInArrow(run, "body long, shingles array<long>").dropDuplicates(["body"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(u, v) of bodies whose shingles are alike. v's come first, as u may be the centre of a large group."""
+    left = sets.select(F.col("body").alias("u"), F.col("shingles").alias("of_u"))
+    right = sets.select(F.col("body").alias("v"), F.col("shingles").alias("of_v"))
+    both = pairs.join(right.hint("merge"), "v").join(left.hint("merge"), "u")
+    # Sizes first: texts of very different lengths can't be alike.
+    near = F.least(F.size("of_u"), F.size("of_v")) >= similarity * F.greatest(F.size("of_u"), F.size("of_v"))
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    return both.where(near).where(shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)).select("u", "v")
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (SEED,), shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, broadcast_docs: int = 1_000_000) -> DataFrame:
+    """One document of each group of exact and near copies, that with the smallest doc_id (nulls last), with all its columns.
+
+    Texts with the same lower-cased words are copies. Others are near copies if word fingerprints of one of the seeds lead
+    from one to the other by links of RADIUS bits and their shingles' similarity is enough. Verified are each text against
+    the first of its linked group, and where that fails against what it was linked with; groups are what verified pairs
+    connect. Up to broadcast_docs texts that have links are found by broadcast, more by a shuffle. Texts without a word are
+    copies of one another; a text shorter than a shingle only has exact copies; rows are told apart by id and text.
+    """
+    ws = Workspace(spark, "simhash-distinct")
+    prints = ws.keep(_word_prints(docs, doc_id, text, seeds), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id_a", "id_b")
+    bodies = ws.keep(prints.groupBy("body").agg(F.min(row).alias("first"), F.min("fps").alias("fps")), "bodies")
+
+    linked = None
+    for n in range(len(seeds)):
+        own = bodies.select("body", F.col("fps")[n].alias("fp"))
+        least = ws.keep(own.groupBy("fp").agg(F.min("body").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+        between = links(ws, least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+        within = own.join(least.where("n > 1"), "fp").where("body <> least")
+        found = between.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(within.select(F.col("least").alias("u"), F.col("body").alias("v")))
+        linked = found if linked is None else linked.unionByName(found)
+    linked = ws.keep(linked.distinct(), "linked")
+    reached = ws.keep(components(ws, linked), "reached")
+    members = ws.keep(reached.unionByName(reached.select(F.col("root").alias("node"), "root").distinct()).join(bodies.select(F.col("body").alias("node"), "first"), "node"), "members")
+    heads = ws.keep(members.groupBy("root").agg(F.min(F.struct("first", "node")).alias("head")).select("root", F.col("head.node").alias("u")), "heads")
+    sets = ws.keep(_shingle_sets(docs, members.select("first.id_a", "first.id_b", F.col("node").alias("body")), doc_id, text, shingle, broadcast_docs), "sets")
+    pairs = ws.keep(members.join(heads, "root").where("node <> u").select("u", F.col("node").alias("v")), "pairs")
+    to_head = ws.keep(_alike(pairs, sets, similarity), "to-head")
+    failed = ws.keep(pairs.select(F.col("v").alias("node")).join(to_head.select(F.col("v").alias("node")), "node", "left_anti"), "failed")
+    either = linked.join(failed.withColumnRenamed("node", "u"), "u", "left_semi").unionByName(linked.join(failed.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v"))
+    verified = to_head.unionByName(_alike(either.distinct(), sets, similarity))
+    alike = ws.keep(components(ws, verified), "alike")
+
+    grouped = bodies.join(alike, bodies["body"] == alike["node"], "left").groupBy(F.coalesce("root", "body").alias("root")).agg(F.min("first").alias("first"))
+    return _only(docs, prints, ws.keep(grouped.select("first.id_a", "first.id_b").distinct(), "kept"), doc_id, text)
+
+
+def _only(docs: DataFrame, prints: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs that kept(id_a, id_b) names, one of those with the same id and text. The join is a sort-merge join at every size: what it shuffles is the texts, once."""
     a, b = private(docs, "__id_a", "__id_b")
     named = docs.withColumns(dict(zip((a, b), identity(doc_id, text))))
     repeated = prints.groupBy("id_a", "id_b").count().where("count > 1").join(kept, ["id_a", "id_b"])

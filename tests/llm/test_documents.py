@@ -350,6 +350,75 @@ def test_fingerprints_and_components(spark, docs):
     assert kept.columns == docs.columns and sorted(i or 0 for i in ids) == sorted({r["component_id"] or 0 for r in found})
 
 
+def brute_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (brute_words(a), brute_words(b)))
+    return len(x & y) / len(x | y)
+
+
+def brute_copies(found, ids):
+    """Of each text the smallest id of its group: what links of at most 3 bits connect, with verified pairs only."""
+    from xxhash import xxh64_intdigest
+
+    def fp(t):
+        hashes = [xxh64_intdigest(w.encode(), 42) for w in set(brute_words(t))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    linked = brute_components([fp(t) for t in found], list(range(len(found))))
+    groups = collections.defaultdict(list)
+    for n, c in enumerate(linked):
+        groups[c].append(n)
+    root = list(range(len(found)))
+    for members in groups.values():
+        for k, a in enumerate(members):
+            for b in members[:k]:
+                if root[a] != root[b] and similarity(found[a], found[b]) >= 0.8:
+                    root = [root[b] if r == root[a] else r for r in root]
+    return [min((ids[m] for m in range(len(ids)) if root[m] == root[n]), key=lambda i: (i is None, i or 0)) for n in range(len(ids))]
+
+
+def test_near_copies_equal_brute_force(spark, docs):
+    rows = docs.collect()
+    first = brute_copies([r["text"] for r in rows], [r["doc_id"] for r in rows])
+    kept = simhash_dedup.keep_distinct(spark, docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter({i for i in first})
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 3])
+def test_planted_near_copies(spark, broadcast):
+    # 100 groups of a text and two copies with a changed word in 40 to 150, and shuffled words, which aren't copies.
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for group in range(100):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        rows.append((3 * group, " ".join(base)))
+        for k in (1, 2):
+            copy = list(base)
+            for _ in range(max(1, len(copy) // rng.randint(80, 150))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((3 * group + k, "\n".join(copy).upper()))
+        rows.append((1000 + group, " ".join(sorted(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_dedup.keep_distinct(spark, df, broadcast_docs=broadcast).collect()}
+    assert {i for i, _ in rows if i >= 1000 or i % 3 == 0} <= kept
+    assert len([i for i in range(300) if i % 3 and i not in kept]) >= 0.7 * 200
+
+
+def test_near_copies_on_awkward_rows(spark, no_docs):
+    assert simhash_dedup.keep_distinct(spark, no_docs).count() == 0
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, "a b c", "x"), (1, "A  b c", "y"), (1, "a b c", "x"), (None, None, "x"), (7, "", None), (None, "d e f g h i j", "x"), (3, long, "x"), (2, long + " end", "x")]
+    kept = simhash_dedup.keep_distinct(spark, spark.createDataFrame(rows, "doc_id long, text string, id_a string"))
+    assert kept.columns == ["doc_id", "text", "id_a"]
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect() if r["doc_id"] != 1) == [(0, 13), (2, len(long) + 4), (7, 0)]
+    assert kept.where("doc_id = 1").count() == 1
+
+
 def test_rows_that_share_an_id(spark):
     a, b = ("the first of two texts that have nothing at all in common with each other " * 2, "another one which says something else entirely about its own quite different matter " * 2)
     kept = lambda rows: sorted((r["doc_id"] or 0, r["text"][:3]) for r in simhash_dedup.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string, id_a string")).collect())
@@ -563,7 +632,7 @@ def test_pipeline(spark, small):
     good = quality_classifier.keep_good(spark, docs, table(spark, small, "labels")).collect()
     failed = {r["doc_id"] for r in good if (c := brute_counts(r["text"]))[0] < 10 or 100 * c[4] > 20 * c[0]}
     left = [r for r in good if r["doc_id"] not in failed and 100 * brute_counts(r["text"])[2] <= 20 * brute_counts(r["text"])[0]]
-    first = brute_components([brute_fingerprint(r["text"]) for r in left], [r["doc_id"] for r in left])
+    first = brute_copies([r["text"] for r in left], [r["doc_id"] for r in left])
     single = [r["doc_id"] for r, c in zip(left, first) if r["doc_id"] == c]
     leaks = {r["doc_id"] for r in decontaminate.contaminated(spark, docs, table(spark, small, "benchmark")).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} == set(single) - leaks
