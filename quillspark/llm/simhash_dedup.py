@@ -17,8 +17,8 @@ with the same doc_id are rows of their own; null doc_ids take part but never nam
 an empty table gives an empty result; further columns are never read.
 
 keep_distinct() is for near copies in the usual sense, a similarity of 0.8 or more of five-word shingles. Three bits are
-little for fingerprints of shingles, of which a changed word changes several; there fingerprints are of distinct words, which
-find several times as many such pairs, and what they link is verified by the shingles themselves.
+little for fingerprints of shingles, of which a changed word changes several; there fingerprints are of distinct words, six
+a text by different hashes, linked at two bits (a ball of 65 variants each), and what they link is verified by the shingles.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ BUCKET_DIGESTS = 4_000_000
 VARIANTS = 1073
 #: Near copies: words of a shingle, and the least similarity (shared shingles of all that either text has).
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Word fingerprints of a text, and the bits at which they link: any two within two bits meet among their variants of one bit.
+WORD_HASHES, WORD_RADIUS = 6, 2
 
 
 def fingerprint(raw: bytes) -> int:
@@ -95,9 +97,9 @@ def _masks() -> tuple[np.ndarray, np.ndarray]:
 class Ball:
     """All variants of some fingerprints: keys, and of each place among them the fingerprint and whether it is near."""
 
-    def __init__(self, fps: np.ndarray):
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
         near, far = _masks()
-        self.fps, self.odd = fps, fps[np.bitwise_count(fps) % 2 == 1]
+        self.fps, self.odd = fps, fps[np.bitwise_count(fps) % 2 == 1] if radius == RADIUS else fps[:0]
         self.near, self.far = len(fps) * len(near), len(far)
         self.keys = np.concatenate([(fps[:, None] ^ near).ravel(), (self.odd[:, None] ^ far).ravel()])
         self.per = len(near)
@@ -134,7 +136,7 @@ def _decoded(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint32)
 
 
-def _told(chunks: DataFrame, buckets: int) -> DataFrame:
+def _told(chunks: DataFrame, buckets: int, radius: int) -> DataFrame:
     """(bucket, chunk, digests) of all variants."""
     import pyarrow as pa
 
@@ -142,7 +144,7 @@ def _told(chunks: DataFrame, buckets: int) -> DataFrame:
         forget()
         for b in batches:
             for chunk, fps in zip(b.column(0).to_pylist(), b.column(1)):
-                codes = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64)).codes(buckets)
+                codes = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64), radius).codes(buckets)
                 codes.sort()
                 bucket = codes >> np.uint64(32)
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]) if len(codes) else np.zeros(0, np.int64)
@@ -170,14 +172,14 @@ def _seen_twice(blocks):
     return pa.table({"bucket": blocks.column("bucket").take(which), "chunk": blocks.column("chunk").take(which), "digests": pa.array([x for _, x in rows], pa.binary())})
 
 
-def _whole(chunks: DataFrame, buckets: int) -> DataFrame:
+def _whole(chunks: DataFrame, buckets: int, radius: int) -> DataFrame:
     """(key, fp, near): the variants of chunks(chunk, fps, hits) whose digests are among the hits."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for fps, hits in zip(b.column(1), b.column(2).to_pylist()):
-                ball = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                ball = Ball(fps.values.to_numpy(zero_copy_only=False).view(np.uint64), radius)
                 wanted = np.sort(np.concatenate([_decoded(h["digests"]).astype(np.uint64) | np.uint64(h["bucket"] << 32) for h in hits]))
                 codes = ball.codes(buckets)
                 at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
@@ -192,23 +194,23 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(ws: Workspace, fps: DataFrame, bucket_digests: int = BUCKET_DIGESTS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints fps(fp) whose components are those of all pairs within RADIUS bits."""
-    total = fps.count()
-    buckets = max(1, -(-total * VARIANTS // bucket_digests))
+def links(ws: Workspace, fps: DataFrame, bucket_digests: int = BUCKET_DIGESTS, chunk: int = CHUNK, radius: int = RADIUS) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints fps(fp) whose components are those of all pairs within radius bits, RADIUS or WORD_RADIUS."""
+    total, variants_each = fps.count(), VARIANTS if radius == RADIUS else 65
+    buckets = max(1, -(-total * variants_each // bucket_digests))
     # Some hundred digests a block, where memory allows.
-    size = min(max(chunk, 100 * buckets // VARIANTS), MOST_CHUNK)
+    size = min(max(chunk, 100 * buckets // variants_each), MOST_CHUNK)
     n = max(1, -(-total // size))
     tasks = min(n, max(3 * ws.spark.sparkContext.defaultParallelism, -(-n // 16)))
     grouped = fps.groupBy(F.pmod(F.xxhash64("fp"), F.lit(n)).alias("chunk")).agg(F.collect_list("fp").alias("fps"))
     chunks = ws.keep(grouped, "chunks")
-    told = _told(chunks.repartition(tasks, "chunk"), buckets).repartition(min(buckets, 20_000), "bucket")
+    told = _told(chunks.repartition(tasks, "chunk"), buckets, radius).repartition(min(buckets, 20_000), "bucket")
     twice = told.groupBy("bucket").applyInArrow(_seen_twice, "bucket long, chunk long, digests binary")
     hits = ws.keep(twice.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "digests")).alias("hits")), "hits")
-    variants = ws.keep(_whole(chunks.join(hits, "chunk").repartition(tasks, "chunk"), buckets), "variants")
+    variants = ws.keep(_whole(chunks.join(hits, "chunk").repartition(tasks, "chunk"), buckets, radius), "variants")
     centres = variants.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("n")).where("u IS NOT NULL AND n >= 2")
     stars = variants.select("key", F.col("fp").alias("v")).join(ws.keep(centres.select("key", "u"), "centres"), "key").where("u <> v")
-    return stars.where(_distance(F.col("u"), F.col("v")) <= RADIUS).select("u", "v").distinct()
+    return stars.where(_distance(F.col("u"), F.col("v")) <= radius).select("u", "v").distinct()
 
 
 def _components(ws: Workspace, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -239,16 +241,25 @@ def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", tex
     return _only(docs, prints, ws.keep(by_print.select("first.id_a", "first.id_b").distinct(), "kept"), doc_id, text)
 
 
-def word_fingerprint(words: list[bytes], seed: int) -> int:
-    """Of a text's distinct words, unsigned: a bit is 1 if set in over half of their hashes."""
+def word_fingerprints(words: list[bytes], count: int) -> list[int]:
+    """Of a text's distinct words, signed, by different hashes: a bit is 1 if set in over half of the words' hashes."""
     from xxhash import xxh64_intdigest
 
     distinct = list(set(words))
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((count, 64), np.int64)
     for at in range(0, len(distinct), BLOCK):
-        hashes = np.array([xxh64_intdigest(w, seed) for w in distinct[at : at + BLOCK]], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(distinct), bitorder="little").view("<u8")[0])
+        first = np.array([xxh64_intdigest(w, SEED) for w in distinct[at : at + BLOCK]], "<u8")
+        for n in range(count):
+            hashes = first if n == 0 else _mixed(first + np.uint64(n))
+            ones[n] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(distinct), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes of what has the hashes h."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
@@ -259,8 +270,8 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(found).view(np.int64)
 
 
-def _word_prints(docs: DataFrame, doc_id: str, text: str, seeds: tuple[int, ...]) -> DataFrame:
-    """(doc_id, id_a, id_b, body, fps): the row's identity, a hash of its lower-cased words, and a fingerprint a seed."""
+def _word_prints(docs: DataFrame, doc_id: str, text: str, count: int) -> DataFrame:
+    """(doc_id, id_a, id_b, body, fps): the row's identity, a hash of its lower-cased words, and its word fingerprints."""
     import pyarrow as pa
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -272,7 +283,7 @@ def _word_prints(docs: DataFrame, doc_id: str, text: str, seeds: tuple[int, ...]
             for raw in texts(b.column(3)):
                 words = raw.lower().split()
                 bodies.append(fingerprint_of_whole(words))
-                fps.append([_signed(word_fingerprint(words, s)) for s in seeds])
+                fps.append(word_fingerprints(words, count))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], long_column(bodies), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "id_a", "id_b", "body", "fps"])
 
     a, b = identity(doc_id, text)
@@ -316,29 +327,26 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(near).where(shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)).select("u", "v")
 
 
-def keep_distinct(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (SEED,), shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, broadcast_docs: int = 1_000_000) -> DataFrame:
+def keep_distinct(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashes: int = WORD_HASHES, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, broadcast_docs: int = 1_000_000) -> DataFrame:
     """One document of each group of exact and near copies, that with the smallest doc_id (nulls last), with all its columns.
 
-    Texts with the same lower-cased words are copies. Others are near copies if word fingerprints of one of the seeds lead
-    from one to the other by links of RADIUS bits and their shingles' similarity is enough. Verified are each text against
+    Texts with the same lower-cased words are copies. Others are near copies if links of WORD_RADIUS bits between word
+    fingerprints lead from one to the other and their shingles' similarity is enough. Verified are each text against
     the first of its linked group, and where that fails against what it was linked with; groups are what verified pairs
     connect. Up to broadcast_docs texts that have links are found by broadcast, more by a shuffle. Texts without a word are
     copies of one another; a text shorter than a shingle only has exact copies; rows are told apart by id and text.
     """
     ws = Workspace(spark, "simhash-distinct")
-    prints = ws.keep(_word_prints(docs, doc_id, text, seeds), "prints")
+    prints = ws.keep(_word_prints(docs, doc_id, text, hashes), "prints")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id_a", "id_b")
     bodies = ws.keep(prints.groupBy("body").agg(F.min(row).alias("first"), F.min("fps").alias("fps")), "bodies")
 
-    linked = None
-    for n in range(len(seeds)):
-        own = bodies.select("body", F.col("fps")[n].alias("fp"))
-        least = ws.keep(own.groupBy("fp").agg(F.min("body").alias("least"), F.count(F.lit(1)).alias("n")), "least")
-        between = links(ws, least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
-        within = own.join(least.where("n > 1"), "fp").where("body <> least")
-        found = between.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(within.select(F.col("least").alias("u"), F.col("body").alias("v")))
-        linked = found if linked is None else linked.unionByName(found)
-    linked = ws.keep(linked.distinct(), "linked")
+    # Fingerprints by different hashes stand in one table: what agrees by chance doesn't pass the shingles.
+    own = bodies.select("body", F.explode(F.array_distinct("fps")).alias("fp"))
+    least = ws.keep(own.groupBy("fp").agg(F.min("body").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    between = links(ws, least.select("fp"), radius=WORD_RADIUS).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    within = own.join(least.where("n > 1"), "fp").where("body <> least")
+    linked = ws.keep(between.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(within.select(F.col("least").alias("u"), F.col("body").alias("v"))).distinct(), "linked")
     reached = ws.keep(components(ws, linked), "reached")
     members = ws.keep(reached.unionByName(reached.select(F.col("root").alias("node"), "root").distinct()).join(bodies.select(F.col("body").alias("node"), "first"), "node"), "members")
     heads = ws.keep(members.groupBy("root").agg(F.min(F.struct("first", "node")).alias("head")).select("root", F.col("head.node").alias("u")), "heads")
