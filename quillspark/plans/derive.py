@@ -92,15 +92,23 @@ def polygon(vector: Column) -> Column:
 
 
 def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, row_idx, pixels): a page for each document, 18 rows a text line, of which 12 (8 in every seventh line) have ink; 48 pixels wide."""
-    numbered = lines(spark, sf_dir).withColumn("pos", F.floor(F.col("pos") / LINE_STEP))
-    one = numbered.groupBy("doc_id", "pos").agg(F.max(F.length("line")).alias("n"))
+    """(page_id, row_idx, pixels): a page for each document, 18 rows a text line, of which 12 (8 in every seventh line) have ink; 48 pixels wide.
+
+    Only the lengths of a document's lines are shuffled, once, by document; its rows are made after that, where they stay.
+    """
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    step = F.lit(WORDS_A_LINE)
+    longest = lambda w: F.array_max(F.transform(F.sequence(F.lit(0), F.size(w) - 1, step), lambda s: F.length(F.array_join(F.slice(w, s + 1, step), " "))))
+    # The words are an array of one, so that they are split once a text line.
+    lengths = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.get(F.transform(F.array(F.split(x, " ")), longest), F.lit(0)))
     # Few bytes that become many rows: adaptive execution would join them in one partition.
-    pages = one.groupBy("doc_id").agg(F.max("pos").alias("last")).repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    rows = pages.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("last") + 1) * 18 - 1)).alias("row_idx")).withColumn("pos", F.floor(F.col("row_idx") / 18))
-    tall = F.when(F.col("pos") % 7 == 6, 8).otherwise(12)
-    inked = F.col("n").isNotNull() & (F.col("row_idx") % 18 >= 4) & (F.col("row_idx") % 18 < tall + 4)
-    left, right = (F.col("pos") % 5).cast("int"), F.least(F.lit(47), 10 + F.col("n") % 40).cast("int")
+    parts = max(spark.sparkContext.defaultParallelism, 4 * texts.rdd.getNumPartitions())
+    pages = texts.select("doc_id", lengths.alias("n")).repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list("n").alias("all"))
+    highest = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("all", F.size)) - 1), lambda k: F.array_max(F.transform("all", lambda n: F.get(n, k))))
+    lines = pages.select("doc_id", F.posexplode(F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(highest)).alias("pos", "n"))
+    rows = lines.select("doc_id", "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("row"))
+    inked = (F.col("row") >= 4) & (F.col("row") < F.when(F.col("pos") % 7 == 6, 12).otherwise(16))
+    left, right = F.col("pos") % 5, F.least(F.lit(47), 10 + F.col("n") % 40)
     run = lambda value, n: F.array_repeat(F.lit(value), n)
     pixels = F.when(inked, F.concat(run(255, left), run(0, right - left + 1), run(255, 47 - right))).otherwise(run(255, F.lit(48)))
-    return rows.join(one, ["doc_id", "pos"], "left").select(F.col("doc_id").alias("page_id"), F.col("row_idx").cast("int").alias("row_idx"), pixels.alias("pixels"))
+    return rows.select(F.col("doc_id").alias("page_id"), (F.col("pos") * 18 + F.col("row")).alias("row_idx"), pixels.alias("pixels"))

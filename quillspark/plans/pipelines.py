@@ -10,14 +10,20 @@ from ..operators import contract, engines, evaluation, raster
 from ..sources import corpus, images, journal, xml
 
 
+HEAD = ("century", "document_type", "language", "source", "image_width", "image_height")
+
+
 def pages_to_documents(pages: DataFrame, engine_name: str = "trocr") -> DataFrame:
     """From pages (page_id, century, document_type, language, source, image_width, image_height) joined to raster rows (row_idx, pixels): contract documents of their segmented and transcribed lines. A blank page is a document without lines."""
-    rows = pages.select("page_id", "row_idx", "pixels")
+    return rows_to_documents(pages.select("page_id", "row_idx", "pixels"), pages.groupBy("page_id").agg(*(F.first(c).alias(c) for c in HEAD)), engine_name)
+
+
+def rows_to_documents(rows: DataFrame, head: DataFrame, engine_name: str = "trocr") -> DataFrame:
+    """pages_to_documents() for raster rows (page_id, row_idx, pixels) apart from what is known of each page, a row a page: no pixels are joined, and the rows are made once."""
     lines = raster.segment_lines(rows)
-    head = pages.groupBy("page_id").agg(*(F.first(c).alias(c) for c in ("century", "document_type", "language", "source", "image_width", "image_height")))
     transcribe = engines.engine(engine_name)
     document = F.col("page_id").cast("string")
-    read = head.join(lines, "page_id", "left").withColumn("document_id", document).withColumn("line_id", contract.line_id(document, F.col("reading_order")))
+    read = head.select("page_id", *HEAD).join(lines, "page_id", "left").withColumn("document_id", document).withColumn("line_id", contract.line_id(document, F.col("reading_order")))
     read = read.withColumn("result", transcribe(F.col("w"), F.col("line_id")))
     line = contract.make_line(F.col("line_id"), F.col("result.text"), F.col("polygon"), F.col("result.char_confidences"), F.col("reading_order"), F.col("result.candidates"))
     return contract.validated(contract.make_documents(read.withColumn("line", F.when(F.col("reading_order").isNotNull(), line))))

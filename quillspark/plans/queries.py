@@ -630,7 +630,7 @@ def simulated_curve(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pages_to_documents(spark: SparkSession, sf: str) -> DataFrame:
     meta = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), (F.pmod("doc_id", F.lit(10)) + 8).alias("century"), F.lit("texte_simple").alias("document_type"), F.col("lang").alias("language"), "source", F.lit(48).alias("image_width"), F.lit(400).alias("image_height"))
-    found = pipelines.pages_to_documents(derive.raster_rows(spark, sf).join(meta, "page_id"))
+    found = pipelines.rows_to_documents(derive.raster_rows(spark, sf), meta.where("page_id IS NOT NULL").dropDuplicates(["page_id"]))
     return found.select("document_id", "valid", F.size("lines").cast("long").alias("n_lines"))
 
 
