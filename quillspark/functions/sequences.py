@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -78,6 +79,11 @@ def rounded(value: Column, digits: int) -> Column:
     return F.when(F.abs(value) < step, small).otherwise(F.translate(F.format_number(value, digits), ",", "").cast("double"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, inside of lambdas too, where Spark finds no common expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean(values: Column) -> Column:
     """The mean in array order, 0 of none: the order of a float sum is part of the result."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)

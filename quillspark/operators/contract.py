@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,9 @@ def make_line(line_id: Column, text: Column, polygon: Column, confidences: Colum
     """A contract line. Review is decided on the unrounded mean; a confidence outside of 0 to 1 fails the row; no candidates become null."""
     bad = F.exists(confidences, lambda c: c.isNull() | F.isnan(c) | (c < 0) | (c > 1))
     sure = F.when(bad, F.raise_error(F.lit("a confidence is outside of 0 to 1")).cast("array<double>")).otherwise(confidences)
-    mean = sequences.mean(sure)
     no_candidates = F.lit(None).cast(LINE["candidates"].dataType)
     given = no_candidates if candidates is None else F.when(F.size(candidates) > 0, candidates.cast(LINE["candidates"].dataType))
-    return F.struct(
+    line = lambda mean: F.struct(
         line_id.alias("line_id"),
         (F.lit(0) if reading_order is None else reading_order).cast("int").alias("reading_order"),
         text.alias("text"),
@@ -48,13 +49,21 @@ def make_line(line_id: Column, text: Column, polygon: Column, confidences: Colum
         (mean < REVIEW_THRESHOLD).alias("needs_review"),
         given.alias("candidates"),
     )
+    return sequences.bound(sequences.bound(sure, sequences.mean), line)
+
 
+def make_documents(lines: DataFrame, document_id: str = "document_id", line: str = "line", century: str = "century", document_type: str = "document_type", language: str = "language", source: str = "source", width: str = "image_width", height: str = "image_height", license: str = DEFAULT_LICENSE, build: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows of lines with their document's metadata, gathered to contract documents in reading order; a row without a line makes a document without lines. A document's lines are one row by contract.
 
-def make_documents(lines: DataFrame, document_id: str = "document_id", line: str = "line", century: str = "century", document_type: str = "document_type", language: str = "language", source: str = "source", width: str = "image_width", height: str = "image_height", license: str = DEFAULT_LICENSE) -> DataFrame:
-    """Rows of lines with their document's metadata, gathered to contract documents in reading order; a row without a line makes a document without lines. A document's lines are one row by contract."""
+    build: makes the contract line from a gathered one, which then needs only reading_order, line_id and what build reads;
+    what is shuffled is that, not the confidences and candidates of each character.
+    """
     sortable = F.when(F.col(line).isNotNull(), F.struct(F.col(f"{line}.reading_order").alias("o"), F.col(f"{line}.line_id").alias("i"), F.col(line).alias("line")))
     ordered = F.transform(F.sort_array(F.collect_list(sortable)), lambda x: x["line"])
     whole = lines.groupBy(F.col(document_id).alias("document_id")).agg(*(F.first(c).alias(n) for n, c in (("century", century), ("document_type", document_type), ("language", language), ("source", source), ("w", width), ("h", height))), ordered.alias("lines"))
+    if build is not None:
+        # Generated, so that no filter on the lines is moved below them and builds them anew.
+        whole = whole.select(*(c for c in whole.columns if c != "lines"), F.explode(F.array(F.transform("lines", build))).alias("lines"))
     return whole.select(
         F.col("document_id").cast("string").alias("document_id"),
         F.struct(F.col("century").cast("int").alias("century"), "document_type", "language", "source", F.lit(license).alias("license")).alias("metadata"),

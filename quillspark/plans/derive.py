@@ -74,10 +74,10 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("raw", raw(F.col("line"))).withColumn("norm", text.normalise(F.col("raw")))
 
 
-def percents(length: Column) -> Column:
-    """Confidences in percent, 40 to 100, of the characters of a line."""
-    i = F.sequence(F.lit(1), length.cast("int"))
-    return F.when(length > 0, F.transform(i, lambda k: F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17 + k * 7, F.lit(61)) + 40)).otherwise(F.array().cast("array<bigint>"))
+def percents(length: Column, doc_id: Column | None = None, pos: Column | None = None) -> Column:
+    """Confidences in percent, 40 to 100, of the characters of a line, by default that of the columns doc_id and pos."""
+    i, doc_id, pos = F.sequence(F.lit(1), length.cast("int")), F.col("doc_id") if doc_id is None else doc_id, F.col("pos") if pos is None else pos
+    return F.when(length > 0, F.transform(i, lambda k: F.pmod(doc_id * 31 + pos * 17 + k * 7, F.lit(61)) + 40)).otherwise(F.array().cast("array<bigint>"))
 
 
 def confidences(percent: Column) -> Column:

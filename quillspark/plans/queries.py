@@ -166,24 +166,37 @@ def paired_lines(spark: SparkSession, sf: str) -> DataFrame:
 # The contract
 
 
+def _box():
+    return F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (100, 0), (100, 30), (0, 30))))
+
+
+def _order():
+    return F.floor(F.col("pos") / derive.LINE_STEP) * 10_000 + F.pmod("pos", F.lit(derive.LINE_STEP))
+
+
 def _contract_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as contract structs; the raw text is what was transcribed."""
     v = derive.versions(spark, sf).withColumn("percent", derive.percents(F.length("raw")))
-    box = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (100, 0), (100, 30), (0, 30))))
     cc = derive.confidences(F.col("percent"))
-    order = F.floor(F.col("pos") / derive.LINE_STEP) * 10_000 + F.pmod("pos", F.lit(derive.LINE_STEP))
-    line = contract.make_line(contract.line_id(F.col("doc_id"), order), F.col("raw"), box, cc, order, sequences.candidates(cc))
+    line = contract.make_line(contract.line_id(F.col("doc_id"), _order()), F.col("raw"), _box(), cc, _order(), sequences.candidates(cc))
     return v.withColumn("cc", cc).withColumn("l", line)
 
 
 def _contract_documents(spark: SparkSession, sf: str, century=None, kind=None) -> DataFrame:
-    v = _contract_lines(spark, sf)
+    """The lines of _contract_lines() as documents; confidences and candidates are made from the gathered texts."""
     kinds = F.array(*(F.lit(k) for k in contract.DOCUMENT_TYPES))
     century = F.pmod("doc_id", F.lit(10)) + 8 if century is None else century
     kind = F.get(kinds, F.pmod("doc_id", F.lit(3)).cast("int")) if kind is None else kind
-    named = v.withColumn("document_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumn("century", century).withColumn("document_type", kind)
-    named = named.withColumn("image_width", F.lit(1000)).withColumn("image_height", F.lit(1500)).withColumnRenamed("lang", "language").withColumnRenamed("l", "line_struct")
-    return contract.make_documents(named, line="line_struct")
+    thin = F.struct(_order().cast("int").alias("reading_order"), contract.line_id(F.col("doc_id"), _order()).alias("line_id"), "doc_id", "pos", F.col("raw").alias("text"))
+    named = derive.lines(spark, sf).withColumn("raw", derive.raw(F.col("line"))).withColumn("line_struct", thin)
+    named = named.withColumn("document_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumn("century", century).withColumn("document_type", kind)
+    named = named.withColumn("image_width", F.lit(1000)).withColumn("image_height", F.lit(1500)).withColumnRenamed("lang", "language")
+
+    def build(x):
+        cc = derive.confidences(derive.percents(F.length(x["text"]), x["doc_id"], x["pos"]))
+        return sequences.bound(cc, lambda c: contract.make_line(x["line_id"], x["text"], _box(), c, x["reading_order"], sequences.candidates(c)))
+
+    return contract.make_documents(named, line="line_struct", build=build)
 
 
 @query

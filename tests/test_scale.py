@@ -1,9 +1,12 @@
 """Queries at size: what is joined, shuffled and drawn, and that the faster ways give the same."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quillspark.plans import derive, pipelines
+from quillspark.plans import derive, pipelines, queries
+from quillspark.sources import contracts
 
 
 def optimized(df):
@@ -30,3 +33,19 @@ def test_raster_rows_of_an_id_twice(spark, tmp_path):
     inked = {(r["page_id"], r["row_idx"]): r["n"] for r in rows.select("page_id", "row_idx", F.size(F.filter("pixels", lambda p: p == 0)).alias("n")).collect()}
     assert [inked[1, 18 * k + 4] for k in range(4)] == [15, 15, 9, 9] and inked[1, 3] == inked[1, 16] == 0
     assert inked[2, 4] == 11 and inked[3, 4] == 48 and {p for p, in rows.select(F.size("pixels")).distinct().collect()} == {48}
+
+
+def test_contract_documents_shuffle_texts(spark, small, tmp_path):
+    """Confidences and candidates are made after the lines are gathered, and files are compressed."""
+    docs = queries._contract_documents(spark, small)
+    gathered = [x for x in optimized(docs).splitlines() if "collect_list" in x]
+    assert gathered and not any("char_confidences" in x for x in gathered)
+    path = str(tmp_path / "out")
+    few = docs.where("document_id < 'd12'")
+    contracts.write_contracts(few, path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    back = contracts.read_contracts(spark, path, lines=True).select(*few.columns)
+    assert back.orderBy("document_id").collect() == few.orderBy("document_id").collect()
+    lines = {r["l"]["line_id"]: r["l"] for r in queries._contract_lines(spark, small).where("doc_id < 12").select("l").collect()}
+    assert lines == {x["line_id"]: x for r in docs.where("document_id IN ('d0', 'd1', 'd2', 'd3', 'd4', 'd5', 'd6', 'd7', 'd8', 'd9', 'd10', 'd11')").collect() for x in r["lines"]}
