@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics, sequences, text
+from ..functions import md5, metrics, sequences, text
 from ..functions.fixed_values import CER_EXCELLENT, CER_TARGET, WER_TARGET
 
 
@@ -72,13 +72,13 @@ def _hex_int(hashed: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(hashed, start, length), 16, 10).cast("long")
 
 
-def dense_index(df: DataFrame, *keys: str) -> DataFrame:
+def dense_index(df: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
     """df with idx from 0 without gaps, in the order (hash bucket of the keys, keys).
 
     Rows are numbered within buckets in parallel, 256 or as many as the rows need; the buckets' sizes, all that meets in
-    one place, shift them.
+    one place, shift them. count: the rows, if they are known.
     """
-    bucket = _hex_int(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, bucket_digits(df.count()))
+    bucket = _hex_int(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, bucket_digits(df.count() if count is None else count))
     rows = df.withColumn("bucket", bucket)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -87,33 +87,124 @@ def dense_index(df: DataFrame, *keys: str) -> DataFrame:
     return numbered.join(F.broadcast(before), "bucket").withColumn("idx", F.col("before") + F.col("rank") - 1).drop("bucket", "rank", "before")
 
 
+#: Rows up to which every worker holds the corpus' (dist, chars), 2 to 4 bytes a row where lines are short; the slots and iterations of a unit of work.
+MOST_HELD, SLOTS, TURNS = 100_000_000, 1 << 15, 50
+
+
 def bootstrap(errors: DataFrame, keys: tuple[str, ...], iterations: int = 1000, seed: int = 42) -> DataFrame:
     """(iteration, cer) of samples with replacement as large as the corpus. Draws are hashes, the same on every engine and partitioning.
 
-    iterations times the corpus' rows are drawn and joined; multinomial_bootstrap() draws from the same distribution without
-    a draw a row.
+    iterations times the corpus' rows are drawn, in NumPy; the numbers they are drawn from are broadcast, so that no draw is
+    shuffled. Beyond MOST_HELD rows draws are joined to them. multinomial_bootstrap() draws from the same distribution
+    without a draw a row.
     """
-    indexed = dense_index(errors, *keys).select("idx", "dist", "chars")
-    n = indexed.count()
-    draws = indexed.select(F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    drawn = draws.select("iteration", F.pmod(_hex_int(F.md5(F.concat_ws(":", "iteration", "slot", F.lit(seed))), 1, 12), F.lit(max(n, 1))).alias("idx"))
-    sums = drawn.join(indexed, "idx").groupBy("iteration").agg(F.sum("dist").alias("dist"), F.sum("chars").alias("chars"))
+    n = errors.count()
+    indexed = dense_index(errors, *keys, count=n).select("idx", "dist", "chars")
+    if n > MOST_HELD:
+        draws = indexed.select(F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+        drawn = draws.select("iteration", F.pmod(_hex_int(F.md5(F.concat_ws(":", "iteration", "slot", F.lit(seed))), 1, 12), F.lit(n)).alias("idx"))
+        sums = drawn.join(indexed, "idx").groupBy("iteration").agg(F.sum("dist").alias("dist"), F.sum("chars").alias("chars"))
+    else:
+        sums = _drawn(indexed, n, iterations, seed)
     return sums.select("iteration", ratio(F.col("dist"), F.col("chars")).alias("cer"))
 
 
+def _held(indexed: DataFrame, n: int) -> list:
+    """dist, chars, and whether dist is known, in the order of idx, as narrow arrays; the last one is left out where all are known."""
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(batches):
+        for batch in batches:
+            cells = [batch.column(0).to_numpy()]
+            cells += [c.fill_null(0).to_numpy() for c in (batch.column(1), batch.column(2))]
+            cells.append(batch.column(1).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
+            if len(cells[0]):
+                cells = [c.astype(np.min_scalar_type(int(c.max()))) for c in cells]
+                yield pa.RecordBatch.from_pydict({"kinds": [",".join(c.dtype.str for c in cells)], "cells": pa.array([[c.tobytes() for c in cells]], pa.list_(pa.binary()))})
+
+    found = [[np.frombuffer(c, k) for k, c in zip(r["kinds"].split(","), r["cells"])] for r in indexed.select("idx", F.col("dist").cast("long"), F.col("chars").cast("long")).mapInArrow(packed, "kinds string, cells array<binary>").collect()]
+    held = []
+    for k in (1, 2, 3):
+        values = np.zeros(n, np.min_scalar_type(max((int(f[k].max()) for f in found), default=0)))
+        for f in found:
+            values[f[0]] = f[k]
+        held.append(values)
+    return held[:2] if n and held[2].all() else held
+
+
+def _drawn(indexed: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """(iteration, dist, chars): the sums over n draws from the n indexed rows."""
+    import numpy as np
+    import pandas as pd
+
+    context = indexed.sparkSession.sparkContext
+    held, blocks = context.broadcast(_held(indexed, n)), -(-iterations // TURNS)
+    slots_a_unit, turns = SLOTS, TURNS
+
+    def draw(batches):
+        values = held.value
+        for pdf in batches:
+            rows = []
+            for unit in pdf["id"]:
+                low, first = int(unit) // blocks * slots_a_unit, int(unit) % blocks * turns
+                tails, parts = [f":{slot}:{seed}".encode() for slot in range(low, min(low + slots_a_unit, n))], {}
+                for iteration in range(first, min(first + turns, iterations)):
+                    prefix = str(iteration).encode()
+                    if len(prefix) not in parts:
+                        parts[len(prefix)] = md5.blocks(tails, len(prefix))
+                    idx = (md5.leading(md5.digests(parts[len(prefix)], prefix, len(tails)), 12) % np.uint64(n)).astype(np.int64)
+                    sums = [int(v[idx].sum(dtype=np.int64)) for v in values]
+                    rows.append((iteration, sums[0], sums[1], sums[2] if len(sums) > 2 else len(tails)))
+            yield pd.DataFrame(rows, columns=["iteration", "dist", "chars", "known"])
+
+    units = -(-n // SLOTS) * blocks
+    tasks = max(1, min(units, max(4 * context.defaultParallelism, units // 40)))
+    sums = indexed.sparkSession.range(units, numPartitions=tasks).mapInPandas(draw, "iteration int, dist long, chars long, known long")
+    sums = sums.groupBy("iteration").agg(F.sum("dist").alias("dist"), F.sum("chars").alias("chars"), F.sum("known").alias("known"))
+    return sums.select("iteration", F.when(F.col("known") > 0, F.col("dist")).alias("dist"), "chars")
+
+
 #: Cumulated probabilities of the Poisson distribution with mean 1, from 0 on, in units of 2^-24.
 POISSON = tuple(round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 24)) for k in range(9))
 
 
 def poisson_bootstrap(errors: DataFrame, keys: tuple[str, ...], iterations: int = 1000, seed: int = 42) -> DataFrame:
     """Extension: (iteration, cer) with each row drawn a Poisson(1) number of times. One pass, no join; what is shuffled is a row an iteration and task."""
-    rows = errors.select(*keys, "dist", "chars", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    # Five draws of six hex digits from each hash; digits of equal length compare as the numbers do.
-    h = F.md5(F.concat_ws(":", F.floor(F.col("iteration") / 5).cast("string"), *(F.col(k).cast("string") for k in keys), F.lit(seed)))
-    u = F.substring(h, 6 * (F.col("iteration") % 5) + 1, F.lit(6))
-    times = sum(((u >= f"{p:06x}").cast("int") for p in POISSON if p < 1 << 24), F.lit(0))
-    sums = rows.select("iteration", "dist", "chars", times.alias("k")).groupBy("iteration").agg(F.sum(F.col("dist") * F.col("k")).alias("dist"), F.sum(F.col("chars") * F.col("k")).alias("chars"))
-    return sums.select("iteration", ratio(F.col("dist"), F.col("chars")).alias("cer"))
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    # Five draws of six hex digits from each hash, of (iteration / 5, keys, seed).
+    rows = errors.select(F.concat_ws(":", F.lit(""), *(F.col(k).cast("string") for k in keys), F.lit(seed)).alias("tail"), F.col("dist").cast("long").alias("dist"), F.col("chars").cast("long").alias("chars"))
+    limits = [np.uint32(p) for p in POISSON if p < 1 << 24]
+
+    def draw(batches):
+        sums, known, seen = np.zeros((iterations, 2), np.int64), 0, 0
+        for batch in batches:
+            seen += batch.num_rows
+            tails = [t.encode() for t in batch.column(0).to_pylist()]
+            values = np.stack([batch.column(k).fill_null(0).to_numpy() for k in (1, 2)], axis=1)
+            known += len(tails) - batch.column(1).null_count
+            for width in range(1, len(str(max(iterations - 1, 0) // 5)) + 1):
+                by_blocks: dict = {}
+                for k, tail in enumerate(tails):
+                    by_blocks.setdefault(md5.n_blocks(len(tail) + width), []).append(k)
+                for some in by_blocks.values():
+                    # Sums of whole numbers below 2^53 are exact in doubles.
+                    parts, these = md5.blocks([tails[k] for k in some], width), values[some].astype(float).T
+                    for group in range(10 ** (width - 1) if width > 1 else 0, min(10**width, -(-iterations // 5))):
+                        words = md5.digests(parts, str(group).encode(), len(some))
+                        for r in range(min(5, iterations - 5 * group)):
+                            u, times = md5.leading(words, 6, 6 * r).astype(np.uint32), np.zeros(len(some), np.uint8)
+                            for limit in limits:
+                                times += u >= limit
+                            sums[5 * group + r] += (these @ times.astype(float)).astype(np.int64)
+        if seen:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"iteration": np.arange(iterations, dtype=np.int32), "dist": sums[:, 0], "chars": sums[:, 1], "known": known}), preserve_index=False)
+
+    sums = rows.mapInArrow(draw, "iteration int, dist long, chars long, known long").groupBy("iteration").agg(F.sum("dist").alias("dist"), F.sum("chars").alias("chars"), F.sum("known").alias("known"))
+    return sums.select("iteration", ratio(F.when(F.col("known") > 0, F.col("dist")), F.col("chars")).alias("cer"))
 
 
 #: Distinct (dist, chars) pairs up to which the multinomial draws are made; the pairs are bounded by the lines' lengths.

@@ -1,10 +1,13 @@
 """Queries at size: what is joined, shuffled and drawn, and that the faster ways give the same."""
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quillspark.functions import md5
+from quillspark.operators import evaluation
 from quillspark.plans import derive, pipelines, queries
 from quillspark.sources import contracts
 
@@ -49,3 +52,42 @@ def test_contract_documents_shuffle_texts(spark, small, tmp_path):
     assert back.orderBy("document_id").collect() == few.orderBy("document_id").collect()
     lines = {r["l"]["line_id"]: r["l"] for r in queries._contract_lines(spark, small).where("doc_id < 12").select("l").collect()}
     assert lines == {x["line_id"]: x for r in docs.where("document_id IN ('d0', 'd1', 'd2', 'd3', 'd4', 'd5', 'd6', 'd7', 'd8', 'd9', 'd10', 'd11')").collect() for x in r["lines"]}
+
+
+def test_md5_of_many_texts():
+    tails = [f":{k}:{'é' * (k % 90)}".encode() for k in range(400)]
+    for prefix in (b"7", b"123", b"12345"):
+        by_blocks = {}
+        for t in tails:
+            by_blocks.setdefault(md5.n_blocks(len(t) + len(prefix)), []).append(t)
+        assert len(by_blocks) > 2
+        for some in by_blocks.values():
+            words = md5.digests(md5.blocks(some, len(prefix)), prefix, len(some))
+            right = [hashlib.md5(prefix + t).hexdigest() for t in some]
+            for start, digits in ((0, 12), (0, 6), (6, 6), (12, 6), (24, 6)):
+                assert md5.leading(words, digits, start).tolist() == [int(r[start : start + digits], 16) for r in right]
+
+
+def test_bootstrap_shuffles_no_draws(spark, monkeypatch):
+    """The held numbers give what the join of all draws gives, unknown distances included."""
+    rows = [(f"l{k}", None if k % 7 == 0 else k % 5, 10 + k % 300) for k in range(300)]
+    for some, kind in ((rows, "line_id string, dist long, chars long"), ([(a, None, c) for a, _, c in rows[:3]], "line_id string, dist long, chars long")):
+        errors = spark.createDataFrame(some, kind)
+        held = evaluation.bootstrap(errors, ("line_id",), 30)
+        assert "Join" not in optimized(held) and "explode" not in optimized(held)
+        monkeypatch.setattr(evaluation, "MOST_HELD", 0)
+        joined = evaluation.bootstrap(errors, ("line_id",), 30)
+        monkeypatch.undo()
+        assert "Join" in optimized(joined) and held.orderBy("iteration").collect() == joined.orderBy("iteration").collect()
+
+
+def test_poisson_bootstrap_makes_no_row_a_draw(spark):
+    errors = spark.createDataFrame([(f"l{k}" * (1 + k % 40), k % 5, 10 + k % 9) for k in range(120)], "line_id string, dist long, chars long")
+    drawn = evaluation.poisson_bootstrap(errors.repartition(3), ("line_id",), 57)
+    assert "explode" not in optimized(drawn)
+    right, given = [], errors.collect()
+    for i in range(57):
+        u = [int(hashlib.md5(f"{i // 5}:{r['line_id']}:42".encode()).hexdigest()[6 * (i % 5) : 6 * (i % 5) + 6], 16) for r in given]
+        times = [sum(x >= p for p in evaluation.POISSON if p < 1 << 24) for x in u]
+        right.append(sum(t * r["dist"] for t, r in zip(times, given)) / sum(t * r["chars"] for t, r in zip(times, given)))
+    assert [r["cer"] for r in drawn.orderBy("iteration").collect()] == right
