@@ -2,11 +2,12 @@
 
 import hashlib
 import os
+import random
 
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quillspark.functions import md5
+from quillspark.functions import alignment, md5
 from quillspark.operators import evaluation
 from quillspark.plans import derive, pipelines, queries
 from quillspark.sources import contracts
@@ -91,3 +92,24 @@ def test_poisson_bootstrap_makes_no_row_a_draw(spark):
         times = [sum(x >= p for p in evaluation.POISSON if p < 1 << 24) for x in u]
         right.append(sum(t * r["dist"] for t, r in zip(times, given)) / sum(t * r["chars"] for t, r in zip(times, given)))
     assert [r["cer"] for r in drawn.orderBy("iteration").collect()] == right
+
+
+def test_many_alignments_at_once(spark, monkeypatch):
+    """The banded tables of many pairs give align()'s and fuse()'s results, one pair a batch or all; align() isn't called for them."""
+    rng, pairs = random.Random(5), [("", ""), ("", "ab"), ("a𝒳é", ""), ("aab", "ab"), ("x" * 90, "y" * 7), ("ab" * 40, "ba" * 40)]
+    for n in range(300):
+        a = "".join(rng.choice("abé ") for _ in range(rng.randrange(40)))
+        b = a.replace("ab", "⁊").replace("é ", "x") if n % 2 else "".join(rng.choice("ab𝒳") for _ in range(rng.randrange(30)))
+        pairs.append((a, b))
+    rows = [(k, a, [((k + i * 7) % 11) / 10 for i in range(len(a))], b, [((k + i * 5) % 11) / 10 for i in range(len(b))]) for k, (a, b) in enumerate(pairs)]
+    right = [(alignment.align(a, b), alignment.fuse(a, p, b, q)) for _, a, p, b, q in rows]
+    steps = [[1 if y is None else 2 if x is None else 0 for x, y in r[0]] for r in right]
+    codes = [[alignment._codes(t) for t in side] for side in zip(*pairs)]
+    assert [s.tolist() for s in alignment.align_many(*codes)] == steps
+    monkeypatch.setattr(alignment, "CELLS", 1)
+    assert [s.tolist() for s in alignment.align_many(*codes)] == steps
+    monkeypatch.undo()
+    monkeypatch.setattr(alignment, "align", None)
+    df = spark.createDataFrame(rows, "k int, a string, p array<double>, b string, q array<double>").repartition(2)
+    found = df.select("k", alignment.alignment(F.col("a"), F.col("b")).alias("s"), alignment.fusion(F.col("a"), F.col("p"), F.col("b"), F.col("q")).alias("f")).orderBy("k").collect()
+    assert [([tuple(x) for x in r["s"]], (r["f"]["text"], r["f"]["confidences"])) for r in found] == right
