@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quillspark.functions import alignment, md5
+from quillspark.functions import alignment, md5, text
 from quillspark.operators import evaluation
 from quillspark.plans import derive, pipelines, queries
 from quillspark.sources import contracts
@@ -113,3 +113,22 @@ def test_many_alignments_at_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k int, a string, p array<double>, b string, q array<double>").repartition(2)
     found = df.select("k", alignment.alignment(F.col("a"), F.col("b")).alias("s"), alignment.fusion(F.col("a"), F.col("p"), F.col("b"), F.col("q")).alias("f")).orderBy("k").collect()
     assert [([tuple(x) for x in r["s"]], (r["f"]["text"], r["f"]["confidences"])) for r in found] == right
+
+
+def test_corrections_by_lookup(spark, monkeypatch):
+    """A lookup a position gives what trying each option gives; corrected() is left to other options and to capital sigmas."""
+    rng, rows, known = random.Random(3), [], ("de", "sa", "le", "la", "e", "roi", "que")
+    for k in range(400):
+        t = "".join(rng.choice("dslaeo    é") for _ in range(rng.randrange(25)))
+        places = [rng.randrange(28) for _ in range(rng.randrange(12))]
+        confidences = [rng.choice((0.1, 0.69, 0.7, 0.9)) for _ in range(max(0, len(t) - rng.randrange(3)))]
+        rows.append((k, None if k == 7 else t, None if k == 8 else confidences, None if k == 9 else [(p, ["a", "e", "O"]) for p in places]))
+    kind = "k int, t string, p array<double>, c array<struct<position:int,options:array<string>>>"
+    as_dicts = lambda c: [{"position": p, "options": o} for p, o in c]
+    right = [t if t is None or c is None else text.corrected(t, p or (), as_dicts(c), 0.7, frozenset(known)) for _, t, p, c in rows]
+    assert sum(x != r[1] for x, r in zip(right, rows)) > 20
+    found = lambda rows: [r["x"] for r in spark.createDataFrame(rows, kind).select("k", text.correct(F.col("t"), F.col("p"), F.col("c"), lexicon=known).alias("x")).orderBy("k").collect()]
+    other = [(k, t, p, c and [(q, o[: 1 + q % 3] + ["ue"]) for q, o in c]) for k, t, p, c in rows]
+    assert found(other) == [t if t is None or c is None else text.corrected(t, p or (), as_dicts(c), 0.7, frozenset(known)) for _, t, p, c in other]
+    monkeypatch.setattr(text, "corrected", None)
+    assert found(rows) == right
